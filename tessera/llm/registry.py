@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing_query
+from tessera.llm import licenses_query, mixing_query
 
-QUERIES = {"op9_mix_sources": mixing_query.op9_mix_sources}
+QUERIES = {
+    "op9_mix_sources": mixing_query.op9_mix_sources,
+    "op10_license_scan": licenses_query.op10_license_scan,
+}
 ORACLES = {"op9_mix_sources": mixing_query.SQL}
