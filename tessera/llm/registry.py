@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_query, licenses_query, mixing_query
+from tessera.llm import bpe_query, langid_query, licenses_query, mixing_query
 
 QUERIES = {
+    "op6_language_id": langid_query.op6_language_id,
     "op3_bpe_encode": bpe_query.op3_bpe_encode,
     "op9_mix_sources": mixing_query.op9_mix_sources,
     "op10_license_scan": licenses_query.op10_license_scan,
