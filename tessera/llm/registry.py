@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_query, langid_query, licenses_query, mixing_query, toxicity_query
+from tessera.llm import bpe_query, langid_query, licenses_query, mixing_query, neardup_query, toxicity_query
 
 QUERIES = {
+    "op2_near_duplicates": neardup_query.op2_near_duplicates,
     "op8_toxicity": toxicity_query.op8_toxicity,
     "op6_language_id": langid_query.op6_language_id,
     "op3_bpe_encode": bpe_query.op3_bpe_encode,
