@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_query, langid_query, licenses_query, mixing_query, neardup_query, toxicity_query
+from tessera.llm import bpe_query, langid_query, licenses_query, mixing_query, neardup_query, topk_query, toxicity_query
 
 QUERIES = {
+    "op4_exact_top_k": topk_query.op4_exact_top_k,
     "op2_near_duplicates": neardup_query.op2_near_duplicates,
     "op8_toxicity": toxicity_query.op8_toxicity,
     "op6_language_id": langid_query.op6_language_id,
@@ -12,4 +13,4 @@ QUERIES = {
     "op9_mix_sources": mixing_query.op9_mix_sources,
     "op10_license_scan": licenses_query.op10_license_scan,
 }
-ORACLES = {"op9_mix_sources": mixing_query.SQL}
+ORACLES = {"op4_exact_top_k": topk_query.SQL, "op9_mix_sources": mixing_query.SQL}
