@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_query, langid_query, licenses_query, mixing_query, neardup_query, topk_query, toxicity_query
+from tessera.llm import bpe_query, langid_query, licenses_query, media_query, mixing_query, neardup_query, topk_query, toxicity_query
 
 QUERIES = {
+    "op1_media_columns": media_query.op1_media_columns,
     "op4_exact_top_k": topk_query.op4_exact_top_k,
     "op2_near_duplicates": neardup_query.op2_near_duplicates,
     "op8_toxicity": toxicity_query.op8_toxicity,
