@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_query, html_query, langid_query, licenses_query, media_query, mixing_query, neardup_query, topk_query, toxicity_query
+from tessera.llm import bpe_query, html_query, langid_query, licenses_query, lmscore_query, media_query, mixing_query, neardup_query, topk_query, toxicity_query
 
 QUERIES = {
+    "op5_lm_score": lmscore_query.op5_lm_score,
     "op7_html_extraction": html_query.op7_html_extraction,
     "op1_media_columns": media_query.op1_media_columns,
     "op4_exact_top_k": topk_query.op4_exact_top_k,
