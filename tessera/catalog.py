@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import elementwise, frames, text
+
+MODULES = (elementwise, frames, text)
+
 
 def entry(spark: SparkSession) -> DataFrame:
     items = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
@@ -24,8 +28,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for module in MODULES for name, run in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
