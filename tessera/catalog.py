@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import elementwise, frames, text
+from tessera.plans import elementwise, frames, text, vectors
 
-MODULES = (elementwise, frames, text)
+MODULES = (elementwise, frames, text, vectors)
 
 
 def entry(spark: SparkSession) -> DataFrame:
