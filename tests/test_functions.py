@@ -111,3 +111,23 @@ def test_sources(spark, tmp_path):
 def test_positions_over_ranges(spark):
     frame = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("x")).repartition(5)
     assert all(r.x == r.pos for r in window.with_positions(frame, ["x"]).collect())
+
+
+def test_least_squares(spark):
+    from tessera.operators.regression import lstsq, polyfit
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    y = x @ [1.0, -2.0, 0.5] + rng.normal(size=200) * 0.01
+    frame = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], "a double, b double, c double, y double")
+    assert np.allclose(lstsq(frame, ["a", "b", "c"], "y"), np.linalg.lstsq(x, y, rcond=None)[0])
+    assert np.allclose(polyfit(frame, "a", "y", 2), np.polynomial.polynomial.polyfit(x[:, 0], y, 2))
+
+
+def test_limits():
+    from tessera.functions.signal import finfo, iinfo
+
+    for kind in ("int8", "uint16", "int64", "uint64"):
+        assert (iinfo(kind)["min"], iinfo(kind)["max"], iinfo(kind)["bits"]) == (np.iinfo(kind).min, np.iinfo(kind).max, np.iinfo(kind).bits)
+    for kind in ("float32", "float64"):
+        assert finfo(kind)["eps"] == np.finfo(kind).eps and finfo(kind)["max"] == np.finfo(kind).max and finfo(kind)["tiny"] == np.finfo(kind).tiny
