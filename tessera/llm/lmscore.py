@@ -4,12 +4,17 @@ A network sees REACH tokens on both sides of a place, never the token itself, an
 of the vocabulary there; a document's score is the sum of the log-probabilities of its tokens, each given the others.
 
 The vocabulary is the corpus's most frequent words, counted exactly over all documents, and OTHER buckets that share the
-rest by hash; exact counts of all tokens are also the network's starting point (the log-odds of each token without
-context) and say how likely a word is within its bucket. Tokens are grouped in classes of like count, so a probability
-is that of the class times that within it, and a place costs two small softmaxes instead of one over the vocabulary.
-Weights are trained in numpy with Adam on the driver on the texts of at most TRAIN_ROWS documents chosen by hash.
+rest by hash; it grows with the fourth root of the corpus's distinct words on each side. Exact counts of all tokens are also
+the network's starting point (the log-odds of each token without context), and a word's own exact count says how likely it
+is within its bucket: (n + 1) of the sum of n + 1 over the bucket's words and one unseen word. Tokens are grouped in classes
+of like count, so a probability is that of the class times that within it, and a place costs two small softmaxes instead of
+one over the vocabulary.
 
-Scoring is one pass without a shuffle over whole texts, in pieces of CHUNK tokens.
+Weights are trained in numpy with Adam: first on the driver on at most TRAIN_ROWS documents chosen by hash, so that all tasks
+start from one place, then in tasks on every token of every document; the weights of the tasks are averaged by their
+tokens, in slots that are summed in executors, so that the driver gets one model whatever the number of tasks.
+
+Scoring is one pass over whole texts, in pieces of CHUNK tokens; words in buckets then meet their counts in a join by word.
 
 Defined cases: null and empty texts have no tokens and a sum of 0; an empty corpus gives scores of 0; repeated rows give
 repeated results; other columns stay, and result columns take the place of columns of the same name.
@@ -17,14 +22,17 @@ repeated results; other columns stay, and result columns take the place of colum
 
 from __future__ import annotations
 
+import copy
+import math
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,12 +43,16 @@ WORDS = r"[^\x20\x09-\x0D]+"
 SPLIT = re.compile(WORDS)
 VOCABULARY = 960
 OTHER = 64
-SIDE = 32  # classes, and tokens of a class: SIDE * SIDE = VOCABULARY + OTHER
+SIDE = 32  # classes, and tokens of a class, at least: SIDE * SIDE = VOCABULARY + OTHER
+SIDE_WORDS = 500_000  # distinct words from which on there are more
 REACH = 2
 WIDTH = 24
 TRAIN_ROWS = 1_500
 TRAIN_TOKENS = 400_000
 EPOCHS, BATCH, RATE = 2, 2048, 0.01
+ALL_BATCH, ALL_RATE = 8192, 0.003  # of the pass over all documents
+PIECE = 1 << 18  # tokens that a task holds at a time
+SLOTS = 512
 CHUNK = 1 << 16
 
 
@@ -50,23 +62,32 @@ def tokens_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """``number`` maps frequent words to 0 .. VOCABULARY - 1; number + 1 is a token's row in the context tables."""
+    """``number`` maps frequent words to 0 .. vocabulary - 1; number + 1 is a token's row in the context tables."""
 
     number: dict[str, int]
-    inside: np.ndarray  # log-probability of a word within its token, by token: 0, or -log of a bucket's words
+    inside: np.ndarray  # log-probability of a word within its token, by token: 0, or that of an unseen word in a bucket
     context: np.ndarray  # (2 * REACH, tokens + 1, WIDTH)
     hidden: np.ndarray
-    classes: np.ndarray  # (WIDTH, SIDE)
+    classes: np.ndarray  # (WIDTH, side)
     class_bias: np.ndarray
-    members: np.ndarray  # (SIDE, WIDTH, SIDE)
+    members: np.ndarray  # (side, WIDTH, side)
     member_bias: np.ndarray
+    rest: DataFrame | None = None  # (word, n) of all words in buckets
+
+    @property
+    def side(self) -> int:
+        return len(self.class_bias)
+
+    @property
+    def vocabulary(self) -> int:
+        return self.side**2 - OTHER
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get = self.number.get
+        get, vocabulary = self.number.get, self.vocabulary
         out = np.empty(len(words), dtype=np.int64)
         for i, word in enumerate(words):
             n = get(word)
-            out[i] = VOCABULARY + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHER if n is None else n
+            out[i] = vocabulary + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHER if n is None else n
         return out
 
     def state(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -80,18 +101,32 @@ class Model:
         """Log-probability of each token given those around it."""
         padded = np.zeros(len(numbers) + 2 * REACH, dtype=np.int64)
         padded[REACH:-REACH] = numbers + 1
-        out = np.empty(len(numbers), dtype=np.float64)
-        for start in range(0, len(numbers), CHUNK):
-            mine = numbers[start : start + CHUNK]
-            state = self.state(padded, np.arange(start, start + len(mine)) + REACH)
-            group, member = mine // SIDE, mine % SIDE
-            out[start : start + len(mine)] = _log_softmax(state @ self.classes + self.class_bias, group)
-            order = np.argsort(group, kind="stable")
-            bounds = np.searchsorted(group[order], np.arange(SIDE + 1))
-            for c in np.flatnonzero(np.diff(bounds)):
-                rows = order[bounds[c] : bounds[c + 1]]
+        return self.at_places(padded, np.arange(len(numbers)) + REACH)
+
+    def at_places(self, row: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The same at places of a row of padded texts."""
+        out = np.empty(len(places), dtype=np.float64)
+        for start in range(0, len(places), CHUNK):
+            at = places[start : start + CHUNK]
+            state = self.state(row, at)
+            group, member = np.divmod(row[at] - 1, self.side)
+            out[start : start + len(at)] = _log_softmax(state @ self.classes + self.class_bias, group)
+            for c, rows in _by_group(group, self.side):
                 out[start + rows] += _log_softmax(state[rows] @ self.members[c] + self.member_bias[c], member[rows])
-        return out + self.inside[numbers]
+        return out + self.inside[row[places] - 1]
+
+
+def _by_group(group: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(group, kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(side + 1))
+    for c in np.flatnonzero(np.diff(bounds)):
+        yield c, order[bounds[c] : bounds[c + 1]]
+
+
+def _row_of(texts: list[np.ndarray]) -> np.ndarray:
+    """Texts with REACH places between them and around."""
+    gap = np.zeros(REACH, dtype=np.int64)
+    return np.concatenate([gap, *(part for t in texts for part in (t + 1, gap))]) if texts else gap
 
 
 def _log_softmax(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -107,35 +142,102 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fresh(words: list[str], counts: np.ndarray, inside: np.ndarray, seed: int = 5) -> Model:
     """A model that knows the corpus's counts and nothing of contexts."""
     rng = np.random.default_rng(seed)
-    table = (counts + 1.0).reshape(SIDE, SIDE)
+    side = math.isqrt(len(counts))
+    table = (counts + 1.0).reshape(side, side)
     small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
-    context = small(2 * REACH, SIDE * SIDE + 1, WIDTH)
+    context = small(2 * REACH, side * side + 1, WIDTH)
     context[:, 0] = 0
     bias = np.log(table.sum(axis=1) / table.sum()).astype(np.float32)
     within = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
-    return Model({w: i for i, w in enumerate(words)}, inside, context, np.zeros(WIDTH, dtype=np.float32), small(WIDTH, SIDE), bias, small(SIDE, WIDTH, SIDE), within)
+    return Model({w: i for i, w in enumerate(words)}, inside, context, np.zeros(WIDTH, dtype=np.float32), small(WIDTH, side), bias, small(side, WIDTH, side), within)
+
+
+PARAMS = ("context", "hidden", "classes", "class_bias", "members", "member_bias")
+
+
+class Adam:
+    def __init__(self, model: Model, rate: float = RATE):
+        self.model, self.rate, self.steps = model, rate, 0
+        self.first, self.second = ({n: np.zeros_like(getattr(model, n)) for n in PARAMS} for _ in range(2))
+
+    def step(self, row: np.ndarray, at: np.ndarray) -> None:
+        grads = gradients(self.model, row, at)
+        self.steps += 1
+        for name in PARAMS:
+            first, second, param = self.first[name], self.second[name], getattr(self.model, name)
+            first += 0.1 * (grads[name] - first)
+            second += 0.001 * (grads[name] ** 2 - second)
+            step = self.rate * first / (1 - 0.9**self.steps) / (np.sqrt(second / (1 - 0.999**self.steps)) + 1e-7)
+            param -= step.astype(param.dtype)
 
 
 def train(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> None:
     """Adam on the mean negative log-probability of TRAIN_TOKENS places, chosen anew in each epoch."""
     rng = np.random.default_rng(seed)
-    gap = np.zeros(REACH, dtype=np.int64)
-    row = np.concatenate([gap, *(part for t in texts for part in (t + 1, gap))]) if texts else gap
+    row = _row_of(texts)
     places = np.flatnonzero(row)
-    params = {n: getattr(model, n) for n in ("context", "hidden", "classes", "class_bias", "members", "member_bias")}
-    first = {n: np.zeros_like(p) for n, p in params.items()}
-    second = {n: np.zeros_like(p) for n, p in params.items()}
-    steps = 0
+    adam = Adam(model)
     for _ in range(epochs):
         chosen = rng.permutation(places)[:TRAIN_TOKENS]
         for start in range(0, len(chosen), BATCH):
-            grads = gradients(model, row, chosen[start : start + BATCH])
-            steps += 1
-            for name, param in params.items():
-                first[name] += 0.1 * (grads[name] - first[name])
-                second[name] += 0.001 * (grads[name] ** 2 - second[name])
-                step = RATE * first[name] / (1 - 0.9**steps) / (np.sqrt(second[name] / (1 - 0.999**steps)) + 1e-7)
-                param -= step.astype(param.dtype)
+            adam.step(row, chosen[start : start + BATCH])
+
+
+def train_on_all(model: Model, texts: DataFrame) -> int:
+    """One pass over every token of all texts, in tasks, each from ``model``; their mean by tokens takes its place. Gives the tokens."""
+    handle = texts.sparkSession.sparkContext.broadcast(model)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, rng = copy.deepcopy(handle.value), np.random.default_rng(5)
+        adam, held, size, seen = Adam(mine, ALL_RATE), [], 0, 0
+
+        def descend() -> None:
+            row = _row_of(held)
+            places = rng.permutation(np.flatnonzero(row))
+            for at in np.array_split(places, -(-len(places) // ALL_BATCH)):
+                adam.step(row, at)
+            held.clear()
+
+        for batch in batches:
+            for text in batch.column("text"):
+                held.append(mine.numbers(tokens_of(text.as_py())))
+                size += len(held[-1])
+                if size >= PIECE:
+                    descend()
+                    seen, size = seen + size, 0
+        if size:
+            descend()
+        seen += size
+        if seen:
+            slots = np.array_split(np.concatenate([getattr(mine, n).ravel() for n in PARAMS]).astype(np.float64) * seen, SLOTS)
+            yield _slots({k: [x, seen] for k, x in enumerate(slots)})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list] = {}
+        for batch in batches:
+            for slot, x, n in zip(*(batch.column(c).to_pylist() for c in ("slot", "x", "n"))):
+                known = sums.setdefault(slot, [0.0, 0])
+                known[0], known[1] = known[0] + np.frombuffer(x), known[1] + n
+        yield _slots(sums)
+
+    kind = "slot int, x binary, n long"
+    found = sorted(texts.select("text").mapInArrow(learn, kind).repartition("slot").mapInArrow(add, kind).collect(), key=lambda r: r.slot)
+    handle.unpersist()
+    if not found:
+        return 0
+    flat, at = np.concatenate([np.frombuffer(bytes(r.x)) / r.n for r in found]), 0
+    for name in PARAMS:
+        old = getattr(model, name)
+        setattr(model, name, flat[at : at + old.size].reshape(old.shape).astype(old.dtype))
+        at += old.size
+    return found[0].n
+
+
+def _slots(sums: dict[int, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())],
+        names=["slot", "x", "n"],
+    )
 
 
 def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
@@ -143,13 +245,12 @@ def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.nda
     n = len(at)
     state = model.state(row, at)
     token = row[at] - 1
-    group, member = token // SIDE, token % SIDE
+    group, member = np.divmod(token, model.side)
     to_class = _softmax(state @ model.classes + model.class_bias)
     to_class[np.arange(n), group] -= 1
     grads = {"classes": state.T @ to_class / n, "class_bias": to_class.sum(axis=0) / n, "members": np.zeros_like(model.members), "member_bias": np.zeros_like(model.member_bias)}
     back = to_class @ model.classes.T
-    for c in np.unique(group):
-        rows = np.flatnonzero(group == c)
+    for c, rows in _by_group(group, model.side):
         to_member = _softmax(state[rows] @ model.members[c] + model.member_bias[c])
         to_member[np.arange(len(rows)), member[rows]] -= 1
         grads["members"][c] = state[rows].T @ to_member / n
@@ -159,13 +260,16 @@ def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.nda
     grads["hidden"] = back.sum(axis=0)
     grads["context"] = np.zeros_like(model.context)
     for k, offset in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-        np.add.at(grads["context"][k], row[at + offset], back)
+        near = row[at + offset]
+        order = np.argsort(near, kind="stable")
+        seen, starts = np.unique(near[order], return_index=True)
+        grads["context"][k][seen] = np.add.reduceat(back[order], starts)
     grads["context"][:, 0] = 0
     return grads
 
 
 def fit_model(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> Model | None:
-    """Counts over all documents, then training; None for a corpus without words."""
+    """Counts over all documents, training from ``rows`` of them, then on all; None for a corpus without words."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,42 +289,77 @@ def fit_model(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
 
     counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialize(counted)
-    top = counted.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
+    side = max(SIDE, int(SIDE * (counted.count() / SIDE_WORDS) ** 0.25))
+    vocabulary = side * side - OTHER
+    top = counted.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     if not top:
         return None
     known = counted.sparkSession.createDataFrame([(r.word,) for r in top], "word string")
     bucket = F.crc32(F.col("word").cast("binary")) % OTHER
-    rest = counted.join(F.broadcast(known), "word", "left_anti").groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
-    counts, inside = np.zeros(SIDE * SIDE), np.zeros(SIDE * SIDE)
+    others = counted.join(F.broadcast(known), "word", "left_anti")
+    rest = others.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
+    counts, inside = np.zeros(side * side), np.zeros(side * side)
     counts[: len(top)] = [r.n for r in top]
     for r in rest:
-        counts[VOCABULARY + r.bucket] = r.n
-        inside[VOCABULARY + r.bucket] = -np.log(r.words)
+        counts[vocabulary + r.bucket] = r.n
+        inside[vocabulary + r.bucket] = -np.log(r.n + r.words + 1)
     model = fresh([r.word for r in top], counts, inside)
     total, span = texts.count(), 1 << 20
     share = min(span, -(-rows * span // max(total, 1)))
     sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(span)) < share).collect()
     train(model, [model.numbers(tokens_of(r.text)) for r in sorted(sample, key=lambda r: (r.id is None, r.id or 0, r.text))])
+    train_on_all(model, texts)
+    model.rest = others if rest else None
     return model
 
 
-def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_likelihood (the sum over the document) and per_token (its mean, null without tokens)."""
-    handle = docs.sparkSession.sparkContext.broadcast(model)
-    added = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType(), "per_token": T.DoubleType()}
-    kept = [n for n in docs.columns if n not in added]
-    schema = T.StructType([docs.schema[n] for n in kept] + [T.StructField(n, kind) for n, kind in added.items()])
+def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs``, or its columns ``keep``, with n_tokens, log_likelihood (the sum over the document) and per_token (its mean, null without tokens)."""
+    counts = model.rest if model else None
+    handle = docs.sparkSession.sparkContext.broadcast(replace(model, rest=None) if model else None)
+    added = {"n_tokens": T.LongType(), "log_likelihood": T.DoubleType()}
+    kept = [n for n in (docs.columns if keep is None else keep) if n not in (*added, "per_token")]
+    extra = [T.StructField("__row", T.LongType()), T.StructField("__rest", T.ArrayType(T.StringType()))] if counts is not None else []
+    schema = T.StructType([docs.schema[n] for n in kept] + [T.StructField(n, kind) for n, kind in added.items()] + extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = handle.value
+        mine, row_id = handle.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, sums = [], []
+            sizes, sums, rest, held = [], [], [], []
+
+            def score() -> None:
+                row = _row_of(held)
+                logs = mine.at_places(row, np.flatnonzero(row))
+                ends = np.cumsum([len(t) for t in held])
+                sums.extend(float(logs[e - len(t) : e].sum()) for e, t in zip(ends, held))
+                held.clear()
+
+            waiting = 0
             for text in batch.column(text_col):
                 words = tokens_of(text.as_py())
                 sizes.append(len(words))
-                sums.append(float(mine.log_probabilities(mine.numbers(words)).sum()) if words and mine else 0.0)
-            means = [s / n if n else None for s, n in zip(sums, sizes)]
-            columns = [batch.column(n) for n in kept] + [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
-
-    return docs.mapInArrow(run, schema)
+                if not mine:
+                    sums.append(0.0)
+                    continue
+                held.append(mine.numbers(words))
+                if extra:
+                    rest.append([words[i] for i in np.flatnonzero(held[-1] >= mine.vocabulary)])
+                waiting += len(words)
+                if waiting >= PIECE:
+                    score()
+                    waiting = 0
+            if held:
+                score()
+            columns = [batch.column(n) for n in kept] + [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
+            if extra:
+                columns += [pa.array(range(row_id, row_id + len(sizes)), pa.int64()), pa.array(rest, pa.list_(pa.string()))]
+                row_id += len(sizes)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    scored = docs.mapInArrow(run, schema)
+    if extra:
+        scored = materialize(scored)
+        words = scored.select("__row", F.explode("__rest").alias("word"))
+        own = words.join(counts, "word").groupBy("__row").agg(F.sum(F.log(F.col("n") + 1.0)).alias("__own"))
+        scored = scored.drop("__rest").join(own, "__row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("__own", F.lit(0.0))).drop("__row", "__own")
+    return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))

@@ -10,4 +10,4 @@ from tessera.llm.shared import table
 
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score_documents(docs, fit_model(docs)).drop("text")
+    return score_documents(docs, fit_model(docs), keep=["doc_id"])

@@ -84,3 +84,25 @@ def test_empty_and_table(spark, sf_dir):
     rows = op5_lm_score(spark, sf_dir).collect()
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert all(r.log_likelihood < 0 for r in rows if r.n_tokens)
+
+
+def test_every_token_trains_and_rare_words_have_their_counts(spark, monkeypatch):
+    common = " ".join(f"w{i}" for i in range(lm.VOCABULARY))
+    rows = [(i, common) for i in range(30)] + [(100 + i, "seldom " * (1 + 19 * (i < 1)) + f"once{i} pairleft pairright") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    seen = []
+    monkeypatch.setattr(lm, "train_on_all", lambda model, texts, f=lm.train_on_all: seen.append(f(model, texts)))
+    model = fit_model(docs, rows=1)
+    assert seen == [sum(len(tokens_of(t)) for _, t in rows)]
+    counts = {r.word: r.n for r in model.rest.collect()}
+    assert counts["seldom"] == 22 and counts["once0"] == 1 and not set(counts) & set(model.number)
+    got = {r.doc_id: r for r in score_documents(docs, model).collect()}
+    for i, text in rows[-3:]:
+        n, total = brute(model, text)
+        exact = total + sum(math.log(counts[w] + 1) for w in tokens_of(text) if w in counts)
+        assert got[i].n_tokens == n and abs(got[i].log_likelihood - exact) < 1e-3 * n
+    shares = [0.0] * lm.OTHER
+    for word, n in counts.items():
+        shares[model.numbers([word])[0] - lm.VOCABULARY] += n + 1
+    for bucket, share in enumerate(shares):
+        assert abs((share + 1) * math.exp(model.inside[lm.VOCABULARY + bucket]) - 1) < 1e-9
