@@ -19,6 +19,9 @@ def _add(name, table, run, sql=None):
 for _name, _sql in {"add": "sum(p_size)", "multiply": "product(p_size % 3 + 1)", "maximum": "max(p_size)", "minimum": "min(p_size)", "bitwise_and": "bit_and(p_size)", "bitwise_or": "bit_or(p_size)", "bitwise_xor": "bit_xor(p_size)"}.items():
     _v = "p_size % 3 + 1" if _name == "multiply" else "p_size"
     _add(f"ufunc_reduce_{_name}", "part", lambda f, _, n=_name, v=_v: methods.ufunc_reduce(f.filter("p_partkey % 40 < 3").withColumn("x", F.expr(v)), n, "x", ["p_brand"]), f"SELECT p_brand, {_sql} AS y FROM part WHERE p_partkey % 40 < 3 GROUP BY p_brand")
+for _name, _sql in {"add": "sum", "multiply": "product", "maximum": "max", "minimum": "min", "bitwise_and": "bit_and", "bitwise_or": "bit_or", "bitwise_xor": "bit_xor"}.items():  # over all rows
+    _v = "CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END" if _name == "multiply" else "p_size"
+    _add(f"ufunc_reduce_{_name}_all", "part", lambda f, _, n=_name, v=_v: methods.ufunc_reduce(f.withColumn("x", F.expr(v)), n, "x", ["p_brand"]), f"SELECT p_brand, {_sql}({_v}) AS y FROM part GROUP BY p_brand")
 for _name, _sql in {"add": "sum", "maximum": "max", "minimum": "min"}.items():
     _add(f"ufunc_accumulate_{_name}", "part", lambda f, _, n=_name: methods.ufunc_accumulate(f, n, "p_size", ["p_partkey"], ["p_brand"]).select("p_partkey", "y"), f"SELECT p_partkey, {_sql}(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS y FROM part")
 _add("ufunc_outer_greater", "nation", lambda f, t: methods.ufunc_outer(f.select(F.col("n_nationkey").alias("a")), t("region").select(F.col("r_regionkey").alias("b")), "greater", "a", "b"), "SELECT n_nationkey AS a, r_regionkey AS b, n_nationkey > r_regionkey AS z FROM nation, region")
