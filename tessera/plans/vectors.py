@@ -48,6 +48,7 @@ _add("binary_repr", "part", lambda f, _: f.select("p_partkey", rows.binary_repr(
 _add("base_repr", "part", lambda f, _: f.select("p_partkey", rows.base_repr(F.col("p_partkey"), 16).alias("y")), "SELECT p_partkey, upper(to_hex(p_partkey)) AS y FROM part")
 _add("packbits", "part", lambda f, _: f.select("p_partkey", F.element_at(rows.packbits(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.floor(F.col("p_size") / F.pow(F.lit(2.0), 7 - k)) % 2).cast("int"))), 1).alias("y")), "SELECT p_partkey, p_size AS y FROM part")
 _add("rows_sliding", "embeddings", lambda f, _: f.select("vec_id", F.posexplode(rows.sliding_window_view(F.slice("embedding", 1, 6), 3)).alias("j", "w")).select("vec_id", "j", F.round(rows.dot(F.col("w"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), 5).alias("y")), "SELECT vec_id, k.range::INTEGER AS j, round(embedding[k.range + 1]::DOUBLE + embedding[k.range + 2]::DOUBLE + embedding[k.range + 3]::DOUBLE, 5) AS y FROM embeddings, range(4) k")
+_add("rows_sliding_all", "embeddings", lambda f, _: f.select("vec_id", F.posexplode(rows.sliding_window_view(F.col("embedding"), 3)).alias("j", "w")).select("vec_id", "j", F.round(rows.dot(F.col("w"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), 5).alias("y")), "SELECT vec_id, j, round(embedding[j + 1]::DOUBLE + embedding[j + 2]::DOUBLE + embedding[j + 3]::DOUBLE, 5) AS y FROM (SELECT vec_id, embedding, unnest(range(len(embedding) - 2))::INTEGER AS j FROM embeddings)")
 
 _ABCD = lambda f: f.select("p_partkey", F.array(F.col("p_size") + 60.0, F.col("p_partkey") % 7 + 0.0, F.col("p_partkey") % 7 + 0.0, F.col("p_partkey") % 11 + 20.0).alias("m"))
 _M = "(SELECT p_partkey, p_size + 60e0 AS a, p_partkey % 7 + 0e0 AS b, p_partkey % 11 + 20e0 AS d FROM part)"
