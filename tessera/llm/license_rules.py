@@ -76,7 +76,8 @@ bsd-3-clause ; 2 ; bsd ; (?:new|modified|revised) bsd license
 bsd-4-clause ; 2 ; bsd ; (?:original|old) bsd license
 bsd-3-clause ; 0 ; endorse ; may (?:not )?be used to endorse or promote products derived from this software without specific prior written permission
 bsd-2-clause ; 0 ; redistribution ; redistribution and use in source and binary forms with or without modification are permitted
-0bsd ; 1 ; bsd ; (?:zero clause bsd|bsd zero clause|0bsd)(?: license)?
+0bsd ; 1 ; bsd ; (?:zero clause bsd|bsd zero clause)(?: license)?
+0bsd ; 1 ; 0bsd ; 0bsd(?: license)?
 bsd ; 3 ; bsd ; bsd (?:style )?license
 cc0-1.0 ; 1 ; cc0 ; cc0 1 0(?: universal)?
 cc0-1.0 ; 2 ; creative ; creative commons (?:zero|cc0)(?: v| version)?(?: 1 0)?(?: universal)?

@@ -58,3 +58,30 @@ def test_no_shuffle_and_empty(spark):
     scanned = license_columns(scan_licenses(empty))
     assert scanned.count() == 0
     assert "Exchange" not in scanned._jdf.queryExecution().executedPlan().toString()
+
+
+def spelled(pattern):
+    """All texts that a rule's regex can match."""
+    out = [""]
+    for op, arg in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(arg)]
+        elif name == "BRANCH":
+            more = [t for p in arg[1] for t in spelled(p)]
+        elif name == "SUBPATTERN":
+            more = spelled(arg[3])
+        elif name == "MAX_REPEAT":
+            more = ["", *spelled(arg[2])] if arg[0] == 0 else spelled(arg[2])
+        elif name == "IN":
+            more = [chr(arg[0][1])] if str(arg[0][0]) == "LITERAL" else ["x"]
+        else:
+            more = [""]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_keywords_are_words_of_what_their_rules_match():
+    for rule in RULES:
+        for text in spelled(re._parser.parse(rule.regex)):
+            assert rule.keyword in text.split(), (rule.label, text)
