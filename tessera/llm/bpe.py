@@ -8,7 +8,8 @@ a trie, and one depth-first walk sets each node's state once for all words that
 back from its end, token by token. Texts are joins of their words' ids.
 
 The vocabulary file is read on the driver and its tables are sent to the tasks (their size is that of the vocabulary,
-whatever the data). A task holds one chunk's trie and the ids of up to KEPT pieces, so memory is bounded.
+whatever the data). A task holds one chunk's trie and the ids of up to KEPT pieces of LONGEST letters at most, so memory is
+bounded; what it kept is freed when it ends.
 
 Defined cases: null and empty texts have no tokens and decode to ""; repeated rows give repeated results; other columns
 stay, and result columns take the place of columns of the same name.
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Characters of texts whose new words go into one trie.
-CHUNK = 4_000_000
-#: Pieces of texts whose ids a task keeps before it starts anew.
-KEPT = 400_000
+CHUNK = 500_000
+#: Pieces of texts whose ids a task keeps, about, and the longest that it keeps.
+KEPT = 160_000
+LONGEST = 64
 
 
 def byte_letters() -> list[str]:
@@ -187,6 +189,32 @@ def lower(text: str) -> str:
 INFORMATION_SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
+class Recent:
+    """Ids of strings of up to LONGEST letters; when there are ``most``, those not asked for since the last time go."""
+
+    def __init__(self, most: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.most = most
+
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.young[key] = value
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) <= LONGEST:
+            self.young[key] = value
+
+    def turn(self) -> None:
+        if len(self.young) > self.most // 2:
+            self.old, self.young = self.young, {}
+
+
 class TextCodec:
     """Encodes and decodes whole texts, many at a time.
 
@@ -202,8 +230,7 @@ class TextCodec:
         self.tokens = {i: t for t, i in vocabulary.ids.items()} | {i: t for t, i in vocabulary.special.items()}
         self.letters = byte_letters()
         self.direct = {letter for letter in self.letters if ord(letter) < 128}
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Recent(kept), Recent(kept)
         self.seams_known: dict[int, bool] = {}
 
     def _parts(self, text: str | None) -> list[str]:
@@ -219,26 +246,28 @@ class TextCodec:
             at = found.end()
         return [*parts, *split(text[at:])]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Make the ids of pieces: their new words go into a trie, whose walk encodes them."""
-        find, known = self.words.findall, self.known
-        if len(self.pieces) + len(pieces) > self.kept:
-            self.pieces.clear()
-            known.clear()
-        if len(self.seams_known) > self.kept:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces: their new words go into a trie, whose walk encodes them."""
+        find = self.words.findall
+        if len(self.seams_known) > 2 * self.kept:
             self.seams_known.clear()
         wordy = {p: find(lower(unicodedata.normalize("NFC", p))) for p in pieces if p not in self.special}
-        trie, spelled = WordTrie(self.seams, self.seams_known), {}
-        for word in {w for words in wordy.values() for w in words if w not in known}:
+        trie, spelled, known = WordTrie(self.seams, self.seams_known), {}, {}
+        for word in {w for words in wordy.values() for w in words}:
+            ids = self.known.get(word)
+            if ids is not None:
+                known[word] = ids
+                continue
             letters = word if self.direct.issuperset(word) else "".join(map(self.letters.__getitem__, word.encode()))
             spelled[letters] = word
             trie.insert(letters)
         for letters, ids in trie.encodings():
             known[spelled[letters]] = array("I", ids).tobytes()
-        for piece, words in wordy.items():
-            self.pieces[piece] = b"".join(map(known.__getitem__, words))
+            self.known.keep(spelled[letters], known[spelled[letters]])
+        learnt = {piece: b"".join(map(known.__getitem__, words)) for piece, words in wordy.items()}
         for piece in pieces & self.special.keys():
-            self.pieces[piece] = array("I", [self.special[piece]]).tobytes()
+            learnt[piece] = array("I", [self.special[piece]]).tobytes()
+        return learnt
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Memory holds CHUNK characters of texts, or one."""
@@ -251,14 +280,19 @@ class TextCodec:
                 chunk, held = [], 0
         yield from self._encode_chunk(chunk)
 
+    def forget(self) -> None:
+        self.pieces, self.known = Recent(self.kept), Recent(self.kept)
+        self.seams_known.clear()
+
     def _encode_chunk(self, chunk: list[list[str]]) -> Iterator[bytes]:
-        distinct: set[str] = set().union(*chunk)
-        missing = {piece for piece in distinct if piece not in self.pieces}
-        if len(self.pieces) + len(missing) > self.kept:
-            missing = distinct
-        if missing:
-            self._learn(missing)
-        get = self.pieces.__getitem__
+        found = {piece: self.pieces.get(piece) for piece in set().union(*chunk)}
+        learnt = self._learn({piece for piece, ids in found.items() if ids is None})
+        found |= learnt
+        for piece, ids in learnt.items():
+            self.pieces.keep(piece, ids)
+        self.pieces.turn()
+        self.known.turn()
+        get = found.__getitem__
         for parts in chunk:
             yield b"".join(map(get, parts))
 
@@ -310,5 +344,6 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", with_id
                     out["decoded"].append(decoded)
             columns = [batch.column(n) for n in kept] + [pa.array(out[n], kind) for n, (_, kind) in added.items()]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added])
+        mine.forget()
 
     return docs.mapInArrow(run, schema)

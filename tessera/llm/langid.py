@@ -5,7 +5,7 @@ frequent in texts known to be of it, by rank. A text's own profile is made the s
 is the sum over its n-grams of how far out of place each is there (an n-gram that the language's profile lacks counts
 as if it were one place behind the last). The nearest language wins; equal distances go to the smaller name.
 
-Fitting reads a sample of labelled rows bounded by TRAIN_ROWS for each language: rows are taken by a hash of their id,
+Fitting reads a sample of labelled rows bounded by TRAIN_ROWS for each language: rows are taken by a hash of id and text,
 at the rate that the language's own count asks for, so rare languages are read whole. N-gram counts are summed by
 Spark; of each language only its most frequent ones reach the driver. Prediction is one pass without a shuffle.
 
@@ -21,15 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 #: Places in a profile.
 PLACES = 300
 #: Rows of each language that a profile is made of, about.
 TRAIN_ROWS = 2_000
 UNKNOWN = "und"
+#: Texts with fewer letters than this are too short to be told from noise by their score.
+LETTERS = 20
 #: Bits of a letter in an n-gram's code; code points have 21, so three letters fit into 63.
 BITS = 21
 
@@ -119,21 +122,25 @@ class Profiles:
         return self.languages[best], float(1 - distances[best] / worst) if worst else 0.0
 
 
-def bounded_sample(labelled: DataFrame, label: str, id_col: str, rows: int) -> DataFrame:
-    """About ``rows`` rows of each label at most, chosen by a hash of the id; labels with fewer are whole."""
+def bounded_sample(labelled: DataFrame, label: str, key: list[str], rows: int) -> DataFrame:
+    """About ``rows`` rows of each label at most, chosen by a hash of ``key``; labels with fewer are whole.
+
+    Rows that are alike in all columns count once in the sample, so copies of one row can't outgrow the bound.
+    """
     counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}
     span = 1 << 20
+    drawn = F.xxhash64(*[F.col(c) for c in key])
     chosen = F.lit(False)
     for value, count in sorted(counts.items(), key=lambda item: str(item[0])):
         share = min(span, -(-rows * span // count))
-        chosen = chosen | ((F.col(label) == value) & (F.pmod(F.xxhash64(F.col(id_col)), F.lit(span)) < share))
-    return labelled.filter(chosen)
+        chosen = chosen | ((F.col(label) == value) & (F.pmod(drawn, F.lit(span)) < share))
+    return labelled.filter(chosen).dropDuplicates()
 
 
 def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", places: int = PLACES, rows: int = TRAIN_ROWS) -> Profiles:
     """Profiles of the languages that ``lang_col`` names; rows with a null text or language teach nothing."""
     known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sample = bounded_sample(known, "lang", "id", rows)
+    sample = bounded_sample(known, "lang", ["id", "text"], rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,13 +153,27 @@ def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.cache()
     try:
-        languages = [r[0] for r in counted.select("lang").distinct().collect()]
-        tops = {lang: [r.gram for r in counted.filter(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(places).collect()] for lang in languages}
+        best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+        tops: dict[str, list[int]] = {}
+        for r in counted.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= places).orderBy("lang", "place").collect():
+            tops.setdefault(r.lang, []).append(r.gram)
     finally:
         counted.unpersist()
     return Profiles.of(tops, places)
 
 
+def lowest_score(labelled: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> float:
+    """Half of the score that all but one in a thousand of the known texts with enough letters reach; 0 if there are none."""
+    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+    scored = predict_languages(bounded_sample(known, "lang", ["id", "text"], rows), profiles, score_out="score").filter(letters(F.col("text")) >= LETTERS)
+    found = scored.agg(F.percentile_approx("score", 0.001, 10_000)).first()[0]
+    return (found or 0.0) / 2
+
+
+def letters(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", ""))
+
+
 def predict_languages(docs: DataFrame, profiles: Profiles, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``docs`` with the predicted language and its score."""
     handle = docs.sparkSession.sparkContext.broadcast(profiles)

@@ -63,3 +63,18 @@ def test_nulls_clashes_and_empty(spark):
     got = encode_documents(docs, PATH).collect()
     assert [r.n_tokens for r in got] == [0, 0, 2, 2]
     assert encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_memory_stays_bounded(reference, monkeypatch):
+    import tessera.llm.bpe as bpe
+
+    monkeypatch.setattr(bpe, "CHUNK", 2000)
+    small = TextCodec(Vocabulary.load(PATH), kept=100)
+    texts = [f"word{i} thing{i * 7} " + "x" * (i % 90) for i in range(3000)]
+    most = 0
+    for i, ids in enumerate(small.encode_all(texts)):
+        most = max(most, len(small.pieces) + len(small.known))
+        assert list(array("I", ids)) == reference.encode(texts[i], add_special_tokens=False).ids
+    assert most < 1500 and not any(len(p) > bpe.LONGEST for p in {**small.pieces.young, **small.pieces.old, **small.known.young})
+    small.forget()
+    assert not len(small.pieces) and not len(small.known) and not small.seams_known

@@ -1,6 +1,6 @@
 from collections import Counter
 
-from tessera.llm.langid import PLACES, UNKNOWN, Profiles, fit_profiles, predict_languages
+from tessera.llm.langid import PLACES, UNKNOWN, Profiles, bounded_sample, fit_profiles, lowest_score, predict_languages
 from tessera.llm.langid_query import op6_language_id
 
 
@@ -56,3 +56,18 @@ def test_held_out_accuracy(spark, sf_dir):
     assert len(rows) == len(truth) and all(0 <= r.score <= 1 for r in rows)
     held = [r for r in rows if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id] for r in held) / len(held) > 0.9
+
+
+def test_rows_without_id_do_not_outgrow_the_sample(spark):
+    rows = [(None, f"plain words number {i} stand here", "en") for i in range(10_000)] + [(None, "the same row", "en")] * 5_000
+    frame = spark.createDataFrame(rows, "id long, text string, lang string")
+    assert 20 <= bounded_sample(frame, "lang", ["id", "text"], 100).count() <= 200
+    assert bounded_sample(frame.limit(0), "lang", ["id", "text"], 100).count() == 0
+
+
+def test_lowest_score(spark):
+    rows = [(i, "the cat sat on the mat with a dog and the rat", "en") for i in range(50)] + [(99, "short", "en")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = fit_profiles(frame)
+    assert 0 < lowest_score(frame, profiles) < 0.5 < profiles.predict(rows[0][1])[1]
+    assert lowest_score(frame.limit(0), profiles) == 0
