@@ -46,6 +46,7 @@ OTHER = 64
 SIDE = 32  # classes, and tokens of a class, at least: SIDE * SIDE = VOCABULARY + OTHER
 SIDE_WORDS = 500_000  # distinct words from which on there are more
 REACH = 2
+OFFSETS = (*range(-REACH, 0), *range(1, REACH + 1))
 WIDTH = 24
 TRAIN_ROWS = 1_500
 TRAIN_TOKENS = 400_000
@@ -53,11 +54,30 @@ EPOCHS, BATCH, RATE = 2, 2048, 0.01
 ALL_BATCH, ALL_RATE = 8192, 0.003  # of the pass over all documents
 PIECE = 1 << 18  # tokens that a task holds at a time
 SLOTS = 512
-CHUNK = 1 << 16
+CHUNK = 1 << 13
+#: What str.split() takes for white space beside the six characters that part words here.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def tokens_of(text: str | None) -> list[str]:
-    return SPLIT.findall((text or "").lower())
+    text = (text or "").lower()
+    return SPLIT.findall(text) if OTHER_SPACE.search(text) else text.split()
+
+
+class Numbers(dict):
+    """Word -> token; words that are not in the vocabulary get their bucket, and KNOWN of them are kept."""
+
+    KNOWN = 100_000
+
+    def __init__(self, words: dict[str, int], first: int):
+        super().__init__(words)
+        self.first = first
+
+    def __missing__(self, word: str) -> int:
+        number = self.first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHER
+        if len(self) < self.KNOWN + self.first:
+            self[word] = number
+        return number
 
 
 @dataclass
@@ -73,6 +93,7 @@ class Model:
     members: np.ndarray  # (side, WIDTH, side)
     member_bias: np.ndarray
     rest: DataFrame | None = None  # (word, n) of all words in buckets
+    known: Numbers | None = None
 
     @property
     def side(self) -> int:
@@ -83,18 +104,19 @@ class Model:
         return self.side**2 - OTHER
 
     def numbers(self, words: list[str]) -> np.ndarray:
-        get, vocabulary = self.number.get, self.vocabulary
-        out = np.empty(len(words), dtype=np.int64)
-        for i, word in enumerate(words):
-            n = get(word)
-            out[i] = vocabulary + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHER if n is None else n
-        return out
+        if self.known is None:
+            self.known = Numbers(self.number, self.vocabulary)
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"known": None}
 
     def state(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Hidden state at the places ``at`` of a padded text (rows, 0: none), from the tokens around each."""
-        z = np.tile(self.hidden, (len(at), 1))
-        for k, offset in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
-            z += self.context[k][padded[at + offset]]
+        z = np.take(self.context[0], padded[at + OFFSETS[0]], axis=0)
+        z += self.hidden
+        for k in range(1, len(OFFSETS)):
+            z += np.take(self.context[k], padded[at + OFFSETS[k]], axis=0)
         return np.tanh(z, out=z)
 
     def log_probabilities(self, numbers: np.ndarray) -> np.ndarray:
@@ -110,14 +132,19 @@ class Model:
             at = places[start : start + CHUNK]
             state = self.state(row, at)
             group, member = np.divmod(row[at] - 1, self.side)
-            out[start : start + len(at)] = _log_softmax(state @ self.classes + self.class_bias, group)
+            out[start : start + len(at)] = _log_softmax(state, self.classes, self.class_bias, group)
             for c, rows in _by_group(group, self.side):
-                out[start + rows] += _log_softmax(state[rows] @ self.members[c] + self.member_bias[c], member[rows])
+                out[start + rows] += _log_softmax(state[rows], self.members[c], self.member_bias[c], member[rows])
         return out + self.inside[row[places] - 1]
 
 
+def _order(values: np.ndarray, count: int) -> np.ndarray:
+    """Stable order of values below ``count``; short integers are sorted by radix."""
+    return np.argsort(values.astype(np.uint16) if count <= 1 << 16 else values, kind="stable")
+
+
 def _by_group(group: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(group, kind="stable")
+    order = _order(group, side)
     bounds = np.searchsorted(group[order], np.arange(side + 1))
     for c in np.flatnonzero(np.diff(bounds)):
         yield c, order[bounds[c] : bounds[c + 1]]
@@ -129,14 +156,26 @@ def _row_of(texts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([gap, *(part for t in texts for part in (t + 1, gap))]) if texts else gap
 
 
-def _log_softmax(z: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z[np.arange(len(z)), chosen] - np.log(np.exp(z).sum(axis=1))
+def _exponents(state: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Logits, one row for each outcome; states lie within -1 and 1, so they stay small enough for exp as they are."""
+    z = weights.T @ state.T
+    z += bias[:, None]
+    return np.clip(z, -80, 80, out=z)
+
+
+def _log_softmax(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    z = _exponents(state, weights, bias)
+    picked = z[chosen, np.arange(len(chosen))]
+    return picked - np.log(np.exp(z, out=z).sum(axis=0))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+def _error(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Probabilities less 1 at what was there, one row for each outcome."""
+    z = _exponents(state, weights, bias)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0)
+    z[chosen, np.arange(len(chosen))] -= 1
+    return z
 
 
 def fresh(words: list[str], counts: np.ndarray, inside: np.ndarray, seed: int = 5) -> Model:
@@ -165,10 +204,16 @@ class Adam:
         self.steps += 1
         for name in PARAMS:
             first, second, param = self.first[name], self.second[name], getattr(self.model, name)
-            first += 0.1 * (grads[name] - first)
-            second += 0.001 * (grads[name] ** 2 - second)
-            step = self.rate * first / (1 - 0.9**self.steps) / (np.sqrt(second / (1 - 0.999**self.steps)) + 1e-7)
-            param -= step.astype(param.dtype)
+            grad = grads[name]
+            first *= 0.9
+            first += 0.1 * grad
+            second *= 0.999
+            second += 0.001 * grad * grad
+            step = np.sqrt(second / (1 - 0.999**self.steps))
+            step += 1e-7
+            np.divide(first, step, out=step)
+            step *= self.rate / (1 - 0.9**self.steps)
+            param -= step
 
 
 def train(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> None:
@@ -246,24 +291,24 @@ def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.nda
     state = model.state(row, at)
     token = row[at] - 1
     group, member = np.divmod(token, model.side)
-    to_class = _softmax(state @ model.classes + model.class_bias)
-    to_class[np.arange(n), group] -= 1
-    grads = {"classes": state.T @ to_class / n, "class_bias": to_class.sum(axis=0) / n, "members": np.zeros_like(model.members), "member_bias": np.zeros_like(model.member_bias)}
-    back = to_class @ model.classes.T
+    to_class = _error(state, model.classes, model.class_bias, group)
+    grads = {"classes": (to_class @ state).T / n, "class_bias": to_class.sum(axis=1) / n, "members": np.zeros_like(model.members), "member_bias": np.zeros_like(model.member_bias)}
+    back = (model.classes @ to_class).T
     for c, rows in _by_group(group, model.side):
-        to_member = _softmax(state[rows] @ model.members[c] + model.member_bias[c])
-        to_member[np.arange(len(rows)), member[rows]] -= 1
-        grads["members"][c] = state[rows].T @ to_member / n
-        grads["member_bias"][c] = to_member.sum(axis=0) / n
-        back[rows] += to_member @ model.members[c].T
+        mine = state[rows]
+        to_member = _error(mine, model.members[c], model.member_bias[c], member[rows])
+        grads["members"][c] = (to_member @ mine).T / n
+        grads["member_bias"][c] = to_member.sum(axis=1) / n
+        back[rows] += (model.members[c] @ to_member).T
     back = (back * (1 - state * state) / n).astype(np.float32)
     grads["hidden"] = back.sum(axis=0)
     grads["context"] = np.zeros_like(model.context)
-    for k, offset in enumerate([*range(-REACH, 0), *range(1, REACH + 1)]):
+    for k, offset in enumerate(OFFSETS):
         near = row[at + offset]
-        order = np.argsort(near, kind="stable")
-        seen, starts = np.unique(near[order], return_index=True)
-        grads["context"][k][seen] = np.add.reduceat(back[order], starts)
+        order = _order(near, model.context.shape[1])
+        near = near[order]
+        starts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+        grads["context"][k][near[starts]] = np.add.reduceat(back[order], starts)
     grads["context"][:, 0] = 0
     return grads
 
@@ -306,7 +351,8 @@ def fit_model(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
     model = fresh([r.word for r in top], counts, inside)
     total, span = texts.count(), 1 << 20
     share = min(span, -(-rows * span // max(total, 1)))
-    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(span)) < share).collect()
+    # Rows that are alike count once, so copies of a row or rows without an id can't outgrow the bound.
+    sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < share).dropDuplicates().collect()
     train(model, [model.numbers(tokens_of(r.text)) for r in sorted(sample, key=lambda r: (r.id is None, r.id or 0, r.text))])
     train_on_all(model, texts)
     model.rest = others if rest else None
