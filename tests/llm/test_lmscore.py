@@ -106,3 +106,15 @@ def test_every_token_trains_and_rare_words_have_their_counts(spark, monkeypatch)
         shares[model.numbers([word])[0] - lm.VOCABULARY] += n + 1
     for bucket, share in enumerate(shares):
         assert abs((share + 1) * math.exp(model.inside[lm.VOCABULARY + bucket]) - 1) < 1e-9
+
+
+def test_counts_by_join_and_in_tasks_agree(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = fit_model(docs, rows=20)
+    assert model.own and model.least == 1
+    inside = {r.doc_id: r.log_likelihood for r in score_documents(docs, model, keep=["doc_id"]).collect()}
+    monkeypatch.setattr(lm, "COMMON", 1000)
+    model.least, model.own = lm._common(model.rest)
+    assert 0 < len(model.own) <= 1000 and model.least > 1
+    joined = {r.doc_id: r.log_likelihood for r in score_documents(docs, model, keep=["doc_id"]).collect()}
+    assert all(abs(inside[i] - joined[i]) < 1e-6 * max(1, abs(inside[i])) for i in inside) and inside.keys() == joined.keys()

@@ -50,3 +50,27 @@ def test_matches_sql(spark, sf_dir):
     con.sql(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
     want = con.sql(f"select * from ({SQL}) order by 1, 2").fetchall()
     assert sorted(tuple(r) for r in op4_exact_top_k(spark, sf_dir).collect()) == want
+
+
+def test_groups_stay_small_where_that_saves_copies():
+    pivots = np.array([[float(100 * i), 0.0] for i in range(6)])
+    counts, edges = np.full((6, 1), 50), np.array([np.inf])
+    apart = {c: np.where(np.arange(6) == c, 0.0, np.inf) for c in range(6)}
+    edges = np.array([10.0])
+    groups = topk.plan_groups({c: 20 for c in range(6)}, apart, pivots, counts, edges)
+    assert len(groups) == 6 and sum(copies for _, _, copies in groups) == 300  # each vector once, not six times
+    everywhere = {c: np.zeros(6) for c in range(6)}
+    groups = topk.plan_groups({c: 20 for c in range(6)}, everywhere, pivots, counts, edges)
+    assert [sorted(g) for g, _, _ in groups] == [[0, 1, 2, 3, 4, 5]] and groups[0][2] == 300
+
+
+def test_clustered_vectors_are_not_sent_everywhere(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = np.eye(8) * 50
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(0, 0.01, 8)]) for i in range(800)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    monkeypatch.setattr(topk, "plan_groups", lambda *a, f=topk.plan_groups: sent.append(f(*a)) or sent[-1])
+    got = sorted(tuple(r) for r in top_k(docs, docs.filter("vec_id % 20 = 0"), 3).collect())
+    assert got == brute([(i, v, "") for i, v in rows], lambda i: i % 20 == 0, 3)
+    assert sum(copies for _, _, copies in sent[0]) <= 900  # eight groups of queries, yet about one copy of a vector
