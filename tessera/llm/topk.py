@@ -3,9 +3,12 @@
 Vectors are grouped by their nearest pivot. With M the largest length of any vector, the data point x stands for
 (x, sqrt(M * M - x.x)) and the query q for (q, 0): then squared distance is q.q + M * M - 2 q.x, so nearest means largest
 inner product and the triangle inequality holds. Summaries of each cell (its radius, and its smallest distances to the
-pivot) bound, for a group of query cells, how far the k-th best of any of its queries can be; a data vector goes to the
-group only if its distance to its pivot leaves room for it within that bound. Groups and cells are dealt out in blocks
-of bounded size, each is solved by one matrix product, and the best k of a query's blocks are merged.
+pivot, and how many of its vectors lie how far from it) bound, for each query cell, how far the k-th best of any of its
+queries can be; a data vector goes to a query cell only if its distance to its pivot leaves room for it within that bound.
+Near query cells are put together in groups, which get a vector once, but only while that makes fewer copies by the
+summaries. Groups and cells are dealt out in blocks of bounded size, each is solved by matrix products, and the best k
+of a query's blocks are merged. Where the bounds leave out little (many dimensions, vectors of like length), a group
+takes up to GROUP queries, so a vector is copied once for so many.
 
 Scores are exact integers: the bounds only decide where vectors go, and leave room for rounding.
 
@@ -30,8 +33,11 @@ from tessera.llm.shared import materialize
 #: Pivots at most; they and their summaries are all that is collected.
 PIVOTS = 256
 #: Queries of a group, about, and vectors of a block.
-GROUP = 1024
+GROUP = 8192
 BLOCK = 4096
+#: Queries whose scores with a block are held at a time, and steps of distance in a cell's summary.
+SLICE = 256
+STEPS = 64
 
 
 def _matrix(values: list[list[int]], width: int) -> np.ndarray:
@@ -90,18 +96,29 @@ def _assign(frame: DataFrame, cells: Cells, width: int, query: bool) -> DataFram
     return frame.mapInArrow(run, "vec_id long, x array<long>, cell int, d double")
 
 
-def _groups(counts: dict[int, int], pivots: np.ndarray) -> list[list[int]]:
-    """Query cells put together, near ones first, until a group has GROUP queries."""
-    left, groups = sorted(counts), []
+def plan_groups(sizes: dict[int, int], rooms: dict[int, np.ndarray], pivots: np.ndarray, counts: np.ndarray, edges: np.ndarray) -> list[tuple[list[int], np.ndarray, int]]:
+    """Query cells put together, each with the least distance to its pivot that a vector of a cell needs, and the copies that makes.
+
+    ``counts[j, s]`` vectors of cell j are at most edges[s] from its pivot. Near cells join while a group has less than
+    GROUP queries and the copies of the whole are fewer than those of its parts.
+    """
+
+    def copies(room: np.ndarray) -> int:
+        return int(counts[edges[None, :] >= room[:, None]].sum())
+
+    left, groups = sorted(sizes), []
     while left:
-        group, size = [left.pop(0)], 0
-        size = counts[group[0]]
+        first = left.pop(0)
+        group, size, room, cost = [first], sizes[first], rooms[first], copies(rooms[first])
         while left and size < GROUP:
-            near = min(left, key=lambda c: (float(((pivots[c] - pivots[group[0]]) ** 2).sum()), c))
+            near = min(left, key=lambda c: (float(((pivots[c] - pivots[first]) ** 2).sum()), c))
+            both = np.minimum(room, rooms[near])
+            together = copies(both)
+            if together >= cost + copies(rooms[near]):
+                break
             left.remove(near)
-            group.append(near)
-            size += counts[near]
-        groups.append(group)
+            group, size, room, cost = [*group, near], size + sizes[near], both, together
+        groups.append((group, room, cost))
     return groups
 
 
@@ -133,18 +150,22 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id
     query_cells = {r.cell: (r.n, r.u) for r in sought.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("u")).collect()}
     between = np.sqrt(np.maximum(((cells.pivots[:, None, :] - cells.pivots[None, :, :]) ** 2).sum(axis=2), 0))
     slack = 1e-6 * (longest + 1)
+    step = max(2.0 * longest, 1.0) / STEPS
+    counts = np.zeros((len(cells.pivots), STEPS), dtype=np.int64)
+    for r in placed.groupBy("cell", F.least(F.floor(F.col("d") / step), F.lit(STEPS - 1)).alias("s")).count().collect():
+        counts[r.cell, r.s] = r["count"]
+    edges = step * np.arange(1, STEPS + 1)
+    edges[-1] = math.inf
+    there = sorted(closest)
+    rooms = {}
+    for cell, (_, reach) in query_cells.items():
+        upper = sorted(reach + between[cell, j] + d for j, near in closest.items() for d in near)
+        bound = upper[k] if len(upper) > k else math.inf
+        # x may be among the best only if d(x, its pivot) >= between - reach - bound, by the triangle inequality.
+        rooms[cell] = between[cell] - reach - bound - slack
     within = []
-    for number, group in enumerate(_groups({c: n for c, (n, _) in query_cells.items()}, cells.pivots)):
-        size = sum(query_cells[c][0] for c in group)
-        room: dict[int, float] = {}
-        for cell in group:
-            reach = query_cells[cell][1]
-            upper = sorted(reach + between[cell, j] + d for j, near in closest.items() for d in near)
-            bound = upper[k] if len(upper) > k else math.inf
-            for j in closest:
-                # x may be among the best only if d(x, its pivot) >= between - reach - bound, by the triangle inequality.
-                room[j] = min(room.get(j, math.inf), between[cell, j] - reach - bound - slack)
-        within.append((number, group, size, room))
+    for number, (group, room, _) in enumerate(plan_groups({c: n for c, (n, _) in query_cells.items()}, rooms, cells.pivots, counts, edges)):
+        within.append((number, group, sum(query_cells[c][0] for c in group), {j: float(room[j]) for j in there}))
     spark = frame.sparkSession
     to_group = spark.createDataFrame([(c, g, max(1, -(-size // GROUP))) for g, group, size, _ in within for c in group], "cell int, g int, parts int")
     reached = spark.createDataFrame([(j, g, float(max(least, -1.0)), max(1, -(-size // GROUP))) for g, _, size, room in within for j, least in room.items()], "cell int, g int, least double, parts int")
@@ -168,16 +189,15 @@ def top_k(frame: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, id
             if not held[0] or not held[1]:
                 return
             ids = np.array([r[0] for r in held[1]], dtype=np.int64)
-            score = products(_matrix([r[1] for r in held[0]], width), _matrix([r[1] for r in held[1]], width))
-            out = []
-            for i, (query, vector) in enumerate(held[0]):
-                mine = np.flatnonzero(ids != query)
-                order = mine[np.lexsort((ids[mine], -score[i, mine]))] if len(mine) <= 4 * k else None
-                if order is None:
-                    least = np.partition(score[i, mine], len(mine) - k)[len(mine) - k]
-                    mine = mine[score[i, mine] >= least]
-                    order = mine[np.lexsort((ids[mine], -score[i, mine]))]
-                out += [(query, vector, int(ids[j]), int(score[i, j])) for j in order[:k]]
+            data, out = _matrix([r[1] for r in held[1]], width), []
+            for at in range(0, len(held[0]), SLICE):
+                asking = held[0][at : at + SLICE]
+                for (query, vector), score in zip(asking, products(_matrix([r[1] for r in asking], width), data)):
+                    mine = np.flatnonzero(ids != query)
+                    if len(mine) > 4 * k:
+                        mine = mine[score[mine] >= np.partition(score[mine], len(mine) - k)[len(mine) - k]]
+                    order = mine[np.lexsort((ids[mine], -score[mine]))]
+                    out += [(query, vector, int(ids[j]), int(score[j])) for j in order[:k]]
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], kind) for n, kind in enumerate((pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()))], names=["query_id", "q", "vec_id", "score"])
 
         for batch in batches:
