@@ -14,7 +14,8 @@ Weights are trained in numpy with Adam: first on the driver on at most TRAIN_ROW
 start from one place, then in tasks on every token of every document; the weights of the tasks are averaged by their
 tokens, in slots that are summed in executors, so that the driver gets one model whatever the number of tasks.
 
-Scoring is one pass over whole texts, in pieces of CHUNK tokens; words in buckets then meet their counts in a join by word.
+Scoring is one pass over whole texts, in pieces of CHUNK tokens. Words in buckets have their own counts: those of the COMMON
+most frequent ones are with all tasks, all rarer words meet theirs in a join by word.
 
 Defined cases: null and empty texts have no tokens and a sum of 0; an empty corpus gives scores of 0; repeated rows give
 repeated results; other columns stay, and result columns take the place of columns of the same name.
@@ -54,6 +55,8 @@ EPOCHS, BATCH, RATE = 2, 2048, 0.01
 ALL_BATCH, ALL_RATE = 8192, 0.003  # of the pass over all documents
 PIECE = 1 << 18  # tokens that a task holds at a time
 SLOTS = 512
+#: Words whose own counts go to all tasks, at most; rarer ones meet theirs in a join.
+COMMON = 100_000
 CHUNK = 1 << 13
 #: What str.split() takes for white space beside the six characters that part words here.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -67,7 +70,7 @@ def tokens_of(text: str | None) -> list[str]:
 class Numbers(dict):
     """Word -> token; words that are not in the vocabulary get their bucket, and KNOWN of them are kept."""
 
-    KNOWN = 100_000
+    KNOWN = 200_000
 
     def __init__(self, words: dict[str, int], first: int):
         super().__init__(words)
@@ -93,6 +96,8 @@ class Model:
     members: np.ndarray  # (side, WIDTH, side)
     member_bias: np.ndarray
     rest: DataFrame | None = None  # (word, n) of all words in buckets
+    own: dict[str, float] | None = None  # logarithm of count + 1 of the COMMON most frequent words in buckets
+    least: int = 1  # their smallest count
     known: Numbers | None = None
 
     @property
@@ -130,11 +135,14 @@ class Model:
         out = np.empty(len(places), dtype=np.float64)
         for start in range(0, len(places), CHUNK):
             at = places[start : start + CHUNK]
+            order = _order((row[at] - 1) // self.side, self.side)
+            at = at[order]
             state = self.state(row, at)
             group, member = np.divmod(row[at] - 1, self.side)
-            out[start : start + len(at)] = _log_softmax(state, self.classes, self.class_bias, group)
-            for c, rows in _by_group(group, self.side):
-                out[start + rows] += _log_softmax(state[rows], self.members[c], self.member_bias[c], member[rows])
+            found = _log_softmax(state, self.classes, self.class_bias, group)
+            for c, part in _by_group(group, self.side):
+                found[part] += _log_softmax(state[part], self.members[c], self.member_bias[c], member[part])
+            out[start + order] = found
         return out + self.inside[row[places] - 1]
 
 
@@ -143,11 +151,11 @@ def _order(values: np.ndarray, count: int) -> np.ndarray:
     return np.argsort(values.astype(np.uint16) if count <= 1 << 16 else values, kind="stable")
 
 
-def _by_group(group: np.ndarray, side: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = _order(group, side)
-    bounds = np.searchsorted(group[order], np.arange(side + 1))
+def _by_group(group: np.ndarray, side: int) -> Iterator[tuple[int, slice]]:
+    """Groups that are there, with where each stands in the sorted ``group``."""
+    bounds = np.searchsorted(group, np.arange(side + 1))
     for c in np.flatnonzero(np.diff(bounds)):
-        yield c, order[bounds[c] : bounds[c + 1]]
+        yield c, slice(bounds[c], bounds[c + 1])
 
 
 def _row_of(texts: list[np.ndarray]) -> np.ndarray:
@@ -288,18 +296,18 @@ def _slots(sums: dict[int, list]) -> pa.RecordBatch:
 def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log-probability at places of a row of padded texts."""
     n = len(at)
+    at = at[_order((row[at] - 1) // model.side, model.side)]
     state = model.state(row, at)
     token = row[at] - 1
     group, member = np.divmod(token, model.side)
     to_class = _error(state, model.classes, model.class_bias, group)
     grads = {"classes": (to_class @ state).T / n, "class_bias": to_class.sum(axis=1) / n, "members": np.zeros_like(model.members), "member_bias": np.zeros_like(model.member_bias)}
     back = (model.classes @ to_class).T
-    for c, rows in _by_group(group, model.side):
-        mine = state[rows]
-        to_member = _error(mine, model.members[c], model.member_bias[c], member[rows])
-        grads["members"][c] = (to_member @ mine).T / n
+    for c, part in _by_group(group, model.side):
+        to_member = _error(state[part], model.members[c], model.member_bias[c], member[part])
+        grads["members"][c] = (to_member @ state[part]).T / n
         grads["member_bias"][c] = to_member.sum(axis=1) / n
-        back[rows] += (model.members[c] @ to_member).T
+        back[part] += (model.members[c] @ to_member).T
     back = (back * (1 - state * state) / n).astype(np.float32)
     grads["hidden"] = back.sum(axis=0)
     grads["context"] = np.zeros_like(model.context)
@@ -355,10 +363,27 @@ def fit_model(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
     sample = texts.filter(F.pmod(F.xxhash64("id", "text"), F.lit(span)) < share).dropDuplicates().collect()
     train(model, [model.numbers(tokens_of(r.text)) for r in sorted(sample, key=lambda r: (r.id is None, r.id or 0, r.text))])
     train_on_all(model, texts)
-    model.rest = others if rest else None
+    if rest:
+        model.rest = others
+        model.least, model.own = _common(others)
     return model
 
 
+def _common(counts: DataFrame) -> tuple[int, dict[str, float]]:
+    """The least count of which there are no more than COMMON words with it or more, by steps of an eighth of a power of two, and their logarithms."""
+    step = F.floor(F.log2("n") * 8)
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).collect(), reverse=True)
+    words, least = 0, None
+    for r in steps:
+        words += r.words
+        if words > COMMON:
+            break
+        least = r.least
+    if least is None:
+        return 1 << 62, {}
+    return least, {r.word: math.log(r.n + 1.0) for r in counts.filter(F.col("n") >= least).collect()}
+
+
 def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``docs``, or its columns ``keep``, with n_tokens, log_likelihood (the sum over the document) and per_token (its mean, null without tokens)."""
     counts = model.rest if model else None
@@ -371,14 +396,15 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, row_id = handle.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            sizes, sums, rest, held = [], [], [], []
+            sizes, sums, rest, held, owned = [], [], [], [], []
 
             def score() -> None:
                 row = _row_of(held)
                 logs = mine.at_places(row, np.flatnonzero(row))
                 ends = np.cumsum([len(t) for t in held])
-                sums.extend(float(logs[e - len(t) : e].sum()) for e, t in zip(ends, held))
+                sums.extend(float(logs[e - len(t) : e].sum()) + x for e, t, x in zip(ends, held, owned or [0.0] * len(held)))
                 held.clear()
+                owned.clear()
 
             waiting = 0
             for text in batch.column(text_col):
@@ -389,7 +415,10 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
                     continue
                 held.append(mine.numbers(words))
                 if extra:
-                    rest.append([words[i] for i in np.flatnonzero(held[-1] >= mine.vocabulary)])
+                    rare = [words[i] for i in np.flatnonzero(held[-1] >= mine.vocabulary)]
+                    own = list(map(mine.own.get, rare))
+                    owned.append(sum(x for x in own if x is not None))
+                    rest.append([w for w, x in zip(rare, own) if x is None])
                 waiting += len(words)
                 if waiting >= PIECE:
                     score()
@@ -406,6 +435,6 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
     if extra:
         scored = materialize(scored)
         words = scored.select("__row", F.explode("__rest").alias("word"))
-        own = words.join(counts, "word").groupBy("__row").agg(F.sum(F.log(F.col("n") + 1.0)).alias("__own"))
+        own = words.join(counts.filter(F.col("n") < model.least), "word").groupBy("__row").agg(F.sum(F.log(F.col("n") + 1.0)).alias("__own"))
         scored = scored.drop("__rest").join(own, "__row", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("__own", F.lit(0.0))).drop("__row", "__own")
     return scored.withColumn("per_token", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
