@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import elementwise, frames, masked_math, shapes, text, vectors
+from tessera.plans import elementwise, frames, masked_math, series, shapes, text, vectors
 
-MODULES = (elementwise, frames, masked_math, shapes, text, vectors)
+MODULES = (elementwise, frames, masked_math, series, shapes, text, vectors)
 
 
 def entry(spark: SparkSession) -> DataFrame:
