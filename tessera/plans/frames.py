@@ -84,7 +84,6 @@ _WINDOWS = {
     "sliding_mean": (lambda x, w: window.sliding(F.avg, x, w, 3), "CASE WHEN count(*) OVER " + _OVER.format("ROWS 2 PRECEDING") + " = 3 THEN avg(value) OVER " + _OVER.format("ROWS 2 PRECEDING") + " END"),
     "convolve": (lambda x, w: window.convolve(x, [0.5, 0.3, 0.2], w), f"value * 0.5 + coalesce(lag(value) OVER {_OVER.format('')}, 0) * 0.3 + coalesce(lag(value, 2) OVER {_OVER.format('')}, 0) * 0.2"),
     "anom": (lambda x, w: masked.anom(x, _KEYS), "value - avg(value) OVER (PARTITION BY user_id)"),
-    "affine_scan": (lambda x, w: F.round(window.affine_scan(F.lit(0.9), x, w) * 0.7071067811865476, 4), None),
 }
 for _name, (_make, _sql) in _WINDOWS.items():
     _add(
@@ -93,6 +92,7 @@ for _name, (_make, _sql) in _WINDOWS.items():
         lambda f, _, m=_make: f.withColumn("y", m(F.col("value"), window.ordered(_KEYS, _ORDER))).select("event_id", F.round("y", 8).alias("y")),
         _sql and f"SELECT event_id, round({_sql}, 8) AS y FROM events",
     )
+_add("window_affine_scan", "events", lambda f, _: window.affine_scan(f, F.lit(0.9), F.col("value"), _KEYS, _ORDER).select("event_id", F.round(F.round(F.col("y") * 0.7071067811865476, 4), 8).alias("y")), None)
 ORACLES["window_affine_scan"] = "SELECT event_id, round(sum(value * pow(0.9, -i)) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) * pow(0.9, i) * 0.7071067811865476, 4) AS y FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
 _add("trapezoid", "events", lambda f, _: window.trapezoid(f.withColumn("x", F.col("event_id").cast("double")), "value", "x", _KEYS).withColumn("area", F.round("area", 4)), "SELECT user_id, round(coalesce(sum(a), 0), 4) AS area FROM (SELECT user_id, (event_id - lag(event_id) OVER w) * (value + lag(value) OVER w) / 2 AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) GROUP BY user_id")
 _add("positions", "customer", lambda f, _: window.with_positions(f.select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "pos"), "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS pos FROM customer")
