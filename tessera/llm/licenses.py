@@ -1,7 +1,7 @@
 """Licence detection by ordered signature rules.
 
 A text becomes lower-case words with one space between them. One regex finds which keywords it holds; only rules of a
-keyword that is there are run. Every place of a rule is an interval of words. Intervals in order of start (longest,
+keyword that is there are run, and mark their hits. Every place of a rule is an interval of words. Intervals in order of start (longest,
 then strongest first) are swept once with the farthest end seen at each priority: an interval inside one of the same or
 a stronger priority is suppressed. The sweep's state is one number per priority and the kept intervals.
 
@@ -44,35 +44,43 @@ def keyword_pattern(keywords: tuple[str, ...] = KEYWORDS) -> str:
     return " (" + "|".join(branches) + ")(?= )"
 
 
-def _rule_table(rules: tuple[Rule, ...]) -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(rule.keyword).alias("keyword"),
-                F.lit(rule.regex).alias("regex"),
-                F.lit(rule.label).alias("label"),
-                F.lit(rule.priority).alias("priority"),
-                F.lit(rule.confidence).alias("confidence"),
-                F.lit(i < len(BASE_PHRASES)).alias("base"),
-            )
-            for i, rule in enumerate(rules)
-        ]
-    )
+#: Marks that are put before and after a hit; words hold neither.
+BEGIN, END = "\x01", "\x02"
 
 
-def _places(run: Column) -> Column:
-    """Word intervals of a rule's hits: words are counted through what stands between the hits."""
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + _spaces(F.get(run["between"], i))
-        end = start + _spaces(F.get(run["hits"], i))
-        place = F.struct(
-            start.alias("start"), (-end).alias("neg_end"), run["priority"].alias("priority"), run["label"].alias("label"), run["confidence"].alias("confidence"), run["base"].alias("base")
-        )
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(place)).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(run["hits"]) - 1), zero, step, lambda acc: acc["out"])
+# These two are long, so they are written as SQL text: one expression instead of thousands of calls.
+def _rule_table(rules: tuple[Rule, ...]) -> Column:
+    rows = (f"named_struct('label', {_text(r.label)}, 'priority', {r.priority}, 'confidence', {r.confidence}D, 'base', {str(i < len(BASE_PHRASES)).lower()})" for i, r in enumerate(rules))
+    return F.expr(f"array({', '.join(rows)})")
+
+
+def _marked(rules: tuple[Rule, ...], found: str, padded: str) -> Column:
+    """(rule, text with marks around its hits) of each rule whose keyword is there; patterns are literals, compiled once a task."""
+    by_keyword: dict[str, list[str]] = {}
+    for i, rule in enumerate(rules):
+        run = f"named_struct('rule', {i}, 'text', regexp_replace({padded}, {_text(rule.regex)}, {_text(BEGIN + '$0' + END)}))"
+        by_keyword.setdefault(rule.keyword, []).append(run)
+    none = "cast(array() AS array<struct<rule:int,text:string>>)"
+    cases = (f"CASE WHEN array_contains({found}, {_text(keyword)}) THEN array({', '.join(runs)}) ELSE {none} END" for keyword, runs in by_keyword.items())
+    return F.expr(f"flatten(array({', '.join(cases)}))")
+
+
+def _places(run: Column, table: Column) -> Column:
+    """Word intervals of a rule's hits: the numbers of the words that carry its marks, in one pass over the words."""
+    words = F.split(run["text"], " ")
+    at = lambda test: F.filter(F.transform(words, lambda w, i: F.when(test(w), i)), lambda i: i.isNotNull())
+    rule = F.get(table, run["rule"])
+    pairs = F.arrays_zip(at(lambda w: F.endswith(w, F.lit(BEGIN))).alias("start"), at(lambda w: F.contains(w, F.lit(END))).alias("end"))
+    return F.transform(
+        pairs,
+        lambda pair: F.struct(
+            pair["start"].alias("start"), (-pair["end"]).alias("neg_end"), rule["priority"].alias("priority"), rule["label"].alias("label"), rule["confidence"].alias("confidence"), rule["base"].alias("base")
+        ),
+    )
 
 
 def _sweep(places: Column) -> Column:
@@ -98,19 +106,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     padded = F.concat(F.lit(" "), F.col("__words"), F.lit(" "))
     keywords = tuple(sorted({rule.keyword for rule in rules}))
     found = F.array_distinct(F.regexp_extract_all(F.col("__padded"), F.lit(keyword_pattern(keywords)), 1))
-    live = F.filter(_rule_table(rules), lambda rule: F.array_contains(F.col("__found"), rule["keyword"]))
-    runs = F.transform(
-        live,
-        lambda rule: F.struct(
-            rule["label"].alias("label"),
-            rule["priority"].alias("priority"),
-            rule["confidence"].alias("confidence"),
-            rule["base"].alias("base"),
-            F.regexp_extract_all(F.col("__padded"), rule["regex"], 0).alias("hits"),
-            F.split(F.col("__padded"), rule["regex"], -1).alias("between"),
-        ),
-    )
-    places = F.array_sort(F.flatten(F.transform(F.filter(F.col("__runs"), lambda run: F.size(run["hits"]) > 0), _places)))
+    runs = F.filter(_marked(rules, "__found", "__padded"), lambda run: F.contains(run["text"], F.lit(BEGIN)))
+    places = F.array_sort(F.flatten(F.transform(F.col("__runs"), lambda run: _places(run, _rule_table(rules)))))
     nothing = F.array().cast(SPAN)
     return (
         docs.withColumn("__words", words_of(F.col(f"`{text_col}`")))
