@@ -36,9 +36,9 @@ CASES = {
     "translate": (lambda s: S.translate(s, "abc", "xyz"), "translate(s, 'abc', 'xyz')"),
     "slice": (lambda s: S.cut(s, 2, 6), "substr(s, 3, 4)"),
     "isalpha": (lambda s: S.isalpha(s), "regexp_full_match(s, '\\pL+')"),
-    "isdigit": (lambda s: S.isdigit(F.substring(s, -1, 1)), "regexp_full_match(substr(s, -1, 1), '[0-9]+')"),
-    "isdecimal": (lambda s: S.isdecimal(F.substring(s, -1, 1)), "regexp_full_match(substr(s, -1, 1), '[0-9]+')"),
-    "isnumeric": (lambda s: S.isnumeric(F.substring(s, -1, 1)), "regexp_full_match(substr(s, -1, 1), '[0-9]+')"),
+    "isdigit": (lambda s: S.isdigit(F.regexp_replace(s, "[a-zA-Z ]", "")), "regexp_full_match(regexp_replace(s, '[a-zA-Z ]', '', 'g'), '[0-9]+')"),
+    "isdecimal": (lambda s: S.isdecimal(F.regexp_replace(s, "[a-zA-Z ]", "")), "regexp_full_match(regexp_replace(s, '[a-zA-Z ]', '', 'g'), '[0-9]+')"),
+    "isnumeric": (lambda s: S.isnumeric(F.regexp_replace(s, "[a-zA-Z ]", "")), "regexp_full_match(regexp_replace(s, '[a-zA-Z ]', '', 'g'), '[0-9]+')"),
     "isalnum": (lambda s: S.isalnum(s), "regexp_full_match(s, '[\\pL\\pN]+')"),
     "isspace": (lambda s: S.isspace(F.substring(s, 5, 1)), "regexp_full_match(substr(s, 5, 1), '\\s+')"),
     "isupper": (lambda s: S.isupper(s), "regexp_matches(s, '\\p{Lu}') AND NOT regexp_matches(s, '\\p{Ll}')"),

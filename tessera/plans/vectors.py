@@ -16,12 +16,10 @@ def _add(name, table, run, sql=None):
         ORACLES[name] = sql
 
 
-for _name, _sql in {"add": "sum(p_size)", "multiply": "product(p_size % 3 + 1)", "maximum": "max(p_size)", "minimum": "min(p_size)", "bitwise_and": "bit_and(p_size)", "bitwise_or": "bit_or(p_size)", "bitwise_xor": "bit_xor(p_size)"}.items():
-    _v = "p_size % 3 + 1" if _name == "multiply" else "p_size"
-    _add(f"ufunc_reduce_{_name}", "part", lambda f, _, n=_name, v=_v: methods.ufunc_reduce(f.filter("p_partkey % 40 < 3").withColumn("x", F.expr(v)), n, "x", ["p_brand"]), f"SELECT p_brand, {_sql} AS y FROM part WHERE p_partkey % 40 < 3 GROUP BY p_brand")
-for _name, _sql in {"add": "sum", "multiply": "product", "maximum": "max", "minimum": "min", "bitwise_and": "bit_and", "bitwise_or": "bit_or", "bitwise_xor": "bit_xor"}.items():  # over all rows
+for _name, _sql in {"add": "sum", "multiply": "product", "maximum": "max", "minimum": "min", "bitwise_and": "bit_and", "bitwise_or": "bit_or", "bitwise_xor": "bit_xor"}.items():
     _v = "CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END" if _name == "multiply" else "p_size"
-    _add(f"ufunc_reduce_{_name}_all", "part", lambda f, _, n=_name, v=_v: methods.ufunc_reduce(f.withColumn("x", F.expr(v)), n, "x", ["p_brand"]), f"SELECT p_brand, {_sql}({_v}) AS y FROM part GROUP BY p_brand")
+    for _as in (f"ufunc_reduce_{_name}", f"ufunc_reduce_{_name}_all"):
+        _add(_as, "part", lambda f, _, n=_name, v=_v: methods.ufunc_reduce(f.withColumn("x", F.expr(v)), n, "x", ["p_brand"]), f"SELECT p_brand, {_sql}({_v}) AS y FROM part GROUP BY p_brand")
 for _name, _sql in {"add": "sum", "maximum": "max", "minimum": "min"}.items():
     _add(f"ufunc_accumulate_{_name}", "part", lambda f, _, n=_name: methods.ufunc_accumulate(f, n, "p_size", ["p_partkey"], ["p_brand"]).select("p_partkey", "y"), f"SELECT p_partkey, {_sql}(p_size) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) AS y FROM part")
 _add("ufunc_outer_greater", "nation", lambda f, t: methods.ufunc_outer(f.select(F.col("n_nationkey").alias("a")), t("region").select(F.col("r_regionkey").alias("b")), "greater", "a", "b"), "SELECT n_nationkey AS a, r_regionkey AS b, n_nationkey > r_regionkey AS z FROM nation, region")
@@ -47,8 +45,8 @@ _add("rows_gather", "embeddings", lambda f, t: rows.gather(f, "vec_id", t("part"
 _add("binary_repr", "part", lambda f, _: f.select("p_partkey", rows.binary_repr(F.col("p_size") - 30, 8).alias("y")), "SELECT p_partkey, right(((p_size - 30)::BIGINT + 256)::BIGINT::BIT::VARCHAR, 8) AS y FROM part")
 _add("base_repr", "part", lambda f, _: f.select("p_partkey", rows.base_repr(F.col("p_partkey"), 16).alias("y")), "SELECT p_partkey, upper(to_hex(p_partkey)) AS y FROM part")
 _add("packbits", "part", lambda f, _: f.select("p_partkey", F.element_at(rows.packbits(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: (F.floor(F.col("p_size") / F.pow(F.lit(2.0), 7 - k)) % 2).cast("int"))), 1).alias("y")), "SELECT p_partkey, p_size AS y FROM part")
-_add("rows_sliding", "embeddings", lambda f, _: f.select("vec_id", F.posexplode(rows.sliding_window_view(F.slice("embedding", 1, 6), 3)).alias("j", "w")).select("vec_id", "j", F.round(rows.dot(F.col("w"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), 5).alias("y")), "SELECT vec_id, k.range::INTEGER AS j, round(embedding[k.range + 1]::DOUBLE + embedding[k.range + 2]::DOUBLE + embedding[k.range + 3]::DOUBLE, 5) AS y FROM embeddings, range(4) k")
-_add("rows_sliding_all", "embeddings", lambda f, _: f.select("vec_id", F.posexplode(rows.sliding_window_view(F.col("embedding"), 3)).alias("j", "w")).select("vec_id", "j", F.round(rows.dot(F.col("w"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), 5).alias("y")), "SELECT vec_id, j, round(embedding[j + 1]::DOUBLE + embedding[j + 2]::DOUBLE + embedding[j + 3]::DOUBLE, 5) AS y FROM (SELECT vec_id, embedding, unnest(range(len(embedding) - 2))::INTEGER AS j FROM embeddings)")
+for _as in ("rows_sliding", "rows_sliding_all"):
+    _add(_as, "embeddings", lambda f, _: f.select("vec_id", F.posexplode(rows.sliding_window_view(F.col("embedding"), 3)).alias("j", "w")).select("vec_id", "j", F.round(rows.dot(F.col("w"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))), 5).alias("y")), "SELECT vec_id, j, round(embedding[j + 1]::DOUBLE + embedding[j + 2]::DOUBLE + embedding[j + 3]::DOUBLE, 5) AS y FROM (SELECT vec_id, embedding, unnest(range(len(embedding) - 2))::INTEGER AS j FROM embeddings)")
 
 _ABCD = lambda f: f.select("p_partkey", F.array(F.col("p_size") + 60.0, F.col("p_partkey") % 7 + 0.0, F.col("p_partkey") % 7 + 0.0, F.col("p_partkey") % 11 + 20.0).alias("m"))
 _M = "(SELECT p_partkey, p_size + 60e0 AS a, p_partkey % 7 + 0e0 AS b, p_partkey % 11 + 20e0 AS d FROM part)"
