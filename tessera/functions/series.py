@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.dense import kernel
+from tessera.operators.regression import lstsq
+
 _Weight = Callable[[Column], Column]
 
 
@@ -139,6 +142,67 @@ class Basis:
         raw = F.transform(F.sequence(F.lit(0), F.size(c)), lambda k: F.when(k == 0, 0.0).otherwise(self.integral(c, k)))
         return _let(raw, lambda raw: F.transform(raw, lambda x, k: F.when(k == 0, -self.val(F.lit(0.0), raw, terms + 1)).otherwise(x)))
 
+    def convert(self, c: Column, to: Basis) -> Column:
+        """The same polynomial as a series in another basis: this one's recurrence, run on coefficients of the other."""
+
+        def step(acc: Column, k: Column) -> Column:
+            now, before, c = acc["now"], acc["before"], acc["c"]
+            rest = self.sub(self.sub(to.mulx(now), self.scale(now, self.same(k - 1))), self.scale(before, self.down(k - 1)))
+            following = self.scale(rest, 1.0 / self.up(k - 1))
+            return _let(following, lambda f: F.struct(now.alias("before"), f.alias("now"), self.add(acc["total"], self.scale(f, F.get(c, k))).alias("total"), c.alias("c")))
+
+        begin = F.struct(F.array().cast("array<double>").alias("before"), F.array(F.lit(1.0)).alias("now"), F.slice(c, 1, 1).alias("total"), c.alias("c"))
+        places = F.when(F.size(c) > 1, F.sequence(F.lit(1), F.size(c) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, begin, step, lambda acc: acc["total"])
+
+    def divmod(self, c: Column, by: Sequence[float]) -> tuple[Column, Column]:
+        """Quotient and remainder of a series by a constant one in the same basis, whose last coefficient isn't 0.
+
+        Both are brought to powers, divided from the highest degree down, and brought back.
+        """
+        powers = BASES["poly"]
+        divisor = F.get(F.transform(F.array(F.array(*[F.lit(float(v)) for v in by])), lambda d: self.convert(d, powers)), F.lit(0))
+        m = len(by) - 1
+
+        def step(acc: Column, k: Column) -> Column:
+            rem, d = acc["rem"], acc["d"]
+            share = _at(rem, k + m) / F.get(d, F.lit(m))
+            return _let(share, lambda q: F.struct(F.transform(rem, lambda x, i: x - q * _at(d, i - k)).alias("rem"), F.concat(F.array(q), acc["quo"]).alias("quo"), d.alias("d")))
+
+        begin = F.struct(self.convert(c, powers).alias("rem"), F.array().cast("array<double>").alias("quo"), divisor.alias("d"))
+        places = F.when(F.size(c) > m, F.reverse(F.sequence(F.lit(0), F.size(c) - 1 - m))).otherwise(F.array().cast("array<int>"))
+        done = F.aggregate(places, begin, step)
+        quotient = F.when(F.size(done["quo"]) > 0, done["quo"]).otherwise(F.array(F.lit(0.0)))
+        remainder = F.when(F.lit(m == 0), F.array(F.lit(0.0))).otherwise(F.slice(done["rem"], 1, max(m, 1)))
+        return powers.convert(quotient, self), powers.convert(remainder, self)
+
+    def fit(self, frame: DataFrame, x: str, y: str, degree: int) -> list[float]:
+        """Coefficients of least squares over all rows, from sums of products of values."""
+        values = frame.select(*[v.alias(f"p{k}") for k, v in enumerate(self.values(F.col(x), degree + 1))], F.col(y).cast("double").alias("__y"))
+        return [float(v) for v in lstsq(values, [f"p{k}" for k in range(degree + 1)], "__y")]
+
+    def roots(self, frame: DataFrame, c: str, out: str = "y") -> DataFrame:
+        """``frame`` with the complex roots of each row's series, by its powers."""
+        return kernel(frame.withColumn("__powers", self.convert(F.col(c), BASES["poly"])), "polyroots", "__powers", out).drop("__powers")
+
+    @property
+    def zero(self) -> Column:
+        return F.array(F.lit(0.0))
+
+    @property
+    def one(self) -> Column:
+        return F.array(F.lit(1.0))
+
+    @property
+    def x(self) -> Column:
+        return F.array(*[F.lit(v) for v in self.linear])
+
+    def mapparms(self, domain: tuple[float, float]) -> tuple[float, float]:
+        """Offset and scale that take ``domain`` to the basis's own."""
+        (a, b), (low, high) = domain, self.domain
+        scale = (high - low) / (b - a)
+        return low - a * scale, scale
+
     def trim(self, c: Column, tolerance: float = 0.0) -> Column:
         """Without small coefficients at the end; one stays."""
         last = F.array_max(F.transform(c, lambda x, k: F.when(F.abs(x) > tolerance, k + 1).otherwise(1)))

@@ -201,3 +201,47 @@ def encode(s: Column, charset: str = "UTF-8") -> Column:
 
 def decode(b: Column, charset: str = "UTF-8") -> Column:
     return F.decode(b, charset)
+
+
+def rsplit(s: Column, sep: str, most: int | None = None) -> Column:
+    """Parts between separators; ``most`` cuts at most, those furthest to the right."""
+    parts = split(s, sep)
+    if most is None:
+        return parts
+    head = lambda p: F.greatest(F.size(p) - most, F.lit(1))
+    return F.get(F.transform(F.array(parts), lambda p: F.concat(F.array(F.array_join(F.slice(p, F.lit(1), head(p)), sep)), F.slice(p, head(p) + 1, F.size(p)))), F.lit(0))
+
+
+def _found(at: Column) -> Column:
+    return F.when(at < 0, F.raise_error(F.lit("substring not found"))).otherwise(at).cast("int")
+
+
+def index(s: Column, sub: str) -> Column:
+    """``find``, but an error where there is none."""
+    return _found(find(s, sub))
+
+
+def rindex(s: Column, sub: str) -> Column:
+    return _found(rfind(s, sub))
+
+
+def mod(template: str, *values: Column) -> Column:
+    """A printf template filled in with columns."""
+    return F.format_string(template, *values)
+
+
+#: Comparisons by code point; ``compare`` leaves out white space at both right ends first.
+COMPARISONS = {"==": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
+
+
+def compare(a: Column, b, op: str, trim: bool = True) -> Column:
+    a, b = (rstrip(x) if trim else x for x in (a, _lit(b)))
+    return getattr(a, COMPARISONS[op])(b)
+
+
+def maketrans(source: str, target: str, gone: str = "") -> tuple[str, str]:
+    """Arguments of ``translate``: letters of ``source`` become those of ``target``, letters of ``gone`` vanish."""
+    if len(source) != len(target):
+        raise ValueError("source and target differ in length")
+    kept = [(a, b) for a, b in zip(source, target) if a not in gone]
+    return "".join(a for a, _ in kept) + gone, "".join(b for _, b in kept)

@@ -80,3 +80,24 @@ for _name, _b in BASES.items():
 _WEIGHTS = {"poly": "1", "cheb": f"1 / (sqrt(1 + {_Y}) * sqrt(1 - {_Y}))", "leg": "1", "herm": f"exp(-{_Y} * {_Y})", "herme": f"exp(-{_Y} * {_Y} / 2)", "lag": f"exp(-{_Y})"}
 for _name, _sql in _WEIGHTS.items():
     _add(f"{_name}weight", lambda b=BASES[_name]: b.weight(_col("y")), _sql)
+
+# Changes of basis, division by a series of degree 2, fits and roots.
+_BY = [1.0, -2.0, 0.5]
+for _name, _b in BASES.items():
+    _s = _series_sql(_name, _C, _X)
+    if _name != "poly":
+        _add(f"{_name}2poly", lambda b=_b: BASES["poly"].val(_col("x"), b.convert(_col("c"), BASES["poly"]), 4), _s)
+        _add(f"poly2{_name}", lambda b=_b: b.val(_col("x"), BASES["poly"].convert(_col("c"), b), 4), _series_sql("poly", _C, _X))
+    _n = ["(" + " + ".join(f"{w} * ({POWERS[_name][k][j]!r}::DOUBLE)" for k, w in enumerate(_C) if j < len(POWERS[_name][k])) + ")" for j in range(4)]
+    _d = [sum(v * POWERS[_name][k][j] for k, v in enumerate(_BY) if j < len(POWERS[_name][k])) for j in range(3)]
+    _q1 = f"({_n[3]} / {_d[2]!r}::DOUBLE)"
+    _q0 = f"(({_n[2]} - {_q1} * {_d[1]!r}::DOUBLE) / {_d[2]!r}::DOUBLE)"
+    _r1, _r0 = f"({_n[1]} - {_q1} * {_d[0]!r}::DOUBLE - {_q0} * {_d[1]!r}::DOUBLE)", f"({_n[0]} - {_q0} * {_d[0]!r}::DOUBLE)"
+    _add(f"{_name}div", lambda b=_b: b.val(_col("x"), b.divmod(_col("c"), _BY)[0], 2) + 3 * b.val(_col("x"), b.divmod(_col("c"), _BY)[1], 2), f"{_q0} + {_q1} * {_X} + 3 * ({_r0} + {_r1} * {_X})")
+    _add(f"{_name}one_x_zero", lambda b=_b: 5 * b.val(_col("x"), b.x, 2) + b.val(_col("x"), b.one, 2) + b.val(_col("x"), b.zero, 2), f"5 * {_X} + 1")
+    _add(f"{_name}domain", lambda b=_b: b.mapparms((-4.0, 12.0))[0] + b.mapparms((-4.0, 12.0))[1] * _col("x"), f"({_X} + 4) / 16 * {_b.domain[1] - _b.domain[0]} + {_b.domain[0]}")
+    QUERIES[f"{_name}roots"] = lambda spark, sf_dir, b=_b: b.roots(_frame(spark, sf_dir).select("p_partkey", b.fromroots([_col("y"), _col("y") + 1, _col("y") + 2.5]).alias("c")), "c").select("p_partkey", F.posexplode(F.array_sort(F.transform("y", lambda r: F.round(r["re"] * OFF_TIES, 5) + 0.0))).alias("j", "v"))
+    ORACLES[f"{_name}roots"] = f"SELECT p_partkey, k::INTEGER AS j, round(({_Y} + [0, 1, 2.5][k + 1]) * {OFF_TIES}::DOUBLE, 5) + 0.0 AS v FROM part, range(3) r(k)"
+    # A fit of degree 3 to a series of degree 3 gives its coefficients back.
+    QUERIES[f"{_name}fit"] = lambda spark, sf_dir, b=_b: spark.createDataFrame([(k, round(v, 4) + 0.0) for k, v in enumerate(b.fit(_frame(spark, sf_dir).select("x", b.val(_col("x"), F.array(*[F.lit(v) for v in (1.5, -2.0, 0.5, 0.25)]), 4).alias("v")), "x", "v", 3))], "k int, v double")
+    ORACLES[f"{_name}fit"] = "SELECT k::INTEGER AS k, [1.5, -2.0, 0.5, 0.25][k + 1]::DOUBLE AS v FROM range(4) r(k)"

@@ -40,11 +40,22 @@ CASES = {
     "isdecimal": (lambda s: S.isdecimal(F.regexp_replace(s, "[a-zA-Z ]", "")), "regexp_full_match(regexp_replace(s, '[a-zA-Z ]', '', 'g'), '[0-9]+')"),
     "isnumeric": (lambda s: S.isnumeric(F.regexp_replace(s, "[a-zA-Z ]", "")), "regexp_full_match(regexp_replace(s, '[a-zA-Z ]', '', 'g'), '[0-9]+')"),
     "isalnum": (lambda s: S.isalnum(s), "regexp_full_match(s, '[\\pL\\pN]+')"),
-    "isspace": (lambda s: S.isspace(F.substring(s, 5, 1)), "regexp_full_match(substr(s, 5, 1), '\\s+')"),
+    "isspace": (lambda s: S.isspace(F.regexp_replace(s, "[a-zA-Z0-9]", "")), "regexp_full_match(regexp_replace(s, '[a-zA-Z0-9]', '', 'g'), '\\s+')"),
     "isupper": (lambda s: S.isupper(s), "regexp_matches(s, '\\p{Lu}') AND NOT regexp_matches(s, '\\p{Ll}')"),
     "islower": (lambda s: S.islower(s), "regexp_matches(s, '\\p{Ll}') AND NOT regexp_matches(s, '\\p{Lu}')"),
     "equal": (lambda s: s == S.lower(s), "s = lower(s)"),
     "less": (lambda s: s < F.lit("Part m"), "s < 'Part m'"),
+    "not_equal": (lambda s: S.compare(s, S.lower(s), "!=", False), "s <> lower(s)"),
+    "less_equal": (lambda s: S.compare(s, "Part m", "<=", False), "s <= 'Part m'"),
+    "greater": (lambda s: S.compare(s, "Part m", ">", False), "s > 'Part m'"),
+    "greater_equal": (lambda s: S.compare(s, "Part m", ">=", False), "s >= 'Part m'"),
+    "compare_chararrays": (lambda s: S.compare(S.add(s, "  "), s, "=="), "rtrim(s || '  ') = rtrim(s)"),
+    "rsplit": (lambda s: S.join("|", S.rsplit(s, "a")), "array_to_string(string_split(s, 'a'), '|')"),
+    "rsplit_once": (lambda s: S.join("|", S.rsplit(s, "a", 1)), "CASE WHEN instr(s, 'a') = 0 THEN s ELSE substr(s, 1, length(s) - instr(reverse(s), 'a')) || '|' || substr(s, length(s) - instr(reverse(s), 'a') + 2) END"),
+    "index": (lambda s: S.index(S.add(s, "a"), "a"), "(instr(s || 'a', 'a') - 1)::INTEGER"),
+    "rindex": (lambda s: S.rindex(S.add(F.lit("a"), s), "a"), "(length(s) + 1 - instr(reverse('a' || s), 'a'))::INTEGER"),
+    "mod": (lambda s: S.mod("%s has %d", s, F.char_length(s)), "s || ' has ' || length(s)"),
+    "maketrans": (lambda s: S.translate(s, *S.maketrans("abc", "xyz", "rt")), "translate(replace(replace(s, 'r', ''), 't', ''), 'abc', 'xyz')"),
 }
 
 
