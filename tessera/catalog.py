@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import axes, elementwise, frames, masked_math, random, series, shapes, text, vectors
+from tessera.plans import axes, elementwise, fourier, frames, masked_math, random, series, shapes, text, vectors
 
-MODULES = (axes, elementwise, frames, masked_math, random, series, shapes, text, vectors)
+MODULES = (axes, elementwise, fourier, frames, masked_math, random, series, shapes, text, vectors)
 
 
 def entry(spark: SparkSession) -> DataFrame:
