@@ -5,12 +5,15 @@ Partial sums run before the shuffle, so a group may hold any share of the rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.ranges import bounds_of, range_of
+
 NAN = float("nan")
 
 
@@ -97,35 +100,92 @@ SETTLED = {"lower": F.floor, "higher": F.ceil, "nearest": F.rint}
 METHODS = (*CONTINUOUS, *SETTLED, "midpoint", "inverted_cdf", "averaged_inverted_cdf", "closest_observation")
 
 
-def quantile(frame: DataFrame, value: str, q: float, keep: Sequence[str] = (), method: str = "linear", out: str = "quantile") -> DataFrame:
-    """The q-quantile of each group by any of METHODS: ranks by a window, then the one or two elements it needs."""
-    ordered = Window.partitionBy(*keep).orderBy("__x")
-    ranked = frame.select(*keep, F.col(value).cast("double").alias("__x")).filter("__x is not null").withColumn("__r", F.row_number().over(ordered))
-    counts = ranked.groupBy(*keep).agg(F.max("__r").alias("__n"))
-    n = F.col("__n").cast("double")
+def quantile(frame: DataFrame, value: str, q: float, keep: Sequence[str] = (), method: str = "linear", out: str = "quantile", nan: bool = True) -> DataFrame:
+    """The q-quantile of each group by any of METHODS; a NaN makes it NaN, or is left out without ``nan``. NULL never counts.
+
+    Equal values become one row with a count, counts are added up by ranges of values, and only the ranges that hold the one
+    or two elements needed are put in order, so no group passes through one task, nor does the whole frame without ``keep``.
+    """
+    given = frame.select(*keep, F.col(value).cast("double").alias("__x")).filter("__x is not null" if nan else "__x is not null and not isnan(__x)")
+    counted = given.groupBy(*keep, "__x").agg(F.count("*").alias("__c"))
+    counted = counted.withColumn("__range", range_of(F.col("__x"), bounds_of(given, "__x")))
+    over = Window.partitionBy(*keep).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*keep)
+    blocks = counted.groupBy(*keep, "__range").agg(F.sum("__c").alias("__size"), F.max(F.isnan("__x")).alias("__nan"))
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("__size").over(over), F.lit(0))).withColumn("__n", F.sum("__size").over(group).cast("double")).withColumn("__nan", F.max("__nan").over(group))
+    low, part = _places(F.col("__n"), q, method)
+    blocks = blocks.withColumn("__low", low.cast("bigint")).withColumn("__part", part)
+    needed = blocks.filter((F.col("__before") <= F.col("__low")) & (F.col("__before") + F.col("__size") >= F.col("__low")))
+    inside = Window.partitionBy(*keep, "__range").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.join(needed, [*keep, "__range"]).withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
+    has = lambda place: (F.col("__end") >= place) & (F.col("__end") - F.col("__c") < place)
+    first = F.max(F.when(has(F.col("__low")), F.col("__x")))
+    second = F.max(F.when(has(F.col("__low") + 1), F.col("__x")))
+    share = F.max("__part")
+    result = F.when(F.max("__nan"), F.lit(float("nan"))).when(share == 0, first).otherwise(first + (second - first) * share)
+    return placed.groupBy(*keep).agg(result.alias(out))
+
+
+def _places(n: Column, q: float, method: str) -> tuple[Column, Column]:
+    """Place, from 1, of the element at or below the quantile of n elements, and the share of the one after it."""
     if method in CONTINUOUS:
         alpha, beta = CONTINUOUS[method]
         place = F.least(F.greatest(F.lit(alpha) + F.lit(q) * (n + 1 - alpha - beta), F.lit(1.0)), n)
-        low, part = F.floor(place), place - F.floor(place)
-    elif method in SETTLED or method == "midpoint":
+        return F.floor(place), place - F.floor(place)
+    if method in SETTLED or method == "midpoint":
         place = (n - 1) * q
         low = F.floor(place) + 1 if method == "midpoint" else SETTLED[method](place) + 1
-        part = F.when(place > F.floor(place), 0.5).otherwise(0.0) if method == "midpoint" else F.lit(0.0)
-    else:
-        place = n * q
-        if method == "closest_observation":
-            low = F.greatest(F.rint(place), F.lit(1.0))
-        else:
-            low = F.greatest(F.ceil(place), F.lit(1.0))
-        half = (place == F.floor(place)) & (place >= 1) & (place < n)
-        part = F.when(half, 0.5).otherwise(0.0) if method == "averaged_inverted_cdf" else F.lit(0.0)
-    places = counts.select(*keep, low.cast("int").alias("__low"), part.alias("__part"))
-    joined = ranked.join(places, list(keep)) if keep else ranked.crossJoin(F.broadcast(places))
-    needed = joined.filter(F.col("__r").isin(F.col("__low")) | (F.col("__r") == F.col("__low") + 1))
-    first = F.max(F.when(F.col("__r") == F.col("__low"), F.col("__x")))
-    second = F.max(F.when(F.col("__r") == F.col("__low") + 1, F.col("__x")))
-    share = F.max("__part")
-    return needed.groupBy(*keep).agg(F.when(share == 0, first).otherwise(first + (second - first) * share).alias(out))
+        return low, F.when(place > F.floor(place), 0.5).otherwise(0.0) if method == "midpoint" else F.lit(0.0)
+    place = n * q
+    if method == "closest_observation":
+        return F.greatest(F.rint(place), F.lit(1.0)), F.lit(0.0)
+    half = (place == F.floor(place)) & (place >= 1) & (place < n)
+    return F.greatest(F.ceil(place), F.lit(1.0)), F.when(half, 0.5).otherwise(0.0) if method == "averaged_inverted_cdf" else F.lit(0.0)
+
+
+def percentile(frame: DataFrame, value: str, p: float, keep: Sequence[str] = (), method: str = "linear", out: str = "percentile", nan: bool = True) -> DataFrame:
+    return quantile(frame, value, p / 100, keep, method, out, nan)
+
+
+#: estimator -> width of a bin from (n, spread, deviation, |skewness|, interquartile range).
+WIDTHS = {
+    "sqrt": lambda n, spread, *_: spread / math.sqrt(n),
+    "sturges": lambda n, spread, *_: spread / (math.log2(n) + 1),
+    "rice": lambda n, spread, *_: spread / (2 * n ** (1 / 3)),
+    "scott": lambda n, _, deviation, *__: (24 * math.sqrt(math.pi) / n) ** (1 / 3) * deviation,
+    "doane": lambda n, spread, _, skew, __: spread / (1 + math.log2(n) + math.log2(1 + skew / math.sqrt(6 * (n - 2) / ((n + 1) * (n + 3))))) if n > 2 else 0.0,
+    "fd": lambda n, _, __, ___, quartiles: 2 * quartiles / n ** (1 / 3),
+    "auto": lambda n, spread, *rest: min(WIDTHS["fd"](n, spread, *rest) or math.inf, WIDTHS["sturges"](n, spread)),
+}
+
+
+def histogram_bin_edges(frame: DataFrame, value: str, bins: int | str = 10) -> list[float]:
+    """Edges of equal bins over all values, by number or by one of WIDTHS; from one row of moments and two quantiles.
+
+    Without values the edges are those of [0, 1], and one value alone gets half a unit on either side.
+    """
+    x = F.col(value).cast("double")
+    n, low, high, deviation, skew = frame.agg(F.count(x), F.min(x), F.max(x), F.stddev_pop(x), F.abs(F.skewness(x))).first()
+    if not n:
+        low, high = 0.0, 1.0
+    if isinstance(bins, str):
+        spread = high - low
+        quartiles = quantile(frame, value, 0.75).first()[0] - quantile(frame, value, 0.25).first()[0] if bins in ("fd", "auto") and n else 0.0
+        width = WIDTHS[bins](n, spread, deviation, skew or 0.0, quartiles) if n and spread else 0.0
+        bins = max(1, math.ceil(spread / width)) if width else 1
+    if low == high:
+        low, high = low - 0.5, high + 0.5
+    return [low + (high - low) * k / bins for k in range(bins)] + [high]
+
+
+def histogramdd(frame: DataFrame, values: Sequence[str], bins: Sequence[int], ranges: Sequence[tuple[float, float]]) -> DataFrame:
+    """(b0, b1, ..., count) of the cells that hold rows; the last bin of each axis is closed, rows beyond a range count nowhere."""
+    inside, at = F.lit(True), []
+    for k, (value, count, (low, high)) in enumerate(zip(values, bins, ranges)):
+        x = F.col(value).cast("double")
+        inside &= (x >= low) & (x <= high)
+        at.append(F.least(F.floor((x - low) / ((high - low) / count)), F.lit(count - 1)).cast("int").alias(f"b{k}"))
+    return frame.filter(inside).groupBy(*at).agg(F.count("*").alias("count"))
 
 
 def histogram(frame: DataFrame, value: str, bins: int, low: float, high: float) -> DataFrame:

@@ -69,3 +69,61 @@ def pad(frame: DataFrame, position: str, value: str, before: int, after: int, fi
     ends = size.select(F.explode(F.concat(F.sequence(F.lit(0), F.lit(before - 1)) if before else F.array().cast("array<int>"), F.transform(F.sequence(F.lit(1), F.lit(after)), lambda i: (F.col("__n") + before - 1 + i).cast("int")) if after else F.array().cast("array<int>"))).alias(position))
     filled = ends.select(F.col(position).cast("bigint").alias(position), F.lit(fill).cast(kind).alias(value))
     return frame.select((F.col(position) + before).alias(position), value).unionByName(filled)
+
+
+#: Statistics of the whole vector that padding may repeat.
+PAD_VALUES = {"maximum": F.max, "minimum": F.min, "mean": F.avg, "median": F.median}
+PAD_MODES = ("edge", "reflect", "symmetric", "wrap", "linear_ramp", "empty", *PAD_VALUES)
+
+
+def pad_mode(frame: DataFrame, position: str, value: str, before: int, after: int, mode: str, end: float = 0.0) -> DataFrame:
+    """``before`` and ``after`` elements around a vector of numbers, by one of PAD_MODES; ``end`` is where ramps lead to.
+
+    New elements are before + after rows that look up where they come from. An empty vector stays empty.
+    """
+    if mode not in PAD_MODES:
+        raise ValueError(f"unknown mode {mode}")
+    number = frame.select(F.col(position).cast("bigint").alias("__at"), F.col(value).cast("double").alias("__v"))
+    size = frame.agg(F.count("*").alias("__n"), *([PAD_VALUES[mode](F.col(value).cast("double")).alias("__all")] if mode in PAD_VALUES else []))
+    i, n = F.col("__i"), F.col("__n")
+    places = [F.lit(k).cast("bigint") for k in range(-before, 0)] + [n + k for k in range(after)]
+    ends = size.filter("__n > 0").withColumn("__i", F.explode(F.array(*places))) if places else None
+    moved = frame.select((F.col(position).cast("bigint") + before).alias(position), F.col(value).cast("double").alias(value))
+    if ends is None:
+        return moved
+    if mode == "reflect":
+        folded = F.pmod(i, F.greatest(2 * (n - 1), F.lit(1)))
+        source = F.when(folded > n - 1, 2 * (n - 1) - folded).otherwise(folded)
+    elif mode == "symmetric":
+        folded = F.pmod(i, 2 * n)
+        source = F.when(folded >= n, 2 * n - 1 - folded).otherwise(folded)
+    elif mode == "wrap":
+        source = F.pmod(i, n)
+    else:
+        source = F.least(F.greatest(i, F.lit(0)), n - 1)
+    found = number.join(F.broadcast(ends.withColumn("__at", source.cast("bigint"))), "__at")
+    v = F.col("__v")
+    if mode == "linear_ramp":
+        share = F.when(i < 0, -i / float(before or 1)).otherwise((i - n + 1) / float(after or 1))
+        v = v + (end - v) * share
+    elif mode in PAD_VALUES:
+        v = F.col("__all")
+    elif mode == "empty":
+        v = F.lit(None).cast("double")
+    return moved.unionByName(found.select((i + before).alias(position), v.alias(value)))
+
+
+def diagflat(frame: DataFrame, position: str, value: str, size: int, k: int = 0) -> DataFrame:
+    """(i, j, x): the square of ``size`` + abs(k) with the vector on its k-th diagonal; only that diagonal has rows."""
+    i = F.col(position).cast("bigint")
+    return frame.filter((i >= 0) & (i < size)).select((i + max(-k, 0)).alias("i"), (i + max(k, 0)).alias("j"), F.col(value).alias("x"))
+
+
+def compress(frame: DataFrame, condition: Column) -> DataFrame:
+    """Rows where the condition holds; NULL doesn't."""
+    return frame.filter(condition)
+
+
+def nonzero(frame: DataFrame, positions: Sequence[str], value: str) -> DataFrame:
+    """Positions of the elements that aren't zero; NaN isn't zero, a NULL has no place."""
+    return frame.filter(F.col(value) != 0).select(*positions)

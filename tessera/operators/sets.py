@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tessera.operators.window import with_positions
 
 
 def unique(frame: DataFrame, value: str, position: str | None = None) -> DataFrame:
@@ -16,9 +17,17 @@ def unique(frame: DataFrame, value: str, position: str | None = None) -> DataFra
 
 
 def unique_inverse(frame: DataFrame, value: str) -> DataFrame:
-    """Each row with the rank of its value among the distinct ones, from 0: ranks are made of one row a value."""
-    ranks = frame.select(value).distinct().withColumn("inverse", F.row_number().over(Window.orderBy(value)) - 1)
-    return frame.join(ranks, value)
+    """Each row with the rank of its value among the distinct ones, from 0; distinct values are numbered by ranges, side by side."""
+    return frame.join(with_positions(frame.select(value).distinct(), [value], "inverse"), value)
+
+
+def unique_values(frame: DataFrame, value: str) -> DataFrame:
+    return frame.select(value).distinct()
+
+
+def unique_all(frame: DataFrame, value: str, position: str) -> DataFrame:
+    """Each distinct value with its count, its first position and its rank among the distinct ones, from 0."""
+    return with_positions(unique(frame, value, position), ["value"], "inverse")
 
 
 def isin(frame: DataFrame, value: str, other: DataFrame, key: str, invert: bool = False) -> DataFrame:

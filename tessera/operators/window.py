@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
+from tessera.operators.ranges import bounds_of, range_of
+
 
 def ordered(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -106,19 +108,46 @@ def with_positions(frame: DataFrame, order: Sequence[str], out: str = "pos") ->
     return numbered.drop("__range", "__offset")
 
 
-def interpolate(points: DataFrame, known: DataFrame, x: str, xp: str, fp: str, out: str = "y") -> DataFrame:
-    """Piecewise linear values at ``points.x`` of the samples (xp, fp), constant beyond both ends.
+def interpolate(points: DataFrame, known: DataFrame, x: str, xp: str, fp: str, out: str = "y", left: float | None = None, right: float | None = None) -> DataFrame:
+    """Piecewise linear values at ``points.x`` of the samples (xp, fp), beyond the ends those of the ends, or ``left`` and ``right``.
 
-    Samples and points are put in one order and each point looks to its nearest samples on both sides.
+    Each distinct x looks to its nearest samples on both sides within its range of samples, and beyond it to the range's
+    neighbours, whose end samples are one row a range. Of samples with one xp the largest fp counts, samples with a NULL are
+    left out, and a NULL x gives NULL.
     """
-    both = points.select(F.col(x).cast("double").alias("__x"), F.struct(*points.columns).alias("__row"), F.lit(None).cast("double").alias("__f")).unionByName(
-        known.select(F.col(xp).cast("double").alias("__x"), F.lit(None).cast(points.select(F.struct(*points.columns).alias("r")).schema["r"].dataType).alias("__row"), F.col(fp).cast("double").alias("__f"))
-    )
-    sample = F.when(F.col("__row").isNull(), F.struct("__x", "__f"))
-    before = Window.orderBy("__x", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.orderBy(F.desc("__x"), F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("__a", F.last(sample, True).over(before)).withColumn("__b", F.last(sample, True).over(after)).filter("__row is not null")
+    samples = known.select(F.col(xp).cast("double").alias("__x"), F.col(fp).cast("double").alias("__f")).na.drop().groupBy("__x").agg(F.max("__f").alias("__f"))
+    bounds = bounds_of(known.select(F.col(xp).cast("double").alias("__x")), "__x")
+    asked = points.select(F.col(x).cast("double").alias("__x")).na.drop(subset="__x").distinct()
+    sample = F.when(F.col("__f").isNotNull(), F.struct("__x", "__f"))
+    both = asked.withColumn("__asked", F.lit(True)).join(samples, "__x", "full").withColumn("__range", range_of(F.col("__x"), bounds)).withColumn("__s", sample)
+    ends = both.groupBy("__range").agg(F.min("__s").alias("__low"), F.max("__s").alias("__high"))
+    by_range = Window.orderBy("__range")
+    ends = ends.select("__range", F.last("__high", True).over(by_range.rowsBetween(Window.unboundedPreceding, -1)).alias("__prior"), F.first("__low", True).over(by_range.rowsBetween(1, Window.unboundedFollowing)).alias("__next"))
+    inside = Window.partitionBy("__range").orderBy("__x")
+    a = F.coalesce(F.last("__s", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("__prior"))
+    b = F.coalesce(F.first("__s", True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__next"))
+    seen = both.join(F.broadcast(ends), "__range").withColumn("__a", a).withColumn("__b", b).filter("__asked")
     a, b = F.col("__a"), F.col("__b")
     line = a["__f"] + (b["__f"] - a["__f"]) * (F.col("__x") - a["__x"]) / F.nullif(b["__x"] - a["__x"], F.lit(0.0))
-    value = F.when(a.isNull(), b["__f"]).when(b.isNull(), a["__f"]).when(a["__x"] == b["__x"], a["__f"]).otherwise(line)
-    return seen.select("__row.*", value.alias(out))
+    first, last = (b["__f"] if left is None else F.lit(left)), (a["__f"] if right is None else F.lit(right))
+    value = F.when(F.isnan("__x"), F.col("__x")).when(a.isNull(), first).when(b.isNull(), last).when(a["__x"] == b["__x"], a["__f"]).otherwise(line)
+    found = seen.select("__x", value.alias("__y"))
+    kept = [F.col(f"`{n}`") for n in points.columns if n != out]
+    return points.withColumn("__x", F.col(x).cast("double")).join(found, "__x", "left").select(*kept, F.col("__y").alias(out))
+
+
+def slide(frame: DataFrame, position: str, value: str, weights: Sequence[float], mode: str = "full", flipped: bool = True, out: str = "y") -> DataFrame:
+    """(pos, y): convolution of a vector with a few weights, or their correlation where they aren't ``flipped``.
+
+    Each element adds to as many outputs as there are weights, and the sums are made in part before they shuffle. Modes are
+    full, same and valid; a vector shorter than the weights has no valid output. An empty vector gives no rows.
+    """
+    given = [float(w) for w in (weights if flipped else reversed(weights))]
+    terms = F.posexplode(F.array(*[F.lit(w) for w in given])).alias("__j", "__w")
+    full = frame.select(F.col(position).alias("__i"), F.col(value).cast("double").alias("__v"), terms).groupBy((F.col("__i") + F.col("__j")).alias(position)).agg(F.sum(F.col("__v") * F.col("__w")).alias(out))
+    if mode == "full":
+        return full
+    size = frame.agg(F.count("*").alias("__n"))
+    m, n = F.lit(len(given)), F.col("__n")
+    begin, count = (m - 1, n - m + 1) if mode == "valid" else (F.floor((F.least(m, n) - 1) / 2), F.greatest(m, n))
+    return full.crossJoin(F.broadcast(size)).filter((F.col(position) >= begin) & (F.col(position) < begin + count)).select((F.col(position) - begin).cast("bigint").alias(position), out)
