@@ -69,6 +69,20 @@ KERNELS: dict[str, tuple[Callable[[np.ndarray], np.ndarray], str]] = {
     "matrix_norm": (lambda v: np.linalg.norm(_square(v), axis=(1, 2)), "scalar"),
     "cond": (lambda v: np.linalg.cond(_square(v)), "scalar"),
     "slogdet": (lambda v: np.linalg.slogdet(_square(v))[1], "scalar"),
+    # Factors one after another, each row-major: Q, R; eigenvalues, vectors; U, singular values, V transposed.
+    "qr": (lambda v: np.concatenate([_flat(m) for m in np.linalg.qr(_square(v))], axis=1), "vector"),
+    "eigh": (lambda v: np.concatenate([_flat(m) for m in np.linalg.eigh(_square(v))], axis=1), "vector"),
+    "eig": (lambda v: np.concatenate([_flat(m).astype(complex) for m in np.linalg.eig(_square(v))], axis=1), "complex"),
+    "svd": (lambda v: np.concatenate([_flat(m) for m in np.linalg.svd(_square(v))], axis=1), "vector"),
+    "norm_fro": (lambda v: np.linalg.norm(_square(v), "fro", axis=(1, 2)), "scalar"),
+    "norm_nuc": (lambda v: np.linalg.norm(_square(v), "nuc", axis=(1, 2)), "scalar"),
+    "norm_2": (lambda v: np.linalg.norm(_square(v), 2, axis=(1, 2)), "scalar"),
+    "norm_-2": (lambda v: np.linalg.norm(_square(v), -2, axis=(1, 2)), "scalar"),
+    "norm_1": (lambda v: np.linalg.norm(_square(v), 1, axis=(1, 2)), "scalar"),
+    "norm_-1": (lambda v: np.linalg.norm(_square(v), -1, axis=(1, 2)), "scalar"),
+    "norm_inf": (lambda v: np.linalg.norm(_square(v), np.inf, axis=(1, 2)), "scalar"),
+    "norm_-inf": (lambda v: np.linalg.norm(_square(v), -np.inf, axis=(1, 2)), "scalar"),
+    "slogdet_sign": (lambda v: np.linalg.slogdet(_square(v))[0], "scalar"),
     "vector_norm": (lambda v: np.linalg.norm(v, axis=1), "scalar"),
     "sort": (lambda v: np.sort(v, axis=1), "vector"),
     "argsort": (lambda v: np.argsort(v, axis=1, kind="stable").astype(float), "vector"),
