@@ -62,7 +62,7 @@ def can_cast(a: str, b: str, casting: str = "safe") -> bool:
         return True
     if casting == "no":
         return a == b
-    if casting == "same_kind" and (ka == kb or "bui".find(ka) <= "bui".find(kb) >= 0 or kb in "fc" and ka in "biuf"):
+    if casting == "same_kind" and (ka == kb or ka in "bui" and "bui".find(ka) <= "bui".find(kb) or kb in "fc" and ka in "biuf"):
         return True
     return promote(a, b) == b
 
@@ -81,3 +81,52 @@ def wrap(value: Column, dtype: str) -> Column:
         return positive.cast(spark)
     half = F.lit(2 ** (bits - 1)).cast("decimal(38,0)")
     return F.when(positive >= half, positive - span).otherwise(positive).cast(spark)
+
+
+def result_type(*dtypes: str) -> str:
+    """The type in which arrays of all these types combine, whatever their order."""
+    out = dtypes[0]
+    for dtype in sorted(dtypes[1:], key=lambda d: (KINDS.index(DTYPES[d][0]), DTYPES[d][1])):
+        out = promote(out, dtype)
+    return out
+
+
+def min_scalar_type(value: bool | int | float | complex | str) -> str:
+    """The smallest type that holds one value; whole numbers of no sign are unsigned."""
+    if isinstance(value, bool):
+        return "bool"
+    if isinstance(value, int):
+        kind, bits = ("uint", value.bit_length()) if value >= 0 else ("int", (~value).bit_length() + 1)
+        for width in (8, 16, 32, 64):
+            if bits <= width:
+                return f"{kind}{width}"
+        raise OverflowError(f"{value} is beyond 64 bits")
+    if isinstance(value, float):
+        return "float32" if value != value or abs(value) in (0.0, float("inf")) or abs(value) < 3.4028235677973366e38 else "float64"
+    return "complex128" if isinstance(value, complex) else "str"
+
+
+#: abstract kind -> kinds of types below it.
+ABSTRACT = {"generic": "biufcs", "number": "iufc", "integer": "iu", "signedinteger": "i", "unsignedinteger": "u", "inexact": "fc", "floating": "f", "complexfloating": "c", "bool_": "b", "flexible": "s", "character": "s", "str_": "s"}
+#: kind of the array interface standard -> abstract kind.
+STANDARD = {"bool": "bool_", "signed integer": "signedinteger", "unsigned integer": "unsignedinteger", "integral": "integer", "real floating": "floating", "complex floating": "complexfloating", "numeric": "number"}
+
+
+def issubdtype(dtype: str, above: str) -> bool:
+    return dtype == above or above in ABSTRACT and DTYPES[dtype][0] in ABSTRACT[above]
+
+
+def isdtype(dtype: str, kinds: str | tuple[str, ...]) -> bool:
+    """Whether a type is of one of the kinds, named as in the array standard, or one of the types themselves."""
+    return any(dtype == k or k in STANDARD and issubdtype(dtype, STANDARD[k]) for k in (kinds if isinstance(kinds, tuple) else (kinds,)))
+
+
+def common_type(*dtypes: str) -> str:
+    """The inexact type for arrays of these types; whole numbers count as float64."""
+    return result_type(*["float64" if DTYPES[d][0] in "biu" else d for d in dtypes])
+
+
+def dtype_of(frame, column: str) -> str | None:
+    """Element type of a column, None where it is of no type here; each Spark type stands for its signed type."""
+    spark = frame.schema[column].dataType.simpleString()
+    return next((name for name, (kind, _, made) in DTYPES.items() if made == spark and kind != "u" or made == spark == "decimal(20,0)"), None)

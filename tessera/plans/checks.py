@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import dense
 from tessera.operators import assertions
+from tessera.plans.series import OFF_TIES
 
 QUERIES, ORACLES = {}, {}
 
@@ -56,7 +57,7 @@ _SCALARS = {
 for _name, _sql in _SCALARS.items():
     _add(f"linalg_{_name.replace('_-', '_smallest_')}", lambda f, n=_name: dense.kernel(_general(f), n, "m").select("p_partkey", F.round("y", 5).alias("y")), f"SELECT p_partkey, round({_sql}, 5) AS y FROM {_M}")
 _add("linalg_svdvals", lambda f: dense.kernel(_general(f), "svdvals", "m").select("p_partkey", F.round(F.col("y")[0], 5).alias("high"), F.round(F.col("y")[1], 5).alias("low")), f"SELECT p_partkey, round({_HIGH}, 5) AS high, round({_LOW}, 5) AS low FROM {_M}")
-_add("linalg_pinv", lambda f: dense.kernel(_general(f), "pinv", "m").select("p_partkey", F.posexplode("y").alias("j", "y")).withColumn("y", F.round("y", 7) + 0.0), f"SELECT p_partkey, k::INTEGER AS j, round([d, -b, -c, a][k + 1] / (a * d - b * c), 7) + 0.0 AS y FROM {_M}, range(4) r(k)")
+_add("linalg_pinv", lambda f: dense.kernel(_general(f), "pinv", "m").select("p_partkey", F.posexplode("y").alias("j", "y")).withColumn("y", F.round(F.col("y") * OFF_TIES, 7) + 0.0), f"SELECT p_partkey, k::INTEGER AS j, round([d, -b, -c, a][k + 1] / (a * d - b * c) * {OFF_TIES}::DOUBLE, 7) + 0.0 AS y FROM {_M}, range(4) r(k)")
 # Eigenvalues, which are two real ones or a pair: their sum is the trace, their product the determinant; A * v = w * v by both.
 _add("linalg_eigvals", lambda f: dense.kernel(_general(f), "eigvals", "m").select("p_partkey", F.round(F.expr("y[0].re + y[1].re"), 5).alias("total"), F.round(F.expr("y[0].re * y[1].re - y[0].im * y[1].im"), 4).alias("product")), f"SELECT p_partkey, round(a + d, 5) AS total, round(a * d - b * c, 4) AS product FROM {_M}")
 _RESIDUAL = "abs(m[{0}] * y[{1}].re + m[{2}] * y[{3}].re - (y[{4}].re * y[{5}].re - y[{4}].im * y[{5}].im))"

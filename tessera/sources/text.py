@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.window import with_positions
+
 
 def load_text(spark: SparkSession, path: str, delimiter: str | None = None, comment: str = "#", missing: float = float("nan")) -> DataFrame:
     """One row a line: ``v`` is its numbers; what follows ``comment`` is left out, empty fields are ``missing``."""
@@ -20,8 +25,6 @@ def save_text(frame: DataFrame, path: str, vector: str = "v", delimiter: str = "
 
 def arange(spark: SparkSession, start: float, stop: float, step: float = 1.0) -> DataFrame:
     """(pos, x) from start in steps, before stop; positions are made in parallel."""
-    import math
-
     size = max(0, math.ceil((stop - start) / step))
     return spark.range(size).select(F.col("id").alias("pos"), (F.lit(float(start)) + F.col("id") * float(step)).alias("x"))
 
@@ -45,3 +48,47 @@ def eye(spark: SparkSession, n: int, k: int = 0) -> DataFrame:
 def full(spark: SparkSession, shape: tuple[int, int], value: float) -> DataFrame:
     rows, columns = shape
     return spark.range(rows * columns).select(F.expr(f"id div {columns}").alias("i"), F.expr(f"id % {columns}").alias("j"), F.lit(value).alias("x"))
+
+
+def fromfunction(spark: SparkSession, function: Callable[..., Column], shape: Sequence[int]) -> DataFrame:
+    """(i0, i1, ..., x): an expression of the places of a grid, made in parallel."""
+    size, names = math.prod(shape), [f"i{k}" for k in range(len(shape))]
+    steps = [math.prod(shape[k + 1 :]) for k in range(len(shape))]
+    places = spark.range(size).select(*[F.expr(f"id div {step} % {count}").alias(n) for n, step, count in zip(names, steps, shape)])
+    return places.withColumn("x", function(*[F.col(n) for n in names]))
+
+
+def zeros(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
+    return fromfunction(spark, lambda *_: F.lit(0.0), shape)
+
+
+def ones(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
+    return fromfunction(spark, lambda *_: F.lit(1.0), shape)
+
+
+def empty(spark: SparkSession, shape: Sequence[int]) -> DataFrame:
+    """Places without values: NULL."""
+    return fromfunction(spark, lambda *_: F.lit(None).cast("double"), shape)
+
+
+def mgrid(spark: SparkSession, axes: Sequence[tuple[float, float, float]]) -> DataFrame:
+    """(i0, i1, ..., x0, x1, ...): coordinates of the points of a grid; axes are (start, stop, step)."""
+    places = fromfunction(spark, lambda *_: F.lit(0), [max(0, math.ceil((stop - start) / step)) for start, stop, step in axes]).drop("x")
+    return places.select("*", *[(F.lit(float(start)) + F.col(f"i{k}") * float(step)).alias(f"x{k}") for k, (start, _, step) in enumerate(axes)])
+
+
+def ix_(frame: DataFrame, positions: Sequence[str], chosen: Sequence[DataFrame]) -> DataFrame:
+    """Cells at the products of chosen places, one one-column frame of distinct places an axis: a join an axis, no product is made.
+
+    Cells come back with their place among the chosen ones, which are taken in ascending order.
+    """
+    for name, places in zip(positions, chosen):
+        numbered = with_positions(places.select(F.col(places.columns[0]).alias(name)), [name], "__new")
+        frame = frame.join(numbered, name).drop(name).withColumnRenamed("__new", name)
+    return frame
+
+
+def fromregex(spark: SparkSession, path: str, pattern: str, fields: Sequence[tuple[str, str]]) -> DataFrame:
+    """A row for each match within a line, its groups as columns of the (name, type) given; what isn't of the type is NULL."""
+    found = spark.read.text(path).select(F.explode(F.regexp_extract_all("value", F.lit(pattern), 0)).alias("__m"))
+    return found.select(*[F.regexp_extract("__m", pattern, k + 1).try_cast(kind).alias(name) for k, (name, kind) in enumerate(fields)])
