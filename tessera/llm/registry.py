@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import bpe_query, html_query, langid_query, licenses_query, lmscore_query, media_query, mixing_query, neardup_query, topk_query, toxicity_query
+from tessera.llm import bpe_query, fim_query, html_query, langid_query, licenses_query, lmscore_query, media_query, mixing_query, neardup_query, topk_query, toxicity_query
 
 QUERIES = {
     "op5_lm_score": lmscore_query.op5_lm_score,
@@ -15,5 +15,6 @@ QUERIES = {
     "op3_bpe_encode": bpe_query.op3_bpe_encode,
     "op9_mix_sources": mixing_query.op9_mix_sources,
     "op10_license_scan": licenses_query.op10_license_scan,
+    "op11_fill_in_middle": fim_query.op11_fill_in_middle,
 }
-ORACLES = {"op4_exact_top_k": topk_query.SQL, "op9_mix_sources": mixing_query.SQL}
+ORACLES = {"op4_exact_top_k": topk_query.SQL, "op9_mix_sources": mixing_query.SQL, "op11_fill_in_middle": fim_query.SQL}
