@@ -44,9 +44,42 @@ def _log(of: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda x: F.when(_d(x) == 0, -INF).when(_d(x) > 0, of(_d(x))).when(x.isNotNull(), NAN)
 
 
+def _negative(x: Column) -> Column:
+    """Whether the sign bit is set, that of a zero too."""
+    return F.startswith(x.cast("string"), F.lit("-"))
+
+
+def float_divmod(x: Column, y: Column) -> tuple[Column, Column]:
+    """Floor quotient and remainder of doubles, the remainder exact and with the divisor's sign.
+
+    The quotient comes from the exact remainder: x / y itself may round up to the next whole number. A zero divisor gives
+    x / y and NaN.
+    """
+    x, y = _d(x), _d(y)
+    rest = F.try_mod(x, y)
+    other = (rest != 0) & (_negative(rest) != _negative(y)) & ~F.isnan(rest)
+    moved = F.when(other, rest + y).when(rest == 0, F.signum(y) * 0.0).otherwise(rest)
+    near = (x - rest) / F.nullif(y, F.lit(0.0)) - F.when(other, 1.0).otherwise(0.0)
+    whole = F.when(F.isnan(near) | (F.abs(near) >= 2.0**52), near).otherwise(F.rint(near))
+    signed = F.when(whole == 0, F.signum(x) * F.signum(y) * 0.0).otherwise(whole)
+    by_zero = F.when((x == 0) | F.isnan(x), NAN).when(_negative(x) != _negative(y), -INF).otherwise(INF)
+    known = x.isNotNull() & y.isNotNull()
+    return F.when(known, F.when(y == 0, by_zero).otherwise(signed)), F.when(known, F.when(y == 0, NAN).otherwise(moved))
+
+
+def integer_divmod(x: Column, y: Column) -> tuple[Column, Column]:
+    """Floor quotient and remainder of integers in whole numbers; a zero divisor gives 0 and 0."""
+    x, y = x.cast("long"), y.cast("long")
+    rest = F.try_mod(x, y)
+    other = (rest != 0) & ((rest < 0) != (y < 0))
+    quotient = F.call_function("div", x, F.nullif(y, F.lit(0).cast("long"))) - F.when(other, 1).otherwise(0)
+    known = x.isNotNull() & y.isNotNull()
+    return F.when(known, F.coalesce(quotient, F.lit(0).cast("long"))), F.when(known, F.coalesce(F.when(other, rest + y).otherwise(rest), F.lit(0).cast("long")))
+
+
 def floor_mod(x: Column, y: Column) -> Column:
     """Remainder with the sign of the divisor; 0 divisor: NaN."""
-    return F.when(_d(y) == 0, NAN).otherwise(_d(x) - F.floor(_d(x) / F.nullif(_d(y), F.lit(0.0))) * _d(y))
+    return float_divmod(x, y)[1]
 
 
 def true_divide(x: Column, y: Column) -> Column:
@@ -113,6 +146,20 @@ def _b(name, make, sql, reduce=None, identity=None):
     return Ufunc(name, 2, make, sql, reduce, identity)
 
 
+#: Floor division stated in whole numbers: finite doubles of everyday size times 2**60 are whole, and exact.
+_X, _Y = "({x} * pow(2, 60))::HUGEINT", "({y} * pow(2, 60))::HUGEINT"
+_FINITE = "isnan({x}) OR isnan({y}) OR isinf({x})"
+FLOOR_SQL = (
+    f"CASE WHEN {_FINITE} THEN 'nan'::DOUBLE WHEN {{y}} = 0 THEN CASE WHEN {{x}} = 0 THEN 'nan'::DOUBLE WHEN ({{x}} < 0) = ({{y}}::VARCHAR LIKE '-%') THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END"
+    f" WHEN isinf({{y}}) THEN CASE WHEN {{x}} = 0 OR ({{x}} < 0) = ({{y}} < 0) THEN 0.0 ELSE -1.0 END"
+    f" ELSE (({_X} - (({_X} % {_Y}) + {_Y}) % {_Y}) // {_Y})::DOUBLE END"
+)
+MOD_SQL = (
+    f"CASE WHEN {_FINITE} OR {{y}} = 0 THEN 'nan'::DOUBLE WHEN isinf({{y}}) THEN CASE WHEN {{x}} = 0 OR ({{x}} < 0) = ({{y}} < 0) THEN {{x}} ELSE {{y}} END"
+    f" ELSE ((({_X} % {_Y}) + {_Y}) % {_Y})::DOUBLE / pow(2, 60) END"
+)
+
+
 _ALL = [
     _u("negative", lambda x: -x, "-{x}"),
     _u("positive", lambda x: x, "{x}"),
@@ -166,9 +213,9 @@ _ALL = [
     _b("subtract", lambda x, y: x - y, "{x} - {y}"),
     _b("multiply", lambda x, y: x * y, "{x} * {y}", F.product, 1),
     _b("divide", true_divide, "{x} / {y}"),
-    _b("floor_divide", lambda x, y: _d(F.floor(true_divide(x, y))), "floor({x} / {y})::DOUBLE"),
-    _b("mod", floor_mod, "{x} - floor({x} / {y}) * {y}"),
-    _b("fmod", lambda x, y: F.try_mod(_d(x), _d(y)), "{x} - trunc({x} / {y}) * {y}"),
+    _b("floor_divide", lambda x, y: float_divmod(x, y)[0], FLOOR_SQL),
+    _b("mod", floor_mod, MOD_SQL),
+    _b("fmod", lambda x, y: F.try_mod(_d(x), _d(y)), "{x} % {y}"),
     _b("power", lambda x, y: F.pow(_d(x), _d(y)), "pow({x}, {y})"),
     _b("float_power", lambda x, y: F.pow(_d(x), _d(y)), "pow({x}::DOUBLE, {y}::DOUBLE)"),
     _b("hypot", lambda x, y: F.hypot(_d(x), _d(y)), "sqrt({x} * {x} + {y} * {y})"),
@@ -193,6 +240,8 @@ _ALL = [
     _b("logical_xor", lambda x, y: (_d(x) != 0) != (_d(y) != 0), "({x} <> 0) <> ({y} <> 0)"),
 ]
 _INTEGER = [
+    _b("floor_divide_integer", lambda x, y: integer_divmod(x, y)[0], "CASE WHEN {y} = 0 THEN 0 ELSE ({x} - (({x} % {y}) + {y}) % {y}) // {y} END::BIGINT"),
+    _b("mod_integer", lambda x, y: integer_divmod(x, y)[1], "CASE WHEN {y} = 0 THEN 0 ELSE (({x} % {y}) + {y}) % {y} END::BIGINT"),
     _u("invert", F.bitwise_not, "~{x}"),
     _u("bitwise_count", lambda x: F.bit_count(F.abs(x)).cast("int"), "bit_count(abs({x}))::INTEGER"),
     _b("bitwise_and", lambda x, y: x.bitwiseAND(y), "{x} & {y}", F.bit_and, -1),

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.ufuncs import float_divmod
+
 #: Divisors smaller than this against their dividend are masked.
 TINY = 2.2250738585072014e-308
 
@@ -63,12 +65,6 @@ UNARY: dict[str, Callable[..., Column]] = {
 }
 
 
-def _floor_mod(x: Column, y: Column) -> Column:
-    """Remainder with the divisor's sign."""
-    rest = x % y
-    return F.when((rest != 0) & ((rest < 0) != (y < 0)), rest + y).otherwise(rest)
-
-
 def _divided(function: Callable[[Column, Column], Column]) -> Callable[[Column, Column], Column]:
     """Division masks divisors that are zero, or so small that the quotient has no finite value."""
     return lambda x, y: F.when(F.abs(x) * TINY < F.abs(y), function(x, F.nullif(y, F.lit(0) * y)))
@@ -80,9 +76,9 @@ BINARY: dict[str, Callable[[Column, Column], Column]] = {
     "multiply": lambda x, y: x * y,
     "divide": _divided(lambda x, y: x / y),
     "true_divide": _divided(lambda x, y: x / y),
-    "floor_divide": _divided(lambda x, y: F.floor(x / y).cast("double")),
-    "remainder": _divided(_floor_mod),
-    "mod": _divided(_floor_mod),
+    "floor_divide": _divided(lambda x, y: float_divmod(x, y)[0]),
+    "remainder": _divided(lambda x, y: float_divmod(x, y)[1]),
+    "mod": _divided(lambda x, y: float_divmod(x, y)[1]),
     "fmod": _divided(lambda x, y: x % y),
     "power": lambda x, y: masked_invalid(F.pow(x, y)),
     "maximum": lambda x, y: F.when(x.isNotNull() & y.isNotNull(), F.greatest(x, y)),

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.ufuncs import FLOOR_SQL, MOD_SQL
 from tessera.operators import axes
 from tessera.operators.window import ordered
+from tessera.plans import elementwise
 
 QUERIES, ORACLES = {}, {}
 
@@ -89,10 +91,14 @@ _half = lambda: (F.col("p_size") - 25) / 2.0
 _add("fix", "part", lambda f: f.select("p_partkey", (axes.fix(_half()) + 0.0).alias("y")), f"SELECT p_partkey, trunc({_HALF}) + 0.0 AS y FROM part")
 for _name in ("round", "around"):
     _add(_name, "part", lambda f: f.select("p_partkey", (axes.round_half_even(_half()) + 0.0).alias("y")), f"SELECT p_partkey, round_even({_HALF}, 0) + 0.0 AS y FROM part")
-_add("divmod", "part", lambda f: f.select("p_partkey", *[c.cast("double").alias(n) for c, n in zip(axes.divmod_(_half(), F.lit(1.5)), "qr")]), f"SELECT p_partkey, floor({_HALF} / 1.5e0) AS q, {_HALF} - floor({_HALF} / 1.5e0) * 1.5e0 AS r FROM part")
+_EDGES = elementwise.EDGES
+_add("divmod", "part", lambda f: f.select("p_partkey", *[(F.round(c, 6) + 0.0).alias(n) for c, n in zip(axes.divmod_(*[F.expr(f"cast({e} as double)") for e in _EDGES]), "qr")]),
+     f"SELECT p_partkey, round({FLOOR_SQL.format(x='x', y='y')}, 6) + 0.0 AS q, round({MOD_SQL.format(x='x', y='y')}, 6) + 0.0 AS r FROM (SELECT p_partkey, ({_EDGES[0]})::DOUBLE AS x, ({_EDGES[1]})::DOUBLE AS y FROM part)")
 _add("logn", "part", lambda f: f.select("p_partkey", F.round(axes.logn(3, F.col("p_size")), 8).alias("y")), "SELECT p_partkey, round(ln(p_size) / ln(3), 8) AS y FROM part")
-_I0 = " + ".join(f"pow(p_size / 2e1, {2 * k}) / pow({__import__('math').factorial(k)}e0, 2)" for k in range(18))
-_add("i0", "part", lambda f: f.select("p_partkey", F.round(axes.i0(F.col("p_size") / 10.0), 6).alias("y")), f"SELECT p_partkey, round({_I0}, 6) AS y FROM part")
+# Arguments from -700 to 672; the statement sums the power series by logarithms.
+_add("i0", "part", lambda f: f.select("p_partkey", F.round(F.log(axes.i0((F.col("p_size") - 26) * 28.0)), 8).alias("y")),
+     "SELECT p_partkey, CASE WHEN z = 0 THEN 0 ELSE round(2 * k * ln(z / 2) - 2 * lgamma(k + 1) + ln(list_sum([exp(2 * (j - k) * ln(z / 2) - 2 * lgamma(j + 1) + 2 * lgamma(k + 1)) FOR j IN range(800)])), 8) END AS y "
+     "FROM (SELECT p_partkey, abs(p_size - 26) * 28e0 AS z, floor(abs(p_size - 26) * 14) AS k FROM part)")
 
 _add("indices", "region", lambda f: axes.indices(f.sparkSession, (5, 7)), "SELECT range // 7 AS i, range % 7 AS j FROM range(35)")
 for _name, _lower, _test in (("tril_indices", True, "j - i <= 1"), ("triu_indices", False, "j - i >= 1")):

@@ -6,6 +6,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ufuncs import INTEGER_ONLY, UFUNCS
 
+#: Quotients that round up to whole numbers, infinities, NaN and zeros of both signs beside ordinary prices.
+EDGES = (
+    "CASE p_partkey % 9 WHEN 0 THEN 1.0 WHEN 1 THEN 6.0 WHEN 2 THEN -5.0 WHEN 3 THEN p_size / 10.0 WHEN 4 THEN 5.0 WHEN 5 THEN CAST(CASE p_partkey % 4 WHEN 0 THEN 'Infinity' WHEN 1 THEN 'NaN' WHEN 2 THEN '-0.0' ELSE '0.0' END AS DOUBLE) ELSE p_retailprice - 1500 END",
+    "CASE p_partkey % 7 WHEN 0 THEN 0.1 WHEN 1 THEN -0.1 WHEN 2 THEN CAST(CASE p_partkey % 6 WHEN 0 THEN 'Infinity' WHEN 1 THEN '-Infinity' WHEN 2 THEN '0.0' WHEN 3 THEN '-0.0' WHEN 4 THEN 'NaN' ELSE '0.3' END AS DOUBLE) WHEN 3 THEN p_size / 10.0 ELSE p_size - 25.5 END",
+)
 SIGNED = ("(p_retailprice - 1500) / 500.0", "p_size / 10.0 - 2.45")
 #: name -> SQL of the operands, where the usual ones are outside the domain or have ties that libraries round apart.
 OPERANDS = {
@@ -16,6 +21,8 @@ OPERANDS = {
     "ldexp": ("p_retailprice / 1000.0", "p_size - 20"),
     **dict.fromkeys(("equal", "not_equal", "less", "less_equal", "greater", "greater_equal", "logical_and", "logical_or", "logical_xor", "logical_not"), ("p_size % 7 - 3", "p_partkey % 5 - 2")),
     **dict.fromkeys(("left_shift", "right_shift"), ("p_partkey", "p_size % 20")),
+    **dict.fromkeys(("floor_divide", "mod"), EDGES),
+    **dict.fromkeys(("floor_divide_integer", "mod_integer"), ("p_partkey * (p_size % 3 - 1)", "p_size % 7 - 3")),
     "invert": ("p_partkey", "1"),
 }
 
@@ -26,19 +33,19 @@ def _query(name: str):
 
     def run(spark, sf_dir):
         part = spark.read.parquet(f"{sf_dir}/part.parquet")
-        kind = "bigint" if name in INTEGER_ONLY or "%" in x else "double"
+        kind = "bigint" if name in INTEGER_ONLY or "%" in x and x != EDGES[0] else "double"
         args = [F.expr(f"cast({e} as {kind if name != 'ldexp' or e == x else 'int'})") for e in (x, y)[: ufunc.arity]]
         value = ufunc(*args)
         frame = part.select("p_partkey", value.alias("y"))
-        return frame.withColumn("y", F.round("y", 6)) if dict(frame.dtypes)["y"] == "double" else frame
+        return frame.withColumn("y", F.round("y", 6) + 0.0) if dict(frame.dtypes)["y"] == "double" else frame
 
-    kind = "BIGINT" if name in INTEGER_ONLY or "%" in x else "DOUBLE"
+    kind = "BIGINT" if name in INTEGER_ONLY or "%" in x and x != EDGES[0] else "DOUBLE"
     sql = ufunc.sql.format(x=f"({x})::{kind}" if kind == "DOUBLE" else f"({x})::BIGINT", y=f"({y})::{kind}")
     sql = f"SELECT p_partkey, v AS y FROM (SELECT p_partkey, {sql} AS v FROM part)"
     return run, sql
 
 
-_ROUND = "SELECT p_partkey, round(y, 6) AS y FROM ({}) t"
+_ROUND = "SELECT p_partkey, round(y, 6) + 0.0 AS y FROM ({}) t"
 _PLAIN = {
     "isnan", "isinf", "isfinite", "signbit", "logical_not", "frexp_exponent", "equal", "not_equal", "less", "less_equal", "greater", "greater_equal", "logical_and", "logical_or", "logical_xor",
 } | INTEGER_ONLY

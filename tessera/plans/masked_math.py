@@ -40,10 +40,11 @@ for _name, _sql in _UNARY.items():
     _add(_name, lambda f, n=_name: f.select("p_partkey", _even(ma.UNARY[n](F.col("x"))).alias("z")), f"SELECT p_partkey, round(({_sql})::DOUBLE, 8) + 0.0 AS z FROM PARTS")
 _add("logical_not", lambda f: f.select("p_partkey", ma.UNARY["logical_not"](F.col("x")).alias("z")), "SELECT p_partkey, x = 0 AS z FROM PARTS")
 
+_REST = "CASE WHEN x % y <> 0 AND (x % y < 0) <> (y < 0) THEN x % y + y ELSE x % y END"
 _BINARY = {
     "add": "x + y", "subtract": "x - y", "multiply": "x * y", "divide": "CASE WHEN y <> 0 THEN x / y END", "true_divide": "CASE WHEN y <> 0 THEN x / y END",
-    "floor_divide": "CASE WHEN y <> 0 THEN floor(x / y) END", "remainder": "CASE WHEN y <> 0 THEN x - y * floor(x / y) END", "mod": "CASE WHEN y <> 0 THEN x - y * floor(x / y) END",
-    "fmod": "CASE WHEN y <> 0 THEN x - y * trunc(x / y) END", "power": "CASE WHEN x >= 0 AND (x > 0 OR y >= 0) OR y = floor(y) AND (x <> 0 OR y >= 0) THEN pow(x, y) END",
+    "floor_divide": f"CASE WHEN y <> 0 THEN round((x - {_REST}) / y) END", "remainder": f"CASE WHEN y <> 0 THEN {_REST} END", "mod": f"CASE WHEN y <> 0 THEN {_REST} END",
+    "fmod": "CASE WHEN y <> 0 THEN x % y END", "power": "CASE WHEN x >= 0 AND (x > 0 OR y >= 0) OR y = floor(y) AND (x <> 0 OR y >= 0) THEN pow(x, y) END",
     "maximum": "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN greatest(x, y) END", "minimum": "CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN least(x, y) END",
     "hypot": "sqrt(x * x + y * y)", "arctan2": "atan2(x, y)",
 }
