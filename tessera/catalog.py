@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import axes, checks, elementwise, fourier, frames, indexing, makers, masked_math, orders, random, series, shapes, text, vectors
+from tessera.plans import axes, checks, elementwise, fourier, frames, indexing, makers, masked_math, orders, random, scans, series, shapes, text, vectors
 
-MODULES = (axes, checks, elementwise, fourier, frames, indexing, makers, masked_math, orders, random, series, shapes, text, vectors)
+MODULES = (axes, checks, elementwise, fourier, frames, indexing, makers, masked_math, orders, random, scans, series, shapes, text, vectors)
 
 
 def entry(spark: SparkSession) -> DataFrame:

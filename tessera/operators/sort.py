@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.window import with_positions
+
 
 def sort(frame: DataFrame, *keys: str, descending: bool = False) -> DataFrame:
     """A distributed sort; NaN is greatest."""
@@ -15,13 +17,17 @@ def sort(frame: DataFrame, *keys: str, descending: bool = False) -> DataFrame:
 
 
 def argsort(frame: DataFrame, value: str, position: str, keys: Sequence[str] = ()) -> DataFrame:
-    """rank (from 0) and the position of the element that has it; equal values keep their order."""
+    """rank (from 0) and the position of the element that has it; equal values keep their order. A whole frame is ranked by ranges."""
+    if not keys:
+        return with_positions(frame.select(value, position), [value, position], "rank").select("rank", F.col(position).alias("position"))
     over = Window.partitionBy(*keys).orderBy(value, position)
     return frame.select(*keys, (F.row_number().over(over) - 1).alias("rank"), F.col(position).alias("position"))
 
 
 def lexsort(frame: DataFrame, by: Sequence[str], position: str, keys: Sequence[str] = ()) -> DataFrame:
     """As ``argsort`` by several columns, the last of ``by`` first."""
+    if not keys:
+        return with_positions(frame.select(*by, position), [*reversed(by), position], "rank").select("rank", F.col(position).alias("position"))
     over = Window.partitionBy(*keys).orderBy(*reversed(by), position)
     return frame.select(*keys, (F.row_number().over(over) - 1).alias("rank"), F.col(position).alias("position"))
 

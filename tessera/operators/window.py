@@ -6,16 +6,14 @@ its own, and a range's offset is the sum of the ranges before it (one small row
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 from tessera.operators.ranges import bounds_of, range_of
+from tessera.operators.scans import scan
 
 
 def ordered(keys: Sequence[str], order: Sequence[str]) -> WindowSpec:
@@ -51,44 +49,12 @@ def convolve(x: Column, weights: Sequence[float], over: WindowSpec) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _scan(decay: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Inclusive scan of h -> decay * h + x: the composed factors and terms, by doubling distances; nothing is divided."""
-    decay, x, step = decay.copy(), x.copy(), 1
-    while step < len(x):
-        x[step:] += decay[step:] * x[:-step]
-        decay[step:] *= decay[:-step].copy()
-        step *= 2
-    return decay, x
-
-
 def affine_scan(frame: DataFrame, decay: Column, x: Column, keys: Sequence[str], order: Sequence[str], out: str = "y") -> DataFrame:
-    """``frame`` with h = decay * h + x along an order, from 0 for each key.
+    """``frame`` with h = decay * h + x along an order, from 0 for each key; a whole frame has no keys.
 
-    A key's rows pass through one task in batches; what is held between batches is the key and its last h. A NULL x adds
-    nothing and a NULL decay is 1, whole frames have one key (keys=()), and an empty frame gives an empty one.
+    A NULL x adds nothing and a NULL decay is 1. Keys of any size are split over ranges.
     """
-    names = [*frame.columns]
-    given = frame.select(*names, F.coalesce(decay.cast("double"), F.lit(1.0)).alias("__a"), F.coalesce(x.cast("double"), F.lit(0.0)).alias("__x"), F.struct(*keys).alias("__key") if keys else F.lit(0).alias("__key"))
-    dealt = given.repartition(*keys) if keys else given.repartition(1)
-    kept = [n for n in names if n != out]
-    schema = T.StructType([frame.schema[n] for n in kept] + [T.StructField(out, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, h = object(), 0.0
-        for batch in batches:
-            a, v = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("__a", "__x"))
-            names_of = batch.column("__key").to_pylist()
-            begins = [i for i, key in enumerate(names_of) if i == 0 or key != names_of[i - 1]]
-            result = np.empty(len(v))
-            for begin, end in zip(begins, [*begins[1:], len(v)]):
-                if names_of[begin] != last:
-                    last, h = names_of[begin], 0.0
-                factor, term = _scan(a[begin:end], v[begin:end])
-                result[begin:end] = factor * h + term
-                h = result[end - 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(result)], names=[*kept, out])
-
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return scan(frame, "affine", [F.coalesce(decay.cast("double"), F.lit(1.0)), F.coalesce(x.cast("double"), F.lit(0.0))], order, keys, out)
 
 
 def trapezoid(frame: DataFrame, y: str, x: str, keys: Sequence[str] = (), order: Sequence[str] | None = None, out: str = "area") -> DataFrame:
