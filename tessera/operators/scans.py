@@ -79,8 +79,9 @@ def scan(frame: DataFrame, operation: str, columns: Sequence[Column], order: Seq
     tests = [f"__k{i}" for i in range(len(keys))]
     orders = [f"__o{i}" for i in range(len(order))]
     quoted = lambda names: [F.col(f"`{n}`") for n in names]
+    numbered = [f"__c{i}" for i in range(len(kept))]  # mapInArrow can't take dotted names
     given = frame.select(
-        *quoted(kept),
+        *[c.alias(n) for c, n in zip(quoted(kept), numbered)],
         *[F.coalesce(c.cast(kind), F.lit(s).cast(kind)).alias(p) for c, s, p in zip(columns, fold.start, parts)],
         *[c.alias(t) for c, t in zip(quoted(keys), tests)],
         *[c.alias(o) for c, o in zip(quoted(order), orders)],
@@ -141,7 +142,7 @@ def scan(frame: DataFrame, operation: str, columns: Sequence[Column], order: Seq
     def applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin = lambda r: tuple(np.array([s], dtype=array) for s in carried.get(r, fold.start))
         for batch, result in scanned(batches, begin):
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(result[-1])], names=[*kept, out])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in numbered), pa.array(result[-1])], names=[*kept, out])
 
     schema = T.StructType([frame.schema[n] for n in kept] + [T.StructField(out, T.LongType() if fold.whole else T.DoubleType())])
     return sorted_.mapInArrow(applied, schema)

@@ -68,8 +68,8 @@ def test_affine_over_a_whole_frame(spark):
 def test_empty_frame_and_own_names(spark):
     frame = spark.createDataFrame([], "k string, i long, x double")
     assert scan(frame, "add", [F.col("x")], ["i"], ["k"]).count() == 0
-    named = spark.createDataFrame([(1, 2.0), (2, 3.0)], "`a b` long, y double")
-    assert [r.y for r in scan(named, "add", [F.col("y")], ["a b"]).orderBy("a b").collect()] == [2.0, 5.0]
+    named = spark.createDataFrame([(1, 2.0), (2, 3.0)], "`a.b` long, y double")
+    assert [r.y for r in scan(named, "add", [F.col("y")], ["a.b"]).orderBy("`a.b`").collect()] == [2.0, 5.0]
 
 
 @pytest.mark.parametrize("name", ["scan_add", "scan_affine", "scan_affine_by_type", "searchsorted_table", "digitize_table_decreasing"])
