@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.shared import materialize
+from tessera.llm.shared import fresh, materialize, quoted
 
 #: Hex digits of a key that name its range: 16 ** 3 ranges in a source.
 RANGE_DIGITS = 3
@@ -78,10 +78,10 @@ def mix_plan(
     """
     slim = materialize(
         docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            random_key(F.col(id_col), F.col(source_col), F.col(text_col), seed).alias("key"),
+            F.col(quoted(id_col)).alias("doc_id"),
+            F.col(quoted(source_col)).alias("source"),
+            word_count(F.col(quoted(text_col))).alias("size"),
+            random_key(F.col(quoted(id_col)), F.col(quoted(source_col)), F.col(quoted(text_col)), seed).alias("key"),
         )
     )
     # Identical rows share a key: they travel as one row with a count, so that no range is hot because of them.
@@ -118,16 +118,17 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     planned = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
     extra = F.col("taken") - F.col("epochs") * F.col("size")
+    epochs, cut, of, key, times, copy = fresh(docs, "__epochs", "__cut", "__source", "__key", "__times", "__copy")
     cuts = planned.groupBy("source").agg(
-        F.max("epochs").alias("__epochs"),
-        F.coalesce(F.max(F.when((extra * 2 >= F.col("size")) & (extra > 0), F.col("key"))), F.lit("")).alias("__cut"),
+        F.max("epochs").alias(epochs),
+        F.coalesce(F.max(F.when((extra * 2 >= F.col("size")) & (extra > 0), F.col("key"))), F.lit("")).alias(cut),
     )
-    key = random_key(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.col(f"`{text_col}`"), seed)
+    keyed = random_key(F.col(quoted(id_col)), F.col(quoted(source_col)), F.col(quoted(text_col)), seed)
     names = docs.columns
-    cuts = materialize(cuts.withColumnRenamed("source", "__source"))
+    cuts = materialize(cuts.withColumnRenamed("source", of))
     if cuts.count() <= BROADCAST_SOURCES:
         cuts = F.broadcast(cuts)
-    matched = docs.withColumn("__key", key).join(cuts, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")), "inner")
-    times = F.col("__epochs") + F.when(F.col("__key") <= F.col("__cut"), 1).otherwise(0)
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))
-    return matched.withColumn("__times", times).filter("__times > 0").withColumn("__copy", copies).select(*[F.col(f"`{n}`") for n in names])
+    matched = docs.withColumn(key, keyed).join(cuts, F.col(quoted(source_col)).eqNullSafe(F.col(of)), "inner")
+    number = F.col(epochs) + F.when(F.col(key) <= F.col(cut), 1).otherwise(0)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))
+    return matched.withColumn(times, number).filter(F.col(times) > 0).withColumn(copy, copies).select(*[F.col(quoted(n)) for n in names])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import star_components
-from tessera.llm.shared import materialize
+from tessera.llm.shared import fresh, materialize, quoted
 
 BLOCK = 128
 LARGEST_BLOCK = 4096
@@ -229,7 +229,7 @@ def _links(members: DataFrame, sets: DataFrame, spec: MinHash) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, spec: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, key (of its set), component_id, kept."""
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     passed = materialize(_first_pass(docs, spec))
     classes = passed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     banded = classes.select("key", F.explode("bands").alias("h"))
@@ -257,6 +257,7 @@ def near_duplicates(docs: DataFrame, spec: MinHash = MinHash(), id_col: str = "d
 
 def drop_near_duplicates(docs: DataFrame, spec: MinHash = MinHash(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group, the one with the smallest id; rows without an id all stay."""
-    found = near_duplicates(docs.filter(F.col(id_col).isNotNull()), spec, id_col, text_col)
-    dropped = found.filter("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs[id_col] == F.col("__dropped"), "left_anti")
+    found = near_duplicates(docs.filter(F.col(quoted(id_col)).isNotNull()), spec, id_col, text_col)
+    (gone,) = fresh(docs, "__dropped")
+    dropped = found.filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(dropped, F.col(quoted(id_col)) == F.col(gone), "left_anti")

@@ -49,3 +49,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(doc_id: Column, modulus: int = 3) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores more as it takes to be none of the frame's columns."""
+    taken, found = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> str:
+    """A column name for F.col, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
