@@ -9,8 +9,9 @@ A byte goes if a string of ``length`` bytes that covers it starts at another pla
 3.  What is left are segments that occur once, in a class with other segments. The bytes of such classes, one copy of each
     segment, are fetched from their texts and meet in tasks by class, where suffixes are sorted a bucket at a time, with
     long ties resolved by the ranks of a difference-cover sample (``suffixes.CoverSort``); equal neighbours repeat.
-    A class of more than HOT segments would be one task's work: its windows are dealt out one by one, by 128 bits of
-    fingerprint, and counted.
+    A class of more than HOT segments would be one task's work: it is dealt out as blocks of WIDTHS[0] windows, classed by the
+    bytes that all windows of a block share, to which steps 2 and 3 apply again, with narrower blocks for what is still hot;
+    blocks of one window are settled by their count.
 4.  Repeated windows go back to their texts, which are cut.
 
 Texts are told apart by md5, so equal texts are worked out once and share their result. Segments are told apart by 128
@@ -36,8 +37,10 @@ from tessera.llm.suffixes import Windows, repeated
 
 #: Segments beyond which a class is dealt out by windows.
 HOT = 512
+#: Windows in a block of a hot class, from one dealing out to the next; each divides the one before.
+WIDTHS = (32, 8, 1)
 #: Bytes of segments that a task sorts at a time (it ends at a class).
-LAID_OUT = 1 << 22
+LAID_OUT = 1 << 20
 #: Bits of the bitmap of classes: 8 MB.
 BITMAP = 1 << 26
 BITMAP_BUCKET = 1 << 15
@@ -62,7 +65,7 @@ def _signed(values: np.ndarray) -> pa.Array:
 def _class_counts(texts: DataFrame, spec: Windows) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, _, kind, _ in spec.runs(*_side_by_side(batch.column("text"))):
+            for _, _, _, _, kind, _ in spec.runs(*_side_by_side(batch.column("text"))):
                 values, counts = np.unique(kind, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(values), pa.array(counts)], names=["h", "n"])
 
@@ -86,53 +89,81 @@ def _bitmap(classes: DataFrame) -> np.ndarray:
 
 
 def _runs(texts: DataFrame, classes: DataFrame, spec: Windows) -> DataFrame:
-    """(key, at, n, h, g): first window, windows, class and print of each run whose class has its bit."""
+    """(key, at, n, o, h, g): first window, windows, distance, class and print of each run whose class has its bit."""
     handle = texts.sparkSession.sparkContext.broadcast(_bitmap(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = handle.value
         for batch in batches:
             keys = batch.column("key")
-            for row, at, n, kind, segment in spec.runs(*_side_by_side(batch.column("text"))):
+            for row, at, n, grid, kind, segment in spec.runs(*_side_by_side(batch.column("text"))):
                 place = (kind & np.uint64(BITMAP - 1)).astype(np.int64)
                 kept = (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                columns = [keys.take(pa.array(row[kept])), pa.array(at[kept]), pa.array(n[kept]), _signed(kind[kept]), _signed(segment[kept])]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "n", "h", "g"])
+                columns = [keys.take(pa.array(row[kept])), pa.array(at[kept]), pa.array(n[kept]), pa.array(grid[kept]), _signed(kind[kept]), _signed(segment[kept])]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "at", "n", "o", "h", "g"])
 
-    return texts.select("key", "text").mapInArrow(run, "key binary, at long, n long, h long, g long")
+    return texts.select("key", "text").mapInArrow(run, "key binary, at long, n long, o long, h long, g long")
+
+
+def _mixed(segments: DataFrame) -> DataFrame:
+    """(h, segments) of the classes that have several segments, one of them with a single place."""
+    return segments.groupBy("h").agg(F.count("*").alias("segments"), F.min("c").alias("least")).filter("segments > 1 AND least = 1").drop("least")
 
 
 def _segment_bytes(texts: DataFrame, wanted: DataFrame, spec: Windows) -> DataFrame:
-    """(h, g, c, hot, bytes, at, w1, w2): each wanted segment's bytes, or for hot classes a row for each of its windows."""
-    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "n", "h", "g", "c", "hot")).alias("wanted"))
+    """(h, g, c, n, o, segments, bytes) of the wanted segments, from one text each."""
+    lists = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "n", "o", "h", "g", "c", "segments")).alias("wanted"))
     found = texts.groupBy("key").agg(F.first("text").alias("text")).join(lists, "key").select("text", "wanted")
+    names = ["h", "g", "c", "n", "o", "segments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, asked in zip(batch.column("text"), batch.column("wanted")):
-                data, whole, apart = text.as_py(), [], []
-                for r in asked.as_py():
-                    segment = data[r["at"] : r["at"] + r["n"] + spec.length - 1]
-                    if not r["hot"]:
-                        whole.append((r["h"], r["g"], r["c"], False, segment, None, None, None))
-                        continue
-                    array = np.frombuffer(segment, dtype=np.uint8)
-                    prints = (spec.prints(array, i).view(np.int64).tolist() for i in (0, 1))
-                    apart += [(r["h"], r["g"], r["c"], True, None, i, a, b) for i, (a, b) in enumerate(zip(*prints))]
-                rows = whole + apart
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
+                data, asked = text.as_py(), asked.values
+                ends = [(at, at + n + spec.length - 1) for at, n in zip(asked.field("at").to_pylist(), asked.field("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(asked.field(n) for n in names), pa.array([data[a:b] for a, b in ends], pa.binary())], names=[*names, "bytes"])
+
+    return found.mapInArrow(run, ", ".join(f"{n} long" for n in names) + ", bytes binary")
+
+
+def _blocks(hot: DataFrame, spec: Windows, width: int) -> DataFrame:
+    """(h, g, c, at, n, o, h2, g2, bytes): hot classes' segments as blocks of ``width`` windows with classes of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for h, g, c, o, data in zip(*(batch.column(n).to_pylist() for n in ("h", "g", "c", "o", "bytes"))):
+                for at, n, grid, h2, g2 in spec.blocks(np.frombuffer(data, dtype=np.uint8), o, width):
+                    rows.append((h, g, c, at, n, grid, h2, g2, data[at : at + n + spec.length - 1]))
+            columns = list(zip(*rows)) or [()] * 9
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:8]), pa.array(columns[8], pa.binary())], names=names)
+
+    names = ["h", "g", "c", "at", "n", "o", "h2", "g2", "bytes"]
+    return hot.select("h", "g", "c", "o", "bytes").mapInArrow(run, ", ".join(f"{n} long" for n in names[:8]) + ", bytes binary")
+
 
-    return found.mapInArrow(run, "h long, g long, c long, hot boolean, bytes binary, at long, w1 long, w2 long")
+def _copies(segments: DataFrame) -> DataFrame:
+    return segments.filter("c > 1").select("h", "g", F.array(F.lit(0).cast("long"), "n").alias("spans"))
 
 
-NAMES = ["h", "g", "c", "hot", "bytes", "at", "w1", "w2"]
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+def _repeats(segments: DataFrame, spec: Windows, widths: tuple[int, ...]) -> DataFrame:
+    """(h, g, spans) of the segments (h, g, c, n, o, segments, bytes) of mixed classes: repeated windows of those with one place."""
+    small = _sorted_classes(segments.filter(F.col("segments") <= HOT) if widths else segments, spec)
+    hot = segments.filter(F.col("segments") > HOT)
+    if not widths or hot.isEmpty():
+        return small
+    blocks = materialize(_blocks(hot, spec, widths[0]))
+    one = [F.first(n).alias(n) for n in ("n", "o", "bytes")]
+    own = blocks.groupBy("h2", "g2").agg(F.sum("c").alias("c"), *one).withColumnsRenamed({"h2": "h", "g2": "g"})
+    own = materialize(own)
+    deeper = _copies(own).union(_repeats(own.join(_mixed(own), "h"), spec, widths[1:])).withColumnsRenamed({"h": "h2", "g": "g2"})
+    back = blocks.filter("c = 1").select("h", "g", "at", "h2", "g2").join(deeper, ["h2", "g2"]).select("h", "g", F.expr("transform(spans, s -> s + at)").alias("spans"))
+    return small.union(back.groupBy("h", "g").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def _sorted_classes(segments: DataFrame, spec: Windows) -> DataFrame:
     """(h, g, spans): repeated windows of segments that occur once, from suffix sorts of whole classes."""
-    met = segments.filter("not hot").select("h", "g", "c", "bytes").repartition("h").sortWithinPartitions("h", "g")
+    met = segments.select("h", "g", "c", "bytes").repartition("h").sortWithinPartitions("h", "g")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, bytes]] = []
@@ -169,16 +200,10 @@ def repeated_windows(texts: DataFrame, spec: Windows) -> DataFrame:
     classes = materialize(_class_counts(texts, spec))
     runs = materialize(_runs(texts, classes, spec))
     first = F.min(F.struct("key", "at")).alias("first")
-    segments = materialize(runs.groupBy("h", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), first).select("h", "g", "c", "n", "first.*"))
-    mixed = segments.groupBy("h").agg(F.count("*").alias("segments"), F.min("c").alias("least")).filter("segments > 1 AND least = 1")
-    wanted = segments.join(mixed, "h").withColumn("hot", F.col("segments") > HOT)
-    fetched = materialize(_segment_bytes(texts, wanted, spec))
-    windows = fetched.filter("hot")
-    often = windows.groupBy("w1", "w2").agg(F.sum("c").alias("times")).filter("times > 1").select("w1", "w2")
-    apart = windows.filter("c = 1").join(often, ["w1", "w2"]).groupBy("h", "g").agg(F.array_sort(F.collect_list("at")).alias("ats"))
-    counted = apart.select("h", "g", F.expr("flatten(transform(ats, a -> array(a, a + 1)))").alias("spans"))
-    copies = segments.filter("c > 1").select("h", "g", F.array(F.lit(0).cast("long"), "n").alias("spans"))
-    found = materialize(copies.union(_sorted_classes(fetched, spec)).union(counted))
+    segments = materialize(runs.groupBy("h", "g").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.first("o").alias("o"), first).select("h", "g", "c", "n", "o", "first.*"))
+    fetched = materialize(_segment_bytes(texts, segments.join(_mixed(segments), "h"), spec))
+    widths = tuple(w for w in WIDTHS if 2 * w <= spec.length)  # windows of a block must share bytes
+    found = materialize(_copies(segments).union(_repeats(fetched, spec, widths)))
     placed = runs.join(found, ["h", "g"]).select("key", F.expr("transform(spans, s -> s + at)").alias("spans"))
     return placed.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 

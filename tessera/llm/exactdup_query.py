@@ -10,5 +10,6 @@ from tessera.llm.shared import table
 
 
 def op12_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # texts are long: small batches keep what tasks hold low
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

@@ -22,7 +22,7 @@ import numpy as np
 #: A perfect difference set: every distance modulo 13 is the difference of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of text handled at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 #: Suffixes in a bucket, about.
 BUCKET = 1 << 17
 PLACE = np.uint64((1 << 24) - 1)
@@ -66,17 +66,15 @@ class Windows:
         np.cumsum(self.tables[which][data] * self.powers[0][: len(data)], out=total[1:])
         return total
 
-    def prints(self, data: np.ndarray, which: int) -> np.ndarray:
-        """The fingerprint of each window of a piece."""
-        total = self.sums(data, which)
-        count = len(data) - self.length + 1
-        return _mixed((total[self.length :] - total[:count]) * self.powers[1][:count])
-
     def anchors(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Runs of windows in pieces that end at ``ends`` and stand side by side in ``data``: first window, windows, class, segment's print."""
+        """Runs of windows in pieces that end at ``ends`` and stand side by side in ``data``.
+
+        First window, windows, the first's distance before its anchor (counted from the largest one), class, segment's print.
+        """
         count = len(data) - self.length + 1
+        none = tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
         if count <= 0:
-            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+            return none
         total = self.sums(data, 0)
         grams = len(data) - self.gram + 1
         hashes = _mixed((total[self.gram :] - total[:grams]) * self.powers[1][:grams])
@@ -95,17 +93,32 @@ class Windows:
         np.add.at(whole, ends[long] - self.length + 1, -1)
         at = np.flatnonzero(np.cumsum(whole[:count]))
         if not len(at):
-            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+            return none
         place = place[at]
         new = np.concatenate([[True], place[1:] != place[:-1]])
         first = at[new]
         windows = np.diff(np.append(np.flatnonzero(new), len(at)))
         other = self.sums(data, 1)
         segment = (other[first + windows - 1 + self.length] - other[first]) * self.powers[1][first]
-        return first, windows, hashes[place[new]], _mixed(segment + windows.astype(np.uint64))
+        return first, windows, first - place[new] + width - 1, hashes[place[new]], _mixed(segment + windows.astype(np.uint64))
+
+    def blocks(self, data: np.ndarray, grid: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+        """A segment's windows in blocks of ``width`` by their distance to the anchor, the first window's being ``grid``.
+
+        First window, windows, the first's distance, print of the bytes that all windows of a whole block share, print of the
+        block's bytes. Equal windows have equal distances, so the blocks that they are in share those bytes, cut off or not.
+        """
+        count = len(data) - self.length + 1
+        one, two = self.sums(data, 0), self.sums(data, 1)
+        edge = np.arange(grid // width, (grid + count - 1) // width + 1) * width - grid
+        begin, end = np.maximum(edge, 0), np.minimum(edge + width, count)
+        low, high = edge + width - 1, edge + self.length
+        shared = _mixed((one[high] - one[low]) * self.powers[1][low]).view(np.int64)
+        own = _mixed((two[end - 1 + self.length] - two[begin]) * self.powers[1][begin] + (end - begin).astype(np.uint64)).view(np.int64)
+        return zip(*(c.tolist() for c in (begin, end - begin, grid + begin, shared, own)))
 
     def runs(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Row, first window, windows, class and segment's print of the runs in texts that stand side by side, some texts at a time.
+        """Row, first window, windows, distance, class and segment's print of the runs in texts that stand side by side, some texts at a time.
 
         A text beyond BLOCK bytes is taken in pieces that overlap by all but one byte of a window.
         """
@@ -115,15 +128,15 @@ class Windows:
                 step = BLOCK - self.length + 1
                 for low in range(int(offsets[row]), int(offsets[row + 1]) - self.length + 1, step):
                     piece = data[low : min(low + BLOCK, int(offsets[row + 1]))]
-                    first, windows, kind, segment = self.anchors(piece, np.array([len(piece)]))
-                    yield np.full(len(first), row), first + low - offsets[row], windows, kind, segment
+                    first, *others = self.anchors(piece, np.array([len(piece)]))
+                    yield np.full(len(first), row), first + low - offsets[row], *others
                 row += 1
                 continue
             last = int(np.searchsorted(offsets, offsets[row] + BLOCK, side="right")) - 1
             low = offsets[row]
-            first, windows, kind, segment = self.anchors(data[low : offsets[last]], offsets[row + 1 : last + 1] - low)
+            first, *others = self.anchors(data[low : offsets[last]], offsets[row + 1 : last + 1] - low)
             of = row + np.searchsorted(offsets[row + 1 : last + 1], first + low, side="right")
-            yield of, first + low - offsets[of], windows, kind, segment
+            yield of, first + low - offsets[of], *others
             row = last
 
 

@@ -71,22 +71,42 @@ def test_equal_windows_share_a_class(monkeypatch, length):
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     kinds, covered = {}, Counter()
     for run in spec.runs(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets):
-        for row, at, n, kind, _ in zip(*(c.tolist() for c in run)):
+        for row, at, n, _, kind, _ in zip(*(c.tolist() for c in run)):
             for i in range(at, at + n):
                 covered[row, i] += 1
                 assert kinds.setdefault(texts[row][i : i + length], kind) == kind
     assert covered == Counter((r, i) for r, t in enumerate(texts) for i in range(len(t) - length + 1))
 
 
+@pytest.mark.parametrize("width", [1, 4, 16])
+def test_equal_windows_share_a_block_class(width):
+    rng = random.Random(width)
+    spec = Windows(40)
+    texts = [t.encode() for t in fragments(rng, 80, 40, 3)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    kinds = {}
+    for run in spec.runs(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets):
+        for row, at, n, grid, *_ in zip(*(c.tolist() for c in run)):
+            segment = texts[row][at : at + n + 39]
+            windows = 0
+            for begin, count, _, shared, _ in spec.blocks(np.frombuffer(segment, dtype=np.uint8), grid, width):
+                assert begin == windows and 0 < count <= width
+                windows += count
+                for i in range(begin, begin + count):
+                    assert kinds.setdefault(segment[i : i + 40], shared) == shared
+            assert windows == n
+
+
 def test_cut():
     assert cut(b"0123456789", [2, 3, 3, 4], 3) == (b"016789", 4, 1)
     assert cut(b"0123456789", [0, 1, 3, 4, 7, 8], 3) == (b"6", 9, 2)
     assert cut(b"0123", [], 3) == (b"0123", 0, 0)
 
 
-@pytest.mark.parametrize("hot", [3, 512])
-def test_fragments_against_counting(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, widths", [(512, (32, 8, 1)), (3, (32, 8, 1)), (1, (8, 2, 1)), (2, (1,))])
+def test_fragments_against_counting(spark, monkeypatch, hot, widths):
     monkeypatch.setattr(exactdup, "HOT", hot)
+    monkeypatch.setattr(exactdup, "WIDTHS", widths)
     spec = Windows(30)
     rng = random.Random(hot)
     texts = [*fragments(rng, 120, 30, 6), *fragments(rng, 40, 30, 2), None, "", "x" * 29, "y" * 30, "y" * 30, "z" * 31, "long " * 3000, "\U0001f600" * 40]
