@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.blocks import contraction_path, label_sizes
+
 
 def parse(subscripts: str) -> tuple[list[str], str]:
     """Inputs and output of "ij,jk->ik"; without an arrow the output is the labels that occur once, in order."""
@@ -21,9 +23,60 @@ def parse(subscripts: str) -> tuple[list[str], str]:
     return inputs, output
 
 
-def einsum(subscripts: str, *operands: tuple[DataFrame, Sequence[str], str]) -> DataFrame:
-    """Operands are (frame, index columns, value column); the result has a column for each output label, and x."""
-    inputs, output = parse(subscripts)
+def expanded(subscripts: str, ranks: Sequence[int]) -> str:
+    """Subscripts with an ellipsis written out by labels of its own, aligned at the last of its axes."""
+    if "..." not in subscripts:
+        return subscripts
+    left, arrow, output = subscripts.replace(" ", "").partition("->")
+    terms = left.split(",")
+    counts = [rank - len(term.replace("...", "")) if "..." in term else 0 for term, rank in zip(terms, ranks)]
+    free = [c for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c not in subscripts][: max(counts)]
+    written = [term.replace("...", "".join(free[len(free) - n :])) for term, n in zip(terms, counts)]
+    if arrow:
+        return ",".join(written) + "->" + output.replace("...", "".join(free))
+    once = sorted(c for c in set("".join(terms)) - {"."} if "".join(terms).count(c) == 1)
+    return ",".join(written) + "->" + "".join([*free, *once])
+
+
+def einsum_path(subscripts: str, *operands: tuple[DataFrame, Sequence[str], str]) -> tuple[list[tuple[int, int]], int]:
+    """The order of contractions with the fewest products at the labels' counted sizes, and how many products that is."""
+    inputs, output = parse(expanded(subscripts, [len(o[1]) for o in operands]))
+    return contraction_path(inputs, output, label_sizes(operands[0][0].sparkSession, inputs, operands))
+
+
+def einsum(subscripts: str, *operands: tuple[DataFrame, Sequence[str], str], optimize: bool = False) -> DataFrame:
+    """Operands are (frame, index columns, value column); the result has a column for each output label, and x.
+
+    Operands are contracted from left to right, or where ``optimize`` is set in the order that ``einsum_path`` finds.
+    """
+    inputs, output = parse(expanded(subscripts, [len(o[1]) for o in operands]))
+    if optimize and len(operands) > 2:
+        terms = list(zip(inputs, operands))
+        for i, j in contraction_path(inputs, output, label_sizes(operands[0][0].sparkSession, inputs, operands))[0]:
+            (b, right), (a, left) = terms.pop(j), terms.pop(i)
+            later = set(output).union(*(term for term, _ in terms))
+            kept = "".join(dict.fromkeys(c for c in a + b if c in later)) if terms else output
+            made = _contracted([a, b], kept, [left, right])
+            terms.append((kept, (made, list(kept), "x")))
+        return terms[0][1][0]
+    return _contracted(inputs, output, operands)
+
+
+def tensordot(a: tuple[DataFrame, Sequence[str], str], b: tuple[DataFrame, Sequence[str], str], axes: int | tuple[Sequence[int], Sequence[int]] = 2) -> DataFrame:
+    """Sum over pairs of axes: the last ``axes`` of a with the first of b, or the named ones. Columns d0, d1, ... and x."""
+    n, m = len(a[1]), len(b[1])
+    mine, theirs = (range(n - axes, n), range(axes)) if isinstance(axes, int) else axes
+    letters = iter("abcdefghijklmnopqrstuvwxyz")
+    left = [next(letters) for _ in range(n)]
+    right = [next(letters) for _ in range(m)]
+    for i, j in zip(mine, theirs):
+        right[j % m] = left[i % n]
+    output = [c for k, c in enumerate(left) if k not in {i % n for i in mine}] + [c for k, c in enumerate(right) if k not in {j % m for j in theirs}]
+    made = einsum(f"{''.join(left)},{''.join(right)}->{''.join(output)}", a, b)
+    return made.select(*[F.col(c).alias(f"d{k}") for k, c in enumerate(output)], "x")
+
+
+def _contracted(inputs: Sequence[str], output: str, operands: Sequence[tuple[DataFrame, Sequence[str], str]]) -> DataFrame:
     frames = []
     for labels, (frame, index, value) in zip(inputs, operands):
         named = frame.select(*[F.col(c).alias(f"__{k}") for k, c in enumerate(index)], F.col(value).alias("x"))
