@@ -235,6 +235,11 @@ def kaiser(spark, size: int, beta: float) -> DataFrame:
     return spark.range(size).select(F.col("id").alias("pos"), (i0(root * beta) / i0(F.lit(beta))).alias("x"))
 
 
+def vander(x: Column, n: int, increasing: bool = False) -> Column:
+    """Row of powers of x, from the highest down unless ``increasing``; 0 to the power of 0 is 1."""
+    return F.array(*[F.pow(x.cast("double"), F.lit(float(k))) for k in (range(n) if increasing else reversed(range(n)))])
+
+
 # Generated frames.
 def indices(spark, shape: tuple[int, int]) -> DataFrame:
     """All index pairs (indices, mgrid, ndindex, ix_, ogrid joined)."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.ufuncs import FLOOR_SQL, MOD_SQL
-from tessera.operators import axes
+from tessera.operators import axes, tensor
 from tessera.operators.window import ordered
 from tessera.plans import elementwise
 
@@ -100,14 +100,24 @@ _add("i0", "part", lambda f: f.select("p_partkey", F.round(F.log(axes.i0((F.col(
      "SELECT p_partkey, CASE WHEN z = 0 THEN 0 ELSE round(2 * k * ln(z / 2) - 2 * lgamma(k + 1) + ln(list_sum([exp(2 * (j - k) * ln(z / 2) - 2 * lgamma(j + 1) + 2 * lgamma(k + 1)) FOR j IN range(800)])), 8) END AS y "
      "FROM (SELECT p_partkey, abs(p_size - 26) * 28e0 AS z, floor(abs(p_size - 26) * 14) AS k FROM part)")
 
-_add("indices", "region", lambda f: axes.indices(f.sparkSession, (5, 7)), "SELECT range // 7 AS i, range % 7 AS j FROM range(35)")
+# Sizes come from the number of suppliers.
+_K = "(SELECT row_number() OVER () - 1 AS k, count(*) OVER () AS n FROM supplier)"
+_K2 = f"(SELECT a.k AS i, b.k AS j FROM {_K} a, {_K} b)"
+_add("indices", "supplier", lambda f: axes.indices(f.sparkSession, (f.count(), 7)), f"SELECT k AS i, r.range AS j FROM {_K} s, range(7) r")
 for _name, _lower, _test in (("tril_indices", True, "j - i <= 1"), ("triu_indices", False, "j - i >= 1")):
-    _add(_name, "region", lambda f, lo=_lower: axes.triangle_indices(f.sparkSession, 6, 1, lo), f"SELECT i, j FROM (SELECT range // 6 AS i, range % 6 AS j FROM range(36)) WHERE {_test}")
-_add("diag_indices", "region", lambda f: axes.diag_indices(f.sparkSession, 6), "SELECT range AS i, range AS j FROM range(6)")
-_add("tri", "region", lambda f: axes.tri(f.sparkSession, 4, 5, 1), "SELECT range // 5 AS i, range % 5 AS j, (range % 5 - range // 5 <= 1)::INT::DOUBLE AS x FROM range(20)")
-_add("geomspace", "region", lambda f: axes.geomspace(f.sparkSession, 1.0, 1000.0, 7).select("pos", F.round("x", 6).alias("x")), "SELECT range AS pos, round(pow(1000e0, range / 6e0), 6) AS x FROM range(7)")
-_add("fftfreq", "region", lambda f: axes.fftfreq(f.sparkSession, 9, 0.5), "SELECT range AS pos, (CASE WHEN range < 5 THEN range ELSE range - 9 END) / 4.5e0 AS x FROM range(9)")
-_add("rfftfreq", "region", lambda f: axes.rfftfreq(f.sparkSession, 9, 0.5), "SELECT range AS pos, range / 4.5e0 AS x FROM range(5)")
+    _add(_name, "supplier", lambda f, lo=_lower: axes.triangle_indices(f.sparkSession, f.count(), 1, lo), f"SELECT i, j FROM {_K2} WHERE {_test}")
+    _add(f"{_name}_from", "lineitem", lambda f, lo=_lower: tensor.triangle(_matrix(f), k=1, lower=lo).select("i", "j"), f"SELECT i, j FROM {_M} WHERE {_test}")
+_add("mask_indices", "supplier", lambda f: axes.indices(f.sparkSession, (f.count(), f.count())).filter("(i * j) % 3 = 1"), f"SELECT i, j FROM {_K2} WHERE (i * j) % 3 = 1")
+_add("diag_indices", "supplier", lambda f: axes.diag_indices(f.sparkSession, f.count()), f"SELECT k AS i, k AS j FROM {_K} s")
+_add("diag_indices_from", "lineitem", lambda f: _matrix(f).filter("i = j").select("i", "j"), f"SELECT i, j FROM {_M} WHERE i = j")
+_add("tri", "supplier", lambda f: axes.tri(f.sparkSession, f.count(), 5, 1), f"SELECT k AS i, r.range AS j, (r.range - k <= 1)::INT::DOUBLE AS x FROM {_K} s, range(5) r")
+_add("geomspace", "supplier", lambda f: axes.geomspace(f.sparkSession, 1.0, 1000.0, f.count()).select("pos", F.round("x", 6).alias("x")), f"SELECT k AS pos, round(pow(1000e0, k / (n - 1)::DOUBLE), 6) AS x FROM {_K} s")
+_add("fftfreq", "supplier", lambda f: axes.fftfreq(f.sparkSession, f.count(), 0.5).select("pos", F.round("x", 9).alias("x")), f"SELECT k AS pos, round((CASE WHEN k < (n + 1) // 2 THEN k ELSE k - n END) / (n * 0.5e0), 9) AS x FROM {_K} s")
+_add("rfftfreq", "supplier", lambda f: axes.rfftfreq(f.sparkSession, f.count(), 0.5).select("pos", F.round("x", 9).alias("x")), f"SELECT k AS pos, round(k / (n * 0.5e0), 9) AS x FROM {_K} s WHERE k <= n // 2")
+_add("vander", "part", lambda f: f.select("p_partkey", F.posexplode(axes.vander(F.col("p_size") / 10.0, 5)).alias("j", "x")).select("p_partkey", "j", F.round("x", 6).alias("x")), "SELECT p_partkey, j::INTEGER AS j, round(pow(p_size / 10e0, 4 - j), 6) AS x FROM part, range(5) r(j)")
+_add("vander_increasing", "part", lambda f: f.select("p_partkey", F.posexplode(axes.vander(F.col("p_size") / 10.0, 4, True)).alias("j", "x")).select("p_partkey", "j", F.round("x", 6).alias("x")), "SELECT p_partkey, j::INTEGER AS j, round(pow(p_size / 10e0, j), 6) AS x FROM part, range(4) r(j)")
+_add("kaiser", "supplier", lambda f: axes.kaiser(f.sparkSession, f.count(), 6.0).select("pos", F.round("x", 8).alias("x")),
+     f"SELECT k AS pos, round(list_sum([exp(2 * m * ln(greatest(z, 1e-12)) - 2 * lgamma(m + 1)) FOR m IN range(60)]) / list_sum([exp(2 * m * ln(3e0) - 2 * lgamma(m + 1)) FOR m IN range(60)]), 8) AS x FROM (SELECT k, 3e0 * sqrt(greatest(0, 1 - pow(2e0 * k / (n - 1) - 1, 2))) AS z FROM {_K} s)")
 for _name, _value in (("zeros_like", 0.0), ("ones_like", 1.0), ("full_like", 2.5)):
     _add(_name, "lineitem", lambda f, v=_value: axes.full_like(_matrix(f), v), f"SELECT i, j, {_value}::DOUBLE AS x FROM {_M}")
 

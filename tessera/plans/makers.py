@@ -16,19 +16,23 @@ def _add(name, run, sql):
     ORACLES[name] = sql
 
 
-_PLACES = "(SELECT r // 12 AS i0, r // 4 % 3 AS i1, r % 4 AS i2 FROM range(60) t(r))"
-_add("fromfunction", lambda s, _: text.fromfunction(s, lambda i, j, k: i * 100 + j * 10 + k, (5, 3, 4)), f"SELECT *, i0 * 100 + i1 * 10 + i2 AS x FROM {_PLACES}")
-_add("ndindex", lambda s, _: text.empty(s, (5, 3, 4)).drop("x"), f"SELECT * FROM {_PLACES}")
+# Sizes come from the number of suppliers, so what is made grows with the tables.
+_n = lambda t: t("supplier").count()
+_K = "(SELECT row_number() OVER () - 1 AS k, count(*) OVER () AS n FROM supplier)"
+_PLACES = f"(SELECT k AS i0, j AS i1, l AS i2 FROM {_K} s, range(3) a(j), range(4) b(l))"
+_add("fromfunction", lambda s, t: text.fromfunction(s, lambda i, j, k: i * 100 + j * 10 + k, (_n(t), 3, 4)), f"SELECT *, i0 * 100 + i1 * 10 + i2 AS x FROM {_PLACES}")
+_add("ndindex", lambda s, t: text.empty(s, (_n(t), 3, 4)).drop("x"), f"SELECT * FROM {_PLACES}")
 for _name, _value in (("zeros", "0e0"), ("ones", "1e0"), ("empty", "NULL::DOUBLE")):
-    _add(_name, lambda s, _, n=_name: getattr(text, n)(s, (5, 3, 4)), f"SELECT *, {_value} AS x FROM {_PLACES}")
+    _add(_name, lambda s, t, n=_name: getattr(text, n)(s, (_n(t), 3, 4)), f"SELECT *, {_value} AS x FROM {_PLACES}")
 for _name in ("mgrid", "ogrid"):
-    _add(_name, lambda s, _: text.mgrid(s, [(0.0, 2.0, 0.5), (-1.0, 2.0, 1.0)]), "SELECT i AS i0, j AS i1, i * 0.5::DOUBLE AS x0, (j - 1)::DOUBLE AS x1 FROM range(4) a(i), range(3) b(j)")
-_add("arange", lambda s, _: text.arange(s, 2.0, 9.0, 0.75), "SELECT k AS pos, 2 + k * 0.75::DOUBLE AS x FROM range(10) r(k)")
-_add("linspace", lambda s, _: text.linspace(s, -1.0, 3.0, 17), "SELECT k AS pos, -1 + k * 0.25::DOUBLE AS x FROM range(17) r(k)")
-_add("logspace", lambda s, _: text.logspace(s, 0.0, 4.0, 9, 2.0).withColumn("x", F.round("x", 9)), "SELECT k AS pos, round(pow(2, k * 0.5::DOUBLE), 9) AS x FROM range(9) r(k)")
+    _add(_name, lambda s, t: text.mgrid(s, [(0.0, _n(t) * 0.5, 0.5), (-1.0, 2.0, 1.0)]), f"SELECT k AS i0, j AS i1, k * 0.5::DOUBLE AS x0, (j - 1)::DOUBLE AS x1 FROM {_K} s, range(3) b(j)")
+_add("arange", lambda s, t: text.arange(s, 2.0, 2.0 + _n(t) * 0.75, 0.75), f"SELECT k AS pos, 2 + k * 0.75::DOUBLE AS x FROM {_K} s")
+_add("linspace", lambda s, t: text.linspace(s, -1.0, 3.0, _n(t)).withColumn("x", F.round("x", 9) + 0.0), f"SELECT k AS pos, round(-1 + k * 4e0 / (n - 1), 9) + 0.0 AS x FROM {_K} s")
+_add("linspace_open", lambda s, t: text.linspace(s, 5.0, -3.0, _n(t), endpoint=False).withColumn("x", F.round("x", 9) + 0.0), f"SELECT k AS pos, round(5 - k * 8e0 / n, 9) + 0.0 AS x FROM {_K} s")
+_add("logspace", lambda s, t: text.logspace(s, 0.0, 4.0, _n(t), 2.0).withColumn("x", F.round("x", 9)), f"SELECT k AS pos, round(pow(2, k * 4e0 / (n - 1)), 9) AS x FROM {_K} s")
 for _name in ("eye", "identity"):
-    _add(_name, lambda s, _, n=_name: text.eye(s, 6, 2 * (n == "eye")), f"SELECT k AS i, k + {2 * (_name == 'eye')} AS j, 1e0 AS x FROM range(6) r(k) WHERE k + {2 * (_name == 'eye')} < 6")
-_add("full", lambda s, _: text.full(s, (3, 4), 2.5), "SELECT i, j, 2.5e0 AS x FROM range(3) a(i), range(4) b(j)")
+    _add(_name, lambda s, t, n=_name: text.eye(s, _n(t), 2 * (n == "eye")), f"SELECT k AS i, k + {2 * (_name == 'eye')} AS j, 1e0 AS x FROM {_K} s WHERE k + {2 * (_name == 'eye')} < n")
+_add("full", lambda s, t: text.full(s, (_n(t), 4), 2.5), f"SELECT k AS i, j, 2.5e0 AS x FROM {_K} s, range(4) b(j)")
 _matrix = lambda t: t("lineitem").groupBy((F.col("l_suppkey") % 4).alias("i"), (F.col("l_partkey") % 6).alias("j")).agg(F.sum("l_quantity").cast("double").alias("x"))
 _M = "(SELECT l_suppkey % 4 AS i, l_partkey % 6 AS j, sum(l_quantity)::DOUBLE AS x FROM lineitem GROUP BY ALL)"
 _add("ix_", lambda s, t: text.ix_(_matrix(t), ["i", "j"], [s.createDataFrame([(1,), (3,)], "p long"), s.createDataFrame([(0,), (2,), (5,)], "p long")]), f"SELECT (i - 1) // 2 AS i, CASE j WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END::BIGINT AS j, x FROM {_M} WHERE i IN (1, 3) AND j IN (0, 2, 5)")

@@ -30,8 +30,18 @@ _add("diagonal", "lineitem", lambda f: shape.diagonal(_GRID(f), offset=1), f"SEL
 _add("diag", "nation", lambda f: shape.diag(_NATION(f).withColumnRenamed("pos", "i"), "i", 2), f"SELECT pos AS i, pos + 2 AS j, x FROM {_N}")
 _add("meshgrid", "region", lambda f: shape.meshgrid(f.select(F.col("r_regionkey").alias("i")), f.select(F.col("r_regionkey").alias("j"))), "SELECT a.r_regionkey AS i, b.r_regionkey AS j FROM region a, region b")
 _add("extract", "part", lambda f: shape.extract(f.select("p_partkey", "p_size"), F.col("p_size") > 45, "p_partkey"), "SELECT p_partkey, p_size FROM part WHERE p_size > 45")
-for _name, _sql in {"hanning": "0.5 - 0.5 * cos(2 * pi() * range / 30)", "hamming": "0.54 - 0.46 * cos(2 * pi() * range / 30)", "blackman": "0.42 - 0.5 * cos(2 * pi() * range / 30) + 0.08 * cos(4 * pi() * range / 30)", "bartlett": "1 - abs(2.0 * range / 30 - 1)"}.items():
-    _add(f"signal_{_name}", "region", lambda f, n=_name: signal.shape(f.sparkSession, n, 31).select("pos", (F.round("x", 8) + 0.0).alias("x")), f"SELECT range AS pos, round({_sql}, 8) + 0.0 AS x FROM range(31)")
+_ANGLE = "2 * pi() * pos / (n - 1)"
+_SHAPES = {"hanning": f"0.5 - 0.5 * cos({_ANGLE})", "hamming": f"0.54 - 0.46 * cos({_ANGLE})", "blackman": f"0.42 - 0.5 * cos({_ANGLE}) + 0.08 * cos(2 * {_ANGLE})", "bartlett": "1 - abs(2.0 * pos / (n - 1) - 1)"}
+
+
+def _windowed(events, name):
+    """All events' values in order of time, under a window as long as they are."""
+    placed = window.with_positions(events.select("event_id", "ts", "value"), ["ts", "event_id"])
+    return placed.join(signal.shape(events.sparkSession, name, events.count()), "pos").select("event_id", (F.round(F.col("x") * F.col("value"), 6) + 0.0).alias("x"))
+
+
+for _name, _sql in _SHAPES.items():
+    _add(f"signal_{_name}", "events", lambda f, n=_name: _windowed(f, n), f"SELECT event_id, round(({_sql}) * value, 6) + 0.0 AS x FROM (SELECT event_id, value, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos, count(*) OVER () AS n FROM events)")
 
 
 def _unwrap(events):
