@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on: two's-complement wrap and NULL instead of errors, and UTC timestamps.
@@ -30,3 +34,13 @@ def apply_semantics(spark: SparkSession) -> SparkSession:
     for key, value in SEMANTIC_CONF.items():
         spark.conf.set(key, value)
     return spark
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder name that all tasks can reach, under spark.checkpoint.dir; on one machine alone a temporary one will do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
+    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"
