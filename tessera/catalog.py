@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.plans import axes, blocks, checks, elementwise, fourier, frames, indexing, makers, masked_math, orders, quadrature, random, raw, scans, series, shapes, spectra, text, vectors
+from tessera.plans import axes, blocks, checks, elementwise, elimination, fourier, frames, indexing, makers, masked_math, orders, quadrature, random, raw, scans, series, shapes, spectra, text, vectors
 
-MODULES = (axes, blocks, checks, elementwise, fourier, frames, indexing, makers, masked_math, orders, quadrature, random, raw, scans, series, shapes, spectra, text, vectors)
+MODULES = (axes, blocks, checks, elementwise, elimination, fourier, frames, indexing, makers, masked_math, orders, quadrature, random, raw, scans, series, shapes, spectra, text, vectors)
 
 
 def entry(spark: SparkSession) -> DataFrame:
