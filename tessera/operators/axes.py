@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.ufuncs import float_divmod
+from tessera.operators.window import with_positions
 
 
 # Axes.
@@ -315,3 +316,33 @@ def solve2(m: Column, b: Column) -> Column:
     first, second = F.get(b, F.lit(0)), F.get(b, F.lit(1))
     found = F.array((first * at(1, 1) - at(0, 1) * second) / det, (at(0, 0) * second - first * at(1, 0)) / det)
     return F.when(det.isNotNull(), found)
+
+
+def cross(a: Column, b: Column) -> Column:
+    """Product of vectors of three numbers, or of two (then its third part, as one number in an array)."""
+    at = lambda v, k: F.get(v, F.lit(k))
+    turn = lambda i, j: at(a, i) * at(b, j) - at(a, j) * at(b, i)
+    three = (F.size(a) == 3) & (F.size(b) == 3)
+    return F.when(three, F.array(turn(1, 2), turn(2, 0), turn(0, 1))).when((F.size(a) == 2) & (F.size(b) == 2), F.array(turn(0, 1)))
+
+
+def ediff1d(frame: DataFrame, order: Sequence[str], x: str, to_begin: Sequence[float] = (), to_end: Sequence[float] = ()) -> DataFrame:
+    """(pos, x): differences of neighbours in an order over the whole frame, with numbers set before and after.
+
+    Rows are numbered by ranges; each meets its neighbour by number.
+    """
+    numbered = with_positions(frame.select(*dict.fromkeys([*order, x])), list(order))
+    now = numbered.select("pos", F.col(x).alias("a"))
+    after = numbered.select((F.col("pos") - 1).alias("pos"), F.col(x).alias("b"))
+    apart = now.join(after, "pos").select((F.col("pos") + len(to_begin)).alias("pos"), (F.col("b") - F.col("a")).cast("double").alias("x"))
+    ends = [(k, float(v)) for k, v in enumerate(to_begin)]
+    if to_end:
+        last = max(frame.count() - 1, 0) + len(to_begin)
+        ends += [(last + k, float(v)) for k, v in enumerate(to_end)]
+    return apart.union(frame.sparkSession.createDataFrame(ends, "pos long, x double")) if ends else apart
+
+
+def sort_complex(frame: DataFrame, z: str) -> DataFrame:
+    """(pos, z) by real part, then by imaginary part."""
+    split = frame.select(F.col(z).alias("z"), F.col(z)["re"].alias("re"), F.col(z)["im"].alias("im"))
+    return with_positions(split, ["re", "im"]).select("pos", "z")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ufuncs import FLOOR_SQL, MOD_SQL
 from tessera.operators import axes, tensor
+from tessera.operators.scans import scan
 from tessera.operators.window import ordered
 from tessera.plans import elementwise
 
@@ -138,3 +139,15 @@ _missing = lambda: F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(F.
 _add("nancumsum", "events", lambda f: f.select("event_id", (F.round(F.sum(F.nanvl(_missing(), F.lit(0.0))).over(_over()), 4) + 0.0).alias("y")), "SELECT event_id, round(sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE value END) OVER (PARTITION BY user_id ORDER BY ts, event_id), 4) + 0.0 AS y FROM events")
 for _name, _largest in (("nanargmax", True), ("nanargmin", False)):
     _add(_name, "events", lambda f, up=_largest: f.withColumn("x", _missing()).filter(~F.isnan("x")).groupBy("event_type").agg((F.max_by if up else F.min_by)("event_id", F.struct("x", (-F.col("event_id") if up else F.col("event_id")).alias("t"))).alias("position")), f"SELECT event_type, {'arg_max' if _largest else 'arg_min'}(event_id, (value, {'-' if _largest else ''}event_id)) AS position FROM events WHERE event_id % 7 <> 0 GROUP BY event_type")
+
+_three = lambda *e: F.array(*[F.expr(f"double({x})") for x in e])
+_A3, _B3 = ("p_size - 20", "p_partkey % 7", "p_partkey % 11 - 5"), ("p_partkey % 5 - 2", "p_size % 9", "3")
+_add("cross", "part", lambda f: f.select("p_partkey", F.posexplode(axes.cross(_three(*_A3), _three(*_B3))).alias("k", "y")).select("p_partkey", "k", (F.col("y") + 0.0).alias("y")),
+     "SELECT p_partkey, k::INTEGER AS k, CASE k WHEN 0 THEN b * f - c * e WHEN 1 THEN c * d - a * f ELSE a * e - b * d END::DOUBLE + 0.0 AS y FROM (SELECT p_partkey, " + ", ".join(f"({x})::DOUBLE AS {n}" for x, n in zip(_A3 + _B3, "abcdef")) + " FROM part), range(3) r(k)")
+_add("cross_of_two", "part", lambda f: f.select("p_partkey", (F.get(axes.cross(_three(*_A3[:2]), _three(*_B3[:2])), F.lit(0)) + 0.0).alias("y")), f"SELECT p_partkey, (({_A3[0]}) * ({_B3[1]}) - ({_A3[1]}) * ({_B3[0]}))::DOUBLE + 0.0 AS y FROM part")
+_add("ediff1d", "events", lambda f: axes.ediff1d(f, ["ts", "event_id"], "value", [-1.0, -2.0], [99.0]).select("pos", F.round("x", 6).alias("x")),
+     "SELECT pos, round(x, 6) AS x FROM (SELECT row_number() OVER w AS pos, value - lag(value) OVER w AS x FROM events WINDOW w AS (ORDER BY ts, event_id)) WHERE pos > 1 UNION ALL SELECT 0, -1 UNION ALL SELECT 1, -2 UNION ALL SELECT count(*) + 1, 99 FROM events")
+_add("sort_complex", "events", lambda f: axes.sort_complex(f.select(F.struct((F.col("event_id") % 13).cast("double").alias("re"), F.round(F.col("value") - F.col("event_id") / 1e6, 7).alias("im")).alias("z")), "z").select("pos", "z.*"),
+     "SELECT row_number() OVER (ORDER BY re, im) - 1 AS pos, re, im FROM (SELECT (event_id % 13)::DOUBLE AS re, round(value - event_id / 1e6, 7) AS im FROM events)")
+_add("nancumprod", "events", lambda f: scan(f.select("event_id", "ts", F.when(F.col("event_id") % 7 == 0, float("nan")).otherwise(1 + (F.col("event_id") % 5 - 2) / 1000.0).alias("x")), "multiply", [F.nanvl("x", F.lit(1.0))], ["ts", "event_id"]).select("event_id", F.round("y", 6).alias("y")),
+     "SELECT event_id, round(exp(sum(CASE WHEN event_id % 7 = 0 THEN 0 ELSE ln(1 + (event_id % 5 - 2) / 1000e0) END) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), 6) AS y FROM events")
