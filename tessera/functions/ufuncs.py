@@ -44,11 +44,6 @@ def _log(of: Callable[[Column], Column]) -> Callable[[Column], Column]:
     return lambda x: F.when(_d(x) == 0, -INF).when(_d(x) > 0, of(_d(x))).when(x.isNotNull(), NAN)
 
 
-def _negative(x: Column) -> Column:
-    """Whether the sign bit is set, that of a zero too."""
-    return F.startswith(x.cast("string"), F.lit("-"))
-
-
 def float_divmod(x: Column, y: Column) -> tuple[Column, Column]:
     """Floor quotient and remainder of doubles, the remainder exact and with the divisor's sign.
 
@@ -57,12 +52,12 @@ def float_divmod(x: Column, y: Column) -> tuple[Column, Column]:
     """
     x, y = _d(x), _d(y)
     rest = F.try_mod(x, y)
-    other = (rest != 0) & (_negative(rest) != _negative(y)) & ~F.isnan(rest)
+    other = (rest != 0) & ((rest < 0) != (y < 0)) & ~F.isnan(rest)
     moved = F.when(other, rest + y).when(rest == 0, F.signum(y) * 0.0).otherwise(rest)
     near = (x - rest) / F.nullif(y, F.lit(0.0)) - F.when(other, 1.0).otherwise(0.0)
-    whole = F.when(F.isnan(near) | (F.abs(near) >= 2.0**52), near).otherwise(F.rint(near))
+    whole = F.rint(near)
     signed = F.when(whole == 0, F.signum(x) * F.signum(y) * 0.0).otherwise(whole)
-    by_zero = F.when((x == 0) | F.isnan(x), NAN).when(_negative(x) != _negative(y), -INF).otherwise(INF)
+    by_zero = F.when((x == 0) | F.isnan(x), NAN).when((x < 0) != (F.pow(y, F.lit(-1.0)) < 0), -INF).otherwise(INF)  # a zero's power tells its sign
     known = x.isNotNull() & y.isNotNull()
     return F.when(known, F.when(y == 0, by_zero).otherwise(signed)), F.when(known, F.when(y == 0, NAN).otherwise(moved))
 

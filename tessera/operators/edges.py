@@ -27,7 +27,7 @@ def searchsorted(values: DataFrame, edges: DataFrame, x: str, edge: str, right:
     both = both.filter(F.col("__v").isNotNull())
     bounds = bounds_of(both, "__v")
     numbers = both.union(known.filter(F.isnan("__v"))).union(asked.filter(F.isnan("__v"))).groupBy("__v").agg(F.sum("__n").alias("__n"))
-    numbers = numbers.withColumn("__range", range_of(F.col("__v"), bounds))
+    numbers = numbers.withColumn("__range", range_of(F.col("__v"), bounds)).persist()
     counts = {r["__range"]: r["__n"] for r in numbers.groupBy("__range").agg(F.sum("__n").alias("__n")).collect()}
     before = [sum(counts.get(k, 0) for k in range(r)) for r in range(len(bounds) + 1)]
     inside = Window.partitionBy("__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
