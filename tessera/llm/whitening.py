@@ -68,8 +68,8 @@ def _totals(frame: DataFrame, expressions: list[str]) -> list:
 
 
 def _centred(frame: DataFrame, count: int, sums: tuple[int, ...]) -> DataFrame:
-    """The vectors less their mean as one array ``c``: as many columns as dimensions would outgrow a compiled method's parameters."""
-    return frame.selectExpr("array(" + ", ".join(f"CAST(x[{i}] AS DOUBLE) - {_number(s / count)}" for i, s in enumerate(sums)) + ") AS c")
+    """The vectors less their mean as columns c0, c1, ... that are never NULL: sums of these are compiled without tests."""
+    return frame.selectExpr(*[f"coalesce(CAST(x[{i}] AS DOUBLE) - {_number(s / count)}, 0D) AS c{i}" for i, s in enumerate(sums)])
 
 
 def _number(value: float) -> str:
@@ -110,7 +110,7 @@ def fit_whitening(fit: DataFrame, components: int = 16) -> Whitening | None:
     count, sums = first[0], tuple(first[1::3])
     spread = max(high - low for low, high in zip(first[2::3], first[3::3]))
     pairs = list(combinations_with_replacement(range(d), 2))
-    products = _totals(_centred(fit, count, sums), [f"sum(c[{i}] * c[{j}])" for i, j in pairs])
+    products = _totals(_centred(fit, count, sums), [f"sum(c{i} * c{j})" for i, j in pairs])
     covariance = np.zeros((d, d))
     for (i, j), total in zip(pairs, products):
         covariance[i, j] = covariance[j, i] = total / count
