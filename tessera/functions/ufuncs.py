@@ -145,7 +145,7 @@ def _b(name, make, sql, reduce=None, identity=None):
 _X, _Y = "({x} * pow(2, 60))::HUGEINT", "({y} * pow(2, 60))::HUGEINT"
 _FINITE = "isnan({x}) OR isnan({y}) OR isinf({x})"
 FLOOR_SQL = (
-    f"CASE WHEN {_FINITE} THEN 'nan'::DOUBLE WHEN {{y}} = 0 THEN CASE WHEN {{x}} = 0 THEN 'nan'::DOUBLE WHEN ({{x}} < 0) = ({{y}}::VARCHAR LIKE '-%') THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END"
+    f"CASE WHEN isnan({{x}}) OR isnan({{y}}) THEN 'nan'::DOUBLE WHEN isinf({{x}}) AND {{y}} <> 0 THEN 'nan'::DOUBLE WHEN {{y}} = 0 THEN CASE WHEN {{x}} = 0 THEN 'nan'::DOUBLE WHEN ({{x}} < 0) = ({{y}}::VARCHAR LIKE '-%') THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END"
     f" WHEN isinf({{y}}) THEN CASE WHEN {{x}} = 0 OR ({{x}} < 0) = ({{y}} < 0) THEN 0.0 ELSE -1.0 END"
     f" ELSE (({_X} - (({_X} % {_Y}) + {_Y}) % {_Y}) // {_Y})::DOUBLE END"
 )
