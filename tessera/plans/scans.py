@@ -16,8 +16,8 @@ def _add(name, run, sql):
 
 
 # Every event's value among the prices of all line items (with repeats), scaled to the values' size.
-_EDGES = "SELECT round(l_extendedprice / 200, 2) AS e FROM lineitem"
-_edges = lambda lines: lines.select(F.round(F.col("l_extendedprice") / 200, 2).alias("e"))
+_EDGES = "SELECT floor(l_extendedprice) / 256 AS e FROM lineitem"
+_edges = lambda lines: lines.select((F.floor("l_extendedprice") / 256).alias("e"))
 _PLACES = """
 SELECT event_id, {place} AS {name} FROM (
   SELECT event_id, v, sum(n) OVER (ORDER BY v RANGE UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY v) AS same, sum(n) OVER () AS every
