@@ -23,10 +23,10 @@ result columns take the place of columns of the same name.
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as entities
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -48,8 +48,6 @@ SALTS = 64
 CONSTANT = 200
 #: Depth of a tree, at most.
 DEEPEST = 120
-#: Pairs of nodes up to which alignments are the longest; beyond, each node meets the next one of its kind.
-PAIRS = 1_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 MARK = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -228,33 +226,43 @@ def merge_nodes(a: list, b: list, pages: Callable[[int, int], int] = add) -> lis
 
 
 def _matched(left: list[str], right: list[str]) -> Iterator[tuple[int, int]]:
-    """Places of both that go together, in order: as many as can be, or in long lists the next of each kind."""
-    if len(left) * len(right) > PAIRS:
-        places: dict[str, list[int]] = {}
-        for j, shape in enumerate(right):
-            places.setdefault(shape, []).append(j)
-        at = 0
-        for i, shape in enumerate(left):
-            mine = places.get(shape, ())
-            k = bisect.bisect_left(mine, at)
-            # A far partner would part all that lies between from its own.
-            if k < len(mine) and mine[k] - at <= 8:
-                yield i, mine[k]
-                at = mine[k] + 1
-        return
-    longest = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    """Places of both that go together, in order: as many as can be.
+
+    A row holds for one place i of the left a bit for each place of the right, the last one lowest: 0 where the longest
+    match of left[i:] grows by it, so the zeros among the lowest m - j bits are the length of that with right[j:].
+    A row follows from the next one by one addition of whole integers; of all rows every ``step``-th is kept, those
+    between are found again on the way.
+    """
+    m, full, marks = len(right), (1 << len(right)) - 1, {}
+    for k, shape in enumerate(reversed(right)):
+        marks[shape] = marks.get(shape, 0) | 1 << k
+
+    def before(row: int, shape: str) -> int:
+        here = row & marks.get(shape, 0)
+        return (row + here | row - here) & full if here else row
+
+    step = math.isqrt(len(left)) + 1
+    row, kept = full, {len(left): full}
     for i in range(len(left) - 1, -1, -1):
-        for j in range(len(right) - 1, -1, -1):
-            longest[i][j] = longest[i + 1][j + 1] + 1 if left[i] == right[j] else max(longest[i + 1][j], longest[i][j + 1])
-    i = j = 0
-    while i < len(left) and j < len(right):
-        if left[i] == right[j]:
-            yield i, j
-            i, j = i + 1, j + 1
-        elif longest[i + 1][j] >= longest[i][j + 1]:
-            i += 1
-        else:
-            j += 1
+        row = before(row, left[i])
+        if i % step == 0:
+            kept[i] = row
+    j = 0
+    for start in range(0, len(left), step):
+        part = left[start : start + step]
+        rows = [kept[start + len(part)]]
+        for shape in reversed(part):
+            rows.append(before(rows[-1], shape))
+        for i, shape in enumerate(part, start):
+            here, after = rows[start + len(part) - i], rows[start + len(part) - i - 1]
+            low = (1 << m - j) - 1
+            more = (after & low).bit_count() - (here & low).bit_count()  # what the place adds to the longest match: 0 or 1
+            while more and right[j] != shape:
+                j += 1
+                more += (here >> m - j & 1) - (after >> m - j & 1)
+            if j < m and right[j] == shape:
+                yield i, j
+                j += 1
 
 
 def align(a: list, b: list, pages: Callable[[int, int], int] = add) -> list:

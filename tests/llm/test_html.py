@@ -1,8 +1,9 @@
 import html
 import json
+import random
 import re
 
-from tessera.llm.html import align, extract, extract_pages, infer_wrappers, parse, wrapper_of
+from tessera.llm.html import _matched, align, extract, extract_pages, infer_wrappers, parse, wrapper_of
 from tessera.llm.html_query import op7_html_extraction
 
 
@@ -151,3 +152,34 @@ def test_what_stands_beside_the_heaviest_element():
     assert extract(f"<body><div><p>lead</p><div><p>{text}</p><p>{text}</p></div><p>closing</p></div></body>") == "\n".join(["lead", text.strip(), text.strip(), "closing"])
     assert extract(f"<body><div>lead<div><p>{text}</p></div></div><div class='menu'>Home</div></body>") == "lead\n" + text.strip()
     assert extract(f"<body><div class=x>Other things</div><div><p>{text}</p></div></body>") == text.strip()
+
+
+def longest_match(left, right):
+    table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    for i in range(len(left) - 1, -1, -1):
+        for j in range(len(right) - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if left[i] == right[j] else max(table[i + 1][j], table[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(left) and j < len(right):
+        if left[i] == right[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif table[i + 1][j] >= table[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_alignments_of_any_length_are_the_longest():
+    rng = random.Random(3)
+    for n, m, kinds in [(rng.randrange(12), rng.randrange(12), rng.randrange(1, 6)) for _ in range(400)] + [(300, 200, 3), (1050, 1000, 4), (1001, 1001, 40)]:
+        left, right = ([f"k{rng.randrange(kinds)}" for _ in range(size)] for size in (n, m))
+        assert list(_matched(left, right)) == longest_match(left, right), (n, m, kinds)
+
+
+def test_a_long_page_is_aligned_like_a_short_one():
+    for n in (100, 1200):
+        body = [["e", f"p{i * i % 97}", []] for i in range(n)]
+        merged = align(body, body[: n // 2] + body[n // 2 + 30 :])  # farther apart than a few places
+        assert [i for i, node in enumerate(merged) if node[0] == "?"] == list(range(n // 2, n // 2 + 30))
