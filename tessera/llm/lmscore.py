@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.averaging import KIND, cut, summed
 from tessera.llm.shared import materialize
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -54,7 +55,6 @@ TRAIN_TOKENS = 400_000
 EPOCHS, BATCH, RATE = 2, 2048, 0.01
 ALL_BATCH, ALL_RATE = 8192, 0.003  # of the pass over all documents
 PIECE = 1 << 18  # tokens that a task holds at a time
-SLOTS = 512
 #: Words whose own counts go to all tasks, at most; rarer ones meet theirs in a join.
 COMMON = 100_000
 CHUNK = 1 << 13
@@ -262,35 +262,18 @@ def train_on_all(model: Model, texts: DataFrame) -> int:
             descend()
         seen += size
         if seen:
-            slots = np.array_split(np.concatenate([getattr(mine, n).ravel() for n in PARAMS]).astype(np.float64) * seen, SLOTS)
-            yield _slots({k: [x, seen] for k, x in enumerate(slots)})
+            yield cut(np.concatenate([getattr(mine, n).ravel() for n in PARAMS]).astype(np.float64) * seen, seen)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, list] = {}
-        for batch in batches:
-            for slot, x, n in zip(*(batch.column(c).to_pylist() for c in ("slot", "x", "n"))):
-                known = sums.setdefault(slot, [0.0, 0])
-                known[0], known[1] = known[0] + np.frombuffer(x), known[1] + n
-        yield _slots(sums)
-
-    kind = "slot int, x binary, n long"
-    found = sorted(texts.select("text").mapInArrow(learn, kind).repartition("slot").mapInArrow(add, kind).collect(), key=lambda r: r.slot)
+    total, tokens = summed(texts.select("text").mapInArrow(learn, KIND))
     handle.unpersist()
-    if not found:
+    if not tokens:
         return 0
-    flat, at = np.concatenate([np.frombuffer(bytes(r.x)) / r.n for r in found]), 0
+    flat, at = total / tokens, 0
     for name in PARAMS:
         old = getattr(model, name)
         setattr(model, name, flat[at : at + old.size].reshape(old.shape).astype(old.dtype))
         at += old.size
-    return found[0].n
-
-
-def _slots(sums: dict[int, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x, _ in sums.values()], pa.binary()), pa.array([n for _, n in sums.values()], pa.int64())],
-        names=["slot", "x", "n"],
-    )
+    return tokens
 
 
 def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:

@@ -2,24 +2,31 @@
 
 A word's embedding is the sum of hashed rows: its own, and those of its first letters (PREFIXES), so that unseen forms
 of a known stem score. Filters of several widths run over the whole text; of each filter the POOL largest values are
-kept (max pooling that can tell one hit from several), and a logistic layer reads them. All of it is numpy, trained
-with Adam on the driver from at most TRAIN_ROWS rows of each label. A part of those rows sets, for each language that
-the language profiles see in the text, the threshold that separates best; scores are shifted so that this threshold
-becomes DECISION everywhere.
+kept (max pooling that can tell one hit from several), and a logistic layer reads them. All of it is numpy.
 
-Scoring is one pass without a shuffle over whole texts; a batch's distinct words are projected once for all filters.
+Every labelled row is learned from. One in CALIBRATION of them, by a hash of the id, is held back. Of the others Spark
+counts in how many texts of each label each row of the embedding is; those that tell nothing stay 0. Then texts are cut
+down to the words that tell, without a change to what the network gives for them, and the network is trained with Adam in
+groups of about GROUP rows, in ROUNDS rounds; after each the groups' weights are averaged by their rows, those of an
+embedding row by the texts that have it. The rows held back set, for each language that the language profiles see in the
+text, the threshold that separates best; scores are shifted so that this threshold becomes DECISION everywhere.
+
+Scoring is one pass without a shuffle over whole texts.
 
 Defined cases: null and empty texts get the score of a text without words; without both labels to learn from, every
-score is 0; repeated rows give repeated results; other columns stay, and result columns take the place of columns of
-the same name.
+score is 0; an id that is labelled several times has the largest of its labels; repeated rows teach as often as they are
+there and give repeated results; other columns stay, and result columns take the place of columns of the same name.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.langid import Profiles, bounded_sample
+from tessera.llm.averaging import KIND, cut, summed
+from tessera.llm.langid import UNKNOWN, Profiles
+from tessera.llm.shared import materialize
 
 #: Score from which a text counts as toxic.
 DECISION = 0.7
-#: Rows of each label that the network is trained on, about.
-TRAIN_ROWS = 3_000
+#: Rows that a group is trained on, about, and how often the groups' weights are averaged.
+GROUP = 6_000
+ROUNDS = 3
 PREFIXES = (4, 6)
 BUCKETS = 1 << 18
-#: Texts of the sample that must share a word or stem for it to have a row of its own.
+#: Texts that must share a word or stem for it to have a row of its own.
 SHARED_BY = 3
 TELLING = 4.0
 LEAST_PRECISION = 0.7
@@ -44,39 +54,75 @@ BLANKED = 0.2
 WIDTHS = (1, 2, 3)
 FILTERS, DEPTH, POOL = 8, 12, 3
 EPOCHS, BATCH, RATE = 6, 64, 0.01
-#: Share of the sample that sets thresholds, as one in so many.
+#: Share of the labelled rows that sets thresholds, as one in so many.
 CALIBRATION = 4
+#: Thresholds are found among log-odds in steps of one in so many.
+GRID = 256
 WORDS = re.compile(r"[^\W\d_]+")
 #: Characters of texts that are scored at a time, or one text.
 CHUNK = 2_000_000
+#: Words that a task keeps the numbers of.
+KNOWN = 200_000
+#: Words in a row that tell nothing, of which more make no difference: for every width POOL windows hold nothing else.
+BLANK = POOL + max(WIDTHS) - 1
 
 
 def words_of(text: str | None) -> list[str]:
     return WORDS.findall((text or "").lower())
 
 
+def _bucket(key: str) -> int:
+    return zlib.crc32(key.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
+
+
+@lru_cache(KNOWN)
+def _stems(start: str) -> tuple[int, ...]:
+    """Rows of a word's stems, which depend on no more than one letter behind the longest."""
+    return tuple(_bucket(start[:n] + "-" if len(start) > n else start + "-") for n in PREFIXES)
+
+
 def buckets_of(word: str) -> list[int]:
     """Rows of the embedding table that make up a word: the word, and its stems; row 0 is padding."""
-    keys = [word, *(word[:n] + "-" if len(word) > n else word + "-" for n in PREFIXES)]
-    return [zlib.crc32(key.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1 for key in keys]
+    return [_bucket(word), *_stems(word[: max(PREFIXES) + 1])]
 
 
 class Words(dict):
-    """Word -> number, from 1 on; ``rows`` holds the embedding rows of each number."""
+    """Word -> number, from 1 on; ``rows`` holds the embedding rows of each number. Words without a ``telling`` row are 0."""
 
-    def __init__(self) -> None:
+    def __init__(self, telling: np.ndarray | None = None) -> None:
         super().__init__()
+        self.telling = None if telling is None else telling.tobytes()
         self.rows = [[0] * (len(PREFIXES) + 1)]
 
     def __missing__(self, word: str) -> int:
-        self.rows.append(buckets_of(word))
-        number = self[word] = len(self.rows) - 1
+        rows = buckets_of(word)
+        if self.telling is not None and not any(map(self.telling.__getitem__, rows)):
+            number = 0
+        else:
+            self.rows.append(rows)
+            number = len(self.rows) - 1
+        self[word] = number
         return number
 
+    def forget(self) -> None:
+        """Start anew where more than KNOWN words are kept."""
+        if len(self) > KNOWN:
+            self.clear()
+            del self.rows[1:]
+
     def numbers(self, text: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, text), dtype=np.int64, count=len(text))
 
 
+def shortened(numbers: np.ndarray) -> np.ndarray:
+    """A text with runs of words that tell nothing (0) cut to BLANK: the network gives the same for it."""
+    told = np.flatnonzero(numbers)
+    gaps = np.minimum(np.diff(told, prepend=-1, append=len(numbers)) - 1, BLANK)
+    out = np.zeros(gaps.sum() + len(told), dtype=np.int64)
+    out[np.cumsum(gaps[:-1] + 1) - 1] = numbers[told]
+    return out
+
+
 @dataclass
 class Layout:
     """Texts in a row: embedding rows of their distinct words, the word at each place (0: padding), each text's begin.
@@ -102,19 +148,26 @@ class Layout:
 
 def _pool(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Places (text, POOL, filter) of each filter's largest values in each text, largest first; -1: no such place."""
-    out = np.full((len(starts) - 1, POOL, values.shape[1]), -1, dtype=np.int64)
-    columns = np.arange(values.shape[1])
-    for i in range(len(starts) - 1):
-        part = values[starts[i] : starts[i + 1] - max(WIDTHS) + 1]
-        if len(part) > POOL:
-            top = np.argpartition(part, len(part) - POOL, axis=0)[-POOL:]
-        else:
-            top = np.broadcast_to(np.arange(len(part))[:, None], part.shape)
-        order = np.argsort(-part[top, columns], axis=0, kind="stable")
-        out[i, : len(top)] = np.take_along_axis(top, order, axis=0) + starts[i]
+    out = np.empty((len(starts) - 1, POOL, values.shape[1]), dtype=np.int64)
+    columns, text = np.arange(values.shape[1]), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    places = np.arange(len(values))[:, None]
+    values = np.where(places[:, 0] < starts[text + 1] - max(WIDTHS) + 1, values.T, -np.inf).T
+    for k in range(POOL):
+        best = np.maximum.reduceat(values, starts[:-1])
+        at = np.minimum.reduceat(np.where(values == best[text], places, len(values)), starts[:-1])
+        out[:, k] = np.where(best > -np.inf, at, -1)
+        values[at, columns] = -np.inf
     return out
 
 
+def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices, and the sums of the rows of each."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    starts = np.flatnonzero(np.diff(index, prepend=-1))
+    return index[starts], np.add.reduceat(values[order], starts) if len(starts) else values[:0]
+
+
 @dataclass
 class Network:
     """Parameters; ``filters[w]`` is (w, DEPTH, FILTERS). ``shifts`` are the languages' thresholds in log-odds."""
@@ -129,9 +182,9 @@ class Network:
     trained: bool = True
 
     @classmethod
-    def fresh(cls, seed: int = 7) -> Network:
+    def fresh(cls, seed: int = 7, rows: int = BUCKETS) -> Network:
         rng = np.random.default_rng(seed)
-        embedding = rng.normal(0, 0.1, (BUCKETS, DEPTH)).astype(np.float32)
+        embedding = rng.normal(0, 0.1, (rows, DEPTH)).astype(np.float32)
         embedding[0] = 0
         filters = {w: rng.normal(0, 0.5 / np.sqrt(w), (w, DEPTH, FILTERS)).astype(np.float32) for w in WIDTHS}
         biases = {w: np.zeros(FILTERS, dtype=np.float32) for w in WIDTHS}
@@ -157,13 +210,14 @@ class Network:
             total += (kept * self.weights[i]).sum(axis=(1, 2))
         return total
 
-    def scores(self, texts: list[list[str]], languages: list[str]) -> np.ndarray:
-        """Scores of texts given as words; ``languages`` are those that the profiles see in them."""
-        if not self.trained:
-            return np.zeros(len(texts))
+    def params(self) -> dict[str, np.ndarray]:
+        """The embedding first, then all that isn't by rows."""
+        own = {"embedding": self.embedding, "weights": self.weights, "intercept": self.intercept}
+        return own | {f"filter{w}": self.filters[w] for w in WIDTHS} | {f"bias{w}": self.biases[w] for w in WIDTHS}
+
+    def scores(self, numbers: list[np.ndarray], languages: list[str], words: Words) -> np.ndarray:
+        """Scores of texts given by numbers of ``words``; ``languages`` are those that the profiles see in them."""
         shift = np.array([self.shifts.get(lang, self.default) for lang in languages])
-        words = Words()
-        numbers = [words.numbers(t) for t in texts]
         z = np.clip(self.logits(numbers, np.array(words.rows)) - shift + np.log(DECISION / (1 - DECISION)), -40, 40)
         return 1 / (1 + np.exp(-z))
 
@@ -196,42 +250,23 @@ def _gradients(net: Network, texts: list[np.ndarray], table: np.ndarray, labels:
             inside = at + offset < len(places)
             word = places[at[inside] + offset]
             grad = g[inside]
-            np.add.at(grads[f"filter{width}"][offset].T, f[inside], vectors[word] * grad[:, None])
-            touched.append(rows[word].ravel())
-            pulls.append(np.repeat(grad[:, None] * net.filters[width][offset].T[f[inside]], rows.shape[1], axis=0))
-    every = np.concatenate(touched)
-    grads["rows"], index = np.unique(every, return_inverse=True)
-    grads["embedding"] = np.zeros((len(grads["rows"]), DEPTH), dtype=np.float32)
-    np.add.at(grads["embedding"], index, np.concatenate(pulls))
-    grads["embedding"][grads["rows"] == 0] = 0
+            which, total = _sums(f[inside], vectors[word] * grad[:, None])
+            grads[f"filter{width}"][offset][:, which] += total.T
+            mine = rows[word]
+            at_word, column = np.nonzero(mine)  # row 0 stays as it is
+            touched.append(mine[at_word, column])
+            pulls.append((grad[:, None] * net.filters[width][offset].T[f[inside]])[at_word])
+    grads["rows"], grads["embedding"] = _sums(np.concatenate(touched), np.concatenate(pulls))
     return grads
 
 
-def telling_rows(texts: list[np.ndarray], table: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Which rows of the embedding are words or stems of SHARED_BY texts at least whose labels differ from the others'.
-
-    The difference of the two labels' rates must be TELLING standard errors or more; words that say nothing share row 0.
-    """
-    seen = np.zeros((2, BUCKETS), dtype=np.float64)
-    for text, label in zip(texts, labels):
-        seen[int(label), np.unique(table[np.unique(text)])] += 1
-    n0, n1 = max((labels == 0).sum(), 1), max((labels == 1).sum(), 1)
-    rate = seen.sum(axis=0) / (n0 + n1)
-    error = np.sqrt(np.maximum(rate * (1 - rate), 1e-9) * (1 / n0 + 1 / n1))
-    return (seen.sum(axis=0) >= SHARED_BY) & (np.abs(seen[1] / n1 - seen[0] / n0) >= TELLING * error)
-
-
-def train(texts: list[np.ndarray], table: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Network:
-    net, rng = Network.fresh(seed), np.random.default_rng(seed)
-    net.embedding[~telling_rows(texts, table, labels)] = 0
-    known = net.embedding.any(axis=1)
-    params = {"embedding": net.embedding, "weights": net.weights, "intercept": net.intercept}
-    params |= {f"filter{w}": net.filters[w] for w in WIDTHS} | {f"bias{w}": net.biases[w] for w in WIDTHS}
+def descend(net: Network, texts: list[np.ndarray], table: np.ndarray, labels: np.ndarray, epochs: int, seed: int) -> None:
+    """Adam on the mean log loss; row 0 of the embedding stays 0."""
+    rng, params = np.random.default_rng(seed), net.params()
     first = {n: np.zeros_like(p) for n, p in params.items()}
     second = {n: np.zeros_like(p) for n, p in params.items()}
-    # Small samples get more passes: the network needs some hundred steps.
-    steps, least = 0, 300 * BATCH // max(len(texts), 1)
-    for _ in range(min(max(epochs, least), 60)):
+    steps = 0
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for at in range(0, len(order), BATCH):
             chosen = order[at : at + BATCH]
@@ -242,11 +277,101 @@ def train(texts: list[np.ndarray], table: np.ndarray, labels: np.ndarray, epochs
             for name, param in params.items():
                 # Of the embedding, only rows that the step touched move.
                 at_rows = rows if name == "embedding" else slice(None)
-                grad = grads[name] * known[rows, None] if name == "embedding" else grads[name]
+                grad = grads[name]
                 first[name][at_rows] += 0.1 * (grad - first[name][at_rows])
                 second[name][at_rows] += 0.001 * (grad**2 - second[name][at_rows])
                 step = RATE * first[name][at_rows] / (1 - 0.9**steps) / (np.sqrt(second[name][at_rows] / (1 - 0.999**steps)) + 1e-7)
                 param[at_rows] -= step.astype(param.dtype)
+
+
+def telling_rows(texts: DataFrame, clean: int, toxic: int) -> np.ndarray:
+    """The rows of the embedding that are words or stems of SHARED_BY of ``texts`` at least whose labels differ from the others'.
+
+    The difference of the two labels' rates must be TELLING standard errors or more; words that say nothing share row 0.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, words, table = np.zeros((2, BUCKETS), dtype=np.int64), Words(), np.zeros((KNOWN, len(PREFIXES) + 1), dtype=np.int32)
+        filled = 1
+        for batch in batches:
+            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
+                numbers = np.unique(words.numbers(words_of(text.as_py())))
+                if len(words.rows) > len(table):
+                    table = np.concatenate([table, np.zeros((len(words.rows), len(PREFIXES) + 1), dtype=np.int32)])
+                if len(words.rows) > filled:
+                    table[filled : len(words.rows)] = words.rows[filled:]
+                seen[label, np.unique(table[numbers])] += 1
+                words.forget()
+                filled = len(words.rows)
+        rows = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[0, rows]), pa.array(seen[1, rows])], names=["row", "clean", "toxic"])
+
+    counted = texts.select("text", "label").mapInArrow(count, "row int, clean long, toxic long").groupBy("row").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rate = (F.col("clean") + F.col("toxic")) / (clean + toxic)
+    error = F.sqrt(F.greatest(rate * (1 - rate), F.lit(1e-9)) * (1 / clean + 1 / toxic))
+    differ = F.abs(F.col("toxic") / toxic - F.col("clean") / clean) >= TELLING * error
+    return np.array(sorted(r.row for r in counted.filter((F.col("clean") + F.col("toxic") >= SHARED_BY) & differ).select("row").collect()), dtype=np.int64)
+
+
+def shorten_texts(marked: DataFrame, told: np.ndarray, profiles: Profiles) -> DataFrame:
+    """Rows with their texts cut down: for each word left, the places of its embedding rows in ``told`` from 1 on; of those held back also the language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.zeros(BUCKETS, dtype=np.int32)
+        index[told] = np.arange(1, len(told) + 1)
+        words = Words(index > 0)
+        for batch in batches:
+            places, languages = [], []
+            for value, held in zip(batch.column("text"), batch.column("held").to_pylist()):
+                text = value.as_py()
+                numbers = shortened(words.numbers(words_of(text)))
+                places.append(index[[words.rows[i] for i in numbers]].tobytes() if len(numbers) else b"")
+                languages.append(profiles.predict(text)[0] if held else UNKNOWN)
+                words.forget()
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "held", "label")), pa.array(languages, pa.string()), pa.array(places, pa.binary())], names=["key", "held", "label", "language", "places"])
+
+    return marked.select("text", "key", "held", "label").mapInArrow(run, "key long, held boolean, label int, language string, places binary")
+
+
+def _numbered(places: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Texts as numbers of distinct words, and the embedding rows of each number."""
+    width = len(PREFIXES) + 1
+    rows = [np.frombuffer(p, dtype=np.int32).reshape(-1, width) for p in places]
+    table, numbers = np.unique(np.concatenate([np.zeros((1, width), dtype=np.int32), *rows]), axis=0, return_inverse=True)
+    return np.split(numbers.reshape(-1)[1:], np.cumsum([len(r) for r in rows])[:-1]), table
+
+
+def train(texts: DataFrame, rows: int, told: int, seed: int = 7) -> Network:
+    """A network over ``told`` rows of an embedding, and row 0, trained on all ``texts``."""
+    net = Network.fresh(seed, told + 1)
+    parts = -(-rows // GROUP)
+    # Small tables get more passes: the network needs some hundred steps.
+    epochs = min(max(EPOCHS, 300 * BATCH * parts // rows), 60) // ROUNDS
+    groups = texts.withColumn("part", F.pmod("key", F.lit(parts))).select("part", "key", "label", "places").groupBy("part")
+
+    def learn(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
+        # Texts without words are clean; a few among the others say so.
+        empty = 4 + group.num_rows // 50
+        mine, (numbers, table) = copy.deepcopy(net), _numbered(group.column("places").to_pylist() + [b""] * empty)
+        labels = np.append(group.column("label").to_numpy(), np.zeros(empty)).astype(np.float32)
+        descend(mine, numbers, table, labels, epochs, seed + turn)
+        having = np.zeros(told + 1)
+        for text in numbers:
+            having[np.unique(table[text])] += 1
+        embedding, *others = mine.params().values()
+        vector = [(embedding * having[:, None]).ravel(), *(p.ravel() * float(group.num_rows) for p in others), having]
+        return pa.Table.from_batches([cut(np.concatenate(vector), group.num_rows)])
+
+    for turn in range(ROUNDS):
+        total, n = summed(groups.applyInArrow(learn, KIND))
+        having, at = total[-told - 1 :], 0
+        for name, param in net.params().items():
+            mean = total[at : at + param.size].reshape(param.shape) / (np.maximum(having, 1)[:, None] if name == "embedding" else n)
+            moved = having > 0 if name == "embedding" else slice(None)
+            param[moved] = mean[moved]
+            at += param.size
+        net.embedding[0] = 0
     return net
 
 
@@ -268,52 +393,58 @@ def best_threshold(z: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> flo
     return float(0.7 * z[widest] + 0.3 * below[widest])
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS, least: int = 12
-) -> Network:
-    """Train on rows of ``docs`` that have a label of 0 or 1 in ``labels`` (rows without either teach nothing).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", least: int = 12) -> Network:
+    """Train on all rows of ``docs`` that have a label of 0 or 1 in ``labels`` (rows without either teach nothing).
 
     ``least``: rows of each label that a language needs for a threshold of its own; else all languages' one holds.
     """
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("label in (0, 1) and id is not null")
-    sample = bounded_sample(marks, "label", ["id"], rows).dropDuplicates(["id"])
-    # A few thousand ids by construction; should their number ever be larger, Spark joins the tables as it sees fit.
-    if sample.count() <= 8 * rows:
-        sample = F.broadcast(sample)
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(sample, "id")
-    joined = joined.dropDuplicates()
-    totals = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
-    got = sorted(((r.id, r.text or "", r.label) for r in joined.collect()), key=lambda r: (r[0], r[1]))
-    y = np.array([r[2] for r in got], dtype=np.float32)
-    if not len(got) or y.min() == y.max():
+    marks = marks.groupBy("id").agg(F.max("label").alias("label"))
+    held = F.crc32(F.concat(F.lit("calibrate "), F.col("id").cast("string")).cast("binary")) % CALIBRATION == 0
+    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks.hint("shuffle_hash"), "id")
+    marked = materialize(marked.select("text", "label", F.xxhash64("id", "text").alias("key"), held.alias("held")))
+    sizes = {(r.held, r.label): r["count"] for r in marked.groupBy("held", "label").count().collect()}
+    if {label for _, label in sizes} != {0, 1}:
         return Network(*(None,) * 5, shifts={}, default=0.0, trained=False)
-    words = Words()
-    texts = [words.numbers(words_of(r[1])) for r in got]
-    table = np.array(words.rows)
-    # Texts without words are clean; a few among the sample say so.
-    for i in range(4 + len(got) // 50):
-        got.append((f"empty {i}", "", 0))
-        texts.append(np.zeros(0, dtype=np.int64))
-    y = np.append(y, np.zeros(len(got) - len(y), dtype=np.float32))
-    held = np.array([zlib.crc32(f"calibrate {r[0]}".encode()) % CALIBRATION == 0 for r in got])
-    if y[held].min(initial=1) == y[held].max(initial=0) or y[~held].min(initial=1) == y[~held].max(initial=0):
-        held[:] = True
-        net = train(texts, table, y)
+    if len(sizes) < 4:  # too few to part
+        marked = marked.withColumn("held", F.lit(True))
+        learning, back = "held", True
     else:
-        net = train([t for t, h in zip(texts, held) if not h], table, y[~held])
-    at = np.flatnonzero(held)
-    z = np.concatenate([net.logits([texts[i] for i in at[j : j + BATCH]], table) for j in range(0, len(at), BATCH)])
-    true = y[at]
-    weight = np.where(true == 1, totals[1] / max((y == 1).sum(), 1), totals[0] / max((y == 0).sum(), 1))
-    net.default = best_threshold(z, true, weight)
-    spoken = np.array([profiles.predict(got[i][1])[0] for i in at], dtype=object)
-    for language in sorted(set(spoken)):
-        mine = spoken == language
-        if min((true[mine] == 1).sum(), (true[mine] == 0).sum()) >= least:
-            net.shifts[language] = best_threshold(z[mine], true[mine], weight[mine])
+        learning, back = "not held", False
+    clean, toxic = (sum(n for (h, label), n in sizes.items() if label == kind and (back or not h)) for kind in (0, 1))
+    told = telling_rows(marked.filter(learning), clean, toxic)
+    short = materialize(shorten_texts(marked, told, profiles))
+    net = train(short.filter(learning), clean + toxic, len(told))
+    _set_thresholds(net, short.filter("held"), least)
+    whole = np.zeros((BUCKETS, DEPTH), dtype=np.float32)
+    whole[told] = net.embedding[1:]
+    net.embedding = whole
     return net
 
 
+def _set_thresholds(net: Network, held: DataFrame, least: int) -> None:
+    """Thresholds from the log-odds of all rows held back; how many rows share a step of GRID is counted by Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, table = _numbered(batch.column("places").to_pylist())
+            found = [net.logits(texts[i : i + BATCH], table) for i in range(0, len(texts), BATCH)]
+            yield pa.RecordBatch.from_arrays([batch.column("language"), batch.column("label"), pa.array(np.concatenate(found or [np.zeros(0)]))], names=["language", "label", "z"])
+
+    step = F.floor(F.least(F.greatest("z", F.lit(-40.0)), F.lit(40.0)) * GRID)
+    scored = held.select("language", "label", "places").mapInArrow(run, "language string, label int, z double")
+    counted = Counter({(r.language, r.label, r.step): r.n for r in scored.groupBy("language", "label", step.alias("step")).agg(F.count("*").alias("n")).collect()})
+    empty = net.logits([np.zeros(0, dtype=np.int64)], np.zeros((1, len(PREFIXES) + 1), dtype=np.int64))[0]
+    counted[UNKNOWN, 0, int(np.floor(np.clip(empty, -40, 40) * GRID))] += 1 + sum(counted.values()) // 50
+    languages = np.array([language for language, _, _ in counted], dtype=object)
+    labels, steps, n = (np.array(x, dtype=np.float64) for x in ([k[1] for k in counted], [k[2] for k in counted], list(counted.values())))
+    net.default = best_threshold(steps / GRID, labels, n)
+    for language in sorted(set(languages)):
+        mine = languages == language
+        if min(n[mine & (labels == 1)].sum(), n[mine & (labels == 0)].sum()) >= least:
+            net.shifts[language] = best_threshold(steps[mine] / GRID, labels[mine], n[mine])
+
+
 def score_toxicity(docs: DataFrame, net: Network, profiles: Profiles, text_col: str = "text", score_out: str = "score", predicted_out: str = "predicted") -> DataFrame:
     """``docs`` with the score and, from DECISION on, predicted 1."""
     handle = docs.sparkSession.sparkContext.broadcast((net, profiles))
@@ -322,24 +453,31 @@ def score_toxicity(docs: DataFrame, net: Network, profiles: Profiles, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, speech = handle.value
+        words = Words(mine.embedding.any(axis=1)) if mine.trained else None
         for batch in batches:
             scores: list[np.ndarray] = []
-            texts: list[str | None] = []
+            numbers: list[np.ndarray] = []
+            languages: list[str] = []
             held = 0
 
             def flush() -> None:
-                languages = [speech.predict(t)[0] for t in texts] if mine.trained else [""] * len(texts)
-                scores.append(mine.scores([words_of(t) for t in texts], languages))
-                texts.clear()
-
-            for value in batch.column(text_col):
-                texts.append(value.as_py())
-                held += len(texts[-1] or "")
+                scores.append(mine.scores(numbers, languages, words))
+                numbers.clear()
+                languages.clear()
+                words.forget()
+
+            for value in batch.column(text_col) if mine.trained else ():
+                text = value.as_py()
+                numbers.append(shortened(words.numbers(words_of(text))))
+                languages.append(speech.predict(text)[0])
+                held += len(text or "")
                 if held > CHUNK:
                     flush()
                     held = 0
-            if texts:
+            if numbers:
                 flush()
+            if not mine.trained:
+                scores.append(np.zeros(batch.num_rows))
             score = np.concatenate(scores) if scores else np.zeros(0)
             columns = [batch.column(n) for n in kept] + [pa.array(score), pa.array((score >= DECISION).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, score_out, predicted_out])

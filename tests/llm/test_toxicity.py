@@ -2,7 +2,7 @@ import numpy as np
 
 from tessera.llm import toxicity as tox
 from tessera.llm.langid import Profiles
-from tessera.llm.toxicity import Network, Words, fit_toxicity, score_toxicity, words_of
+from tessera.llm.toxicity import Network, Words, fit_toxicity, score_toxicity, shortened, words_of
 from tessera.llm.toxicity_query import op8_toxicity
 
 NOBODY = Profiles.of({}, 5)
@@ -77,3 +77,32 @@ def test_held_out(spark):
     clean = [r for r in held if not toxic[r.doc_id]]
     assert sum(r.predicted for r in clean) <= 0.1 * len(clean)
     assert sum(r.predicted == toxic[r.doc_id] for r in held) >= 0.9 * len(held)
+
+
+def test_shortened_texts_give_the_same():
+    net, rng = Network.fresh(3), np.random.default_rng(1)
+    kept = rng.random(tox.BUCKETS) < 0.02
+    net.embedding[~kept] = 0
+    for size, every in ((0, 9), (1, 9), (7, 30), (60, 25), (400, 60), (400, 10_000)):
+        text = " ".join(f"{'n' if i % every else 'y'}{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}" for i in range(size))
+        words, telling = Words(), Words(kept)
+        whole, short = words.numbers(words_of(text)), shortened(telling.numbers(words_of(text)))
+        assert np.allclose(net.logits([whole], np.array(words.rows)), net.logits([short], np.array(telling.rows)), atol=1e-5)
+        assert len(short) <= len(whole)
+
+
+def test_every_labelled_row_teaches(spark, monkeypatch):
+    """Words that stand in few of very many rows are learned, by several groups as well."""
+    monkeypatch.setattr(tox, "GROUP", 3_000)
+    rows = [(i, f"plain word{i % 50} here " + (f"scum{i % 3}" if i % 3 == 0 else "well"), int(i % 3 == 0)) for i in range(12_000)]
+    rows += [(20_000 + i, f"plain word{i} here seldom", 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(20_000, 0)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(tox, "train", lambda texts, n, told, f=tox.train: seen.append((texts.count(), n, told)) or f(texts, n, told))
+    monkeypatch.setattr(tox, "_set_thresholds", lambda net, held, least, f=tox._set_thresholds: seen.append(held.count()) or f(net, held, least))
+    net = fit_toxicity(docs, labels, NOBODY)
+    assert seen[0][0] == seen[0][1] and seen[0][0] + seen[1] == len(rows) and seen[1] > len(rows) / 5
+    assert net.embedding[tox.buckets_of("seldom")[0]].any() and not net.embedding[tox.buckets_of("plain")[0]].any()
+    probes = spark.createDataFrame([("a scum1 here", 1), ("plain word3 here well", 0), ("plain seldom here", 1), ("", 0)], "text string, want int")
+    assert all(r.predicted == r.want for r in score_toxicity(probes, net, NOBODY).collect())
