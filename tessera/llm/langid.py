@@ -5,9 +5,8 @@ frequent in texts known to be of it, by rank. A text's own profile is made the s
 is the sum over its n-grams of how far out of place each is there (an n-gram that the language's profile lacks counts
 as if it were one place behind the last). The nearest language wins; equal distances go to the smaller name.
 
-Fitting reads a sample of labelled rows bounded by TRAIN_ROWS for each language: rows are taken by a hash of id and text,
-at the rate that the language's own count asks for, so rare languages are read whole. N-gram counts are summed by
-Spark; of each language only its most frequent ones reach the driver. Prediction is one pass without a shuffle.
+Fitting reads all labelled rows. N-grams are counted in tasks and summed by Spark; of each language only its most frequent
+ones reach the driver. Prediction is one pass without a shuffle.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; with nothing to learn from, every text is
 ``und``; repeated rows give repeated results; other columns stay, and result columns take the place of columns of the
@@ -28,8 +27,10 @@ from pyspark.sql.window import Window
 
 #: Places in a profile.
 PLACES = 300
-#: Rows of each language that a profile is made of, about.
-TRAIN_ROWS = 2_000
+#: N-grams that a task counts at a time, and distinct ones that it holds counts of, about.
+GRAMS, HELD = 1_000_000, 2_000_000
+#: Steps of a score that the known texts' scores are counted by.
+STEPS = 1 << 16
 UNKNOWN = "und"
 #: Texts with fewer letters than this are too short to be told from noise by their score.
 LETTERS = 20
@@ -137,20 +138,46 @@ def bounded_sample(labelled: DataFrame, label: str, key: list[str], rows: int) -
     return labelled.filter(chosen).dropDuplicates()
 
 
-def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", places: int = PLACES, rows: int = TRAIN_ROWS) -> Profiles:
-    """Profiles of the languages that ``lang_col`` names; rows with a null text or language teach nothing."""
-    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    sample = bounded_sample(known, "lang", ["id", "text"], rows)
+def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", places: int = PLACES) -> Profiles:
+    """Profiles of the languages that ``lang_col`` names, from all rows; those with a null text or language teach nothing."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, langs = batch.column("text"), np.array(batch.column("lang").to_pylist(), dtype=object)
-            for lang in sorted(set(langs)):
-                grams = [ngrams(letters_of(texts[int(i)].as_py())) for i in np.flatnonzero(langs == lang)]
-                codes, counts = np.unique(np.concatenate(grams), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[str, list[np.ndarray]] = {}
 
-    counted = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        def add() -> None:
+            for lang, grams in held.items():
+                codes, counts = np.unique(np.concatenate(grams), return_counts=True)
+                if lang in sums:
+                    known, n = sums[lang]
+                    codes, at = np.unique(np.concatenate([known, codes]), return_inverse=True)
+                    counts, more = np.zeros(len(codes), dtype=np.int64), counts
+                    counts[at[: len(n)]] += n
+                    counts[at[len(n) :]] += more
+                sums[lang] = codes, counts
+            held.clear()
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, (codes, counts) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(counts)], names=["lang", "gram", "n"])
+            sums.clear()
+
+        size = 0
+        for batch in batches:
+            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+                grams = ngrams(letters_of(text.as_py()))
+                held.setdefault(lang, []).append(grams)
+                size += len(grams)
+                if size > GRAMS:
+                    add()
+                    size = 0
+                    if sum(len(codes) for codes, _ in sums.values()) > HELD:
+                        yield from flush()
+        add()
+        yield from flush()
+
+    known = _known(labelled, text_col, lang_col)
+    counted = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counted = counted.cache()
     try:
         best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -162,12 +189,20 @@ def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
     return Profiles.of(tops, places)
 
 
-def lowest_score(labelled: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = TRAIN_ROWS) -> float:
-    """Half of the score that all but one in a thousand of the known texts with enough letters reach; 0 if there are none."""
-    known = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
-    scored = predict_languages(bounded_sample(known, "lang", ["id", "text"], rows), profiles, score_out="score").filter(letters(F.col("text")) >= LETTERS)
-    found = scored.agg(F.percentile_approx("score", 0.001, 10_000)).first()[0]
-    return (found or 0.0) / 2
+def _known(labelled: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+
+
+def lowest_score(labelled: DataFrame, profiles: Profiles, text_col: str = "text", lang_col: str = "lang") -> float:
+    """Half of the score that all but one in a thousand of the known texts with enough letters reach, to one in STEPS; 0 if there are none."""
+    scored = predict_languages(_known(labelled, text_col, lang_col).filter(letters(F.col("text")) >= LETTERS), profiles, score_out="score")
+    counted = scored.groupBy(F.floor(F.col("score") * STEPS).alias("step")).agg(F.count("*").alias("n")).collect()
+    total, below = sum(r.n for r in counted), 0
+    for r in sorted(counted):
+        below += r.n
+        if 1000 * below >= total:
+            return r.step / STEPS / 2
+    return 0.0
 
 
 def letters(text: Column) -> Column:

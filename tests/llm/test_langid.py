@@ -71,3 +71,18 @@ def test_lowest_score(spark):
     profiles = fit_profiles(frame)
     assert 0 < lowest_score(frame, profiles) < 0.5 < profiles.predict(rows[0][1])[1]
     assert lowest_score(frame.limit(0), profiles) == 0
+
+
+def test_every_known_row_counts(spark, monkeypatch):
+    """More rows than any sample of 2,000 a language: profiles and the lowest score are those of all of them."""
+    monkeypatch.setattr("tessera.llm.langid.GRAMS", 5_000)
+    monkeypatch.setattr("tessera.llm.langid.HELD", 500)
+    rows = [(i, f"{'abcdefghij'[i % 10]}{'klmnopq'[i % 7]} the {'rstuvwxyz'[i % 9]}{'aeiou'[i % 5]}{'bcdfg'[i // 7 % 5]} of it", "en") for i in range(9_000)]
+    rows += [(20_000 + i, "zzqzz" * 8, "en") for i in range(12)] + [(30_000, "le chat", "fr")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    lists = {lang: profile(sum((grams(t) for _, t, g in rows if g == lang), Counter())) for lang in ("en", "fr")}
+    profiles = fit_profiles(frame)
+    found = {lang: [int(profiles.codes[j]) for j in sorted(range(len(profiles.codes)), key=lambda j: profiles.ranks[i, j]) if profiles.ranks[i, j] < PLACES] for i, lang in enumerate(profiles.languages)}
+    assert found == {lang: [code(g) for g in places] for lang, places in lists.items()}
+    scores = sorted(profiles.predict(t)[1] for _, t, _ in rows if sum(c.isalpha() for c in t) >= 20)
+    assert abs(lowest_score(frame, profiles) - scores[-(-len(scores) // 1000) - 1] / 2) < 1e-4
