@@ -36,6 +36,8 @@ UNKNOWN = "und"
 LETTERS = 20
 #: Bits of a letter in an n-gram's code; code points have 21, so three letters fit into 63.
 BITS = 21
+#: N-grams are counted in a table where letters are below the first, or the text's length, and it has up to the second times as many places as letters.
+NEAR_LETTERS, SPARSE = 0x800, 48
 
 _FOLD: np.ndarray | None = None
 
@@ -59,11 +61,11 @@ def letters_of(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     folded = np.empty(len(codes) + 2, dtype=np.int64)
     folded[0] = folded[-1] = 32
-    folded[1:-1] = fold_table()[codes]
-    space = folded == 32
-    keep = np.ones(len(folded), dtype=bool)
-    keep[1:] = ~(space[1:] & space[:-1])
-    return folded[keep]
+    np.take(fold_table(), codes, out=folded[1:-1], mode="clip")
+    letter = folded != 32
+    letter[1:] |= letter[:-1]
+    letter[0] = True
+    return np.compress(letter, folded)
 
 
 def ngrams(letters: np.ndarray) -> np.ndarray:
@@ -75,13 +77,55 @@ def ngrams(letters: np.ndarray) -> np.ndarray:
     return np.concatenate([one, two, three])
 
 
+def counted_ngrams(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the distinct ``ngrams`` in order of their codes, how often each is there, and letters to give to ``codes_of``.
+
+    Several texts' letters may stand in a row. Where texts have few letters beside their length, n-grams are counted in a
+    table of their numbers: letters are numbered in order, and an n-gram is written with them as digits.
+    """
+    top = int(letters.max())
+    if top < max(NEAR_LETTERS, len(letters)):
+        present = np.flatnonzero(np.bincount(letters))  # the space first: it is at both ends, and letters are behind it
+        base = len(present) + 1
+        if base**3 <= SPARSE * len(letters):
+            small = np.zeros(top + 1, dtype=np.int64)
+            small[present] = np.arange(1, base)
+            c = small[letters]
+            two = c[1:] * base
+            two += c[:-1]
+            three = c[2:] * base**2
+            three += two[:-1]
+            counts = np.bincount(three, minlength=base**3).reshape(base, base, base)
+            counts[:, 1] = 0
+            counts[0] = np.bincount(two, minlength=base**2).reshape(base, base)
+            counts[0, 1, 1] = 0  # between two texts
+            counts[0, 0, 2:] = counts[0, 2:].sum(axis=1)
+            counts = counts.reshape(-1)
+            found = np.flatnonzero(counts > 0)
+            return found, counts[found], np.append(0, present)
+    grams = ngrams(letters)
+    if len(letters) > 1:
+        grams = grams[grams != 32 | 32 << BITS]
+    return *np.unique(grams, return_counts=True), np.zeros(0, dtype=np.int64)
+
+
+def codes_of(numbers: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """Codes of n-grams that ``counted_ngrams`` gave: numbers with the letters in ``present`` as digits, or codes if there are none."""
+    if not len(present):
+        return numbers
+    third, rest = np.divmod(numbers, len(present) ** 2)
+    second, first = np.divmod(rest, len(present))
+    return present[first] | present[second] << BITS | present[third] << (2 * BITS)
+
+
 def ranked(codes: np.ndarray, counts: np.ndarray, places: int) -> np.ndarray:
-    """The most frequent codes in order; equal counts in order of code."""
+    """The most frequent of codes in order; equal counts in order of code. ``codes`` are in order."""
     if len(counts) > places:
         least = np.partition(counts, len(counts) - places)[len(counts) - places]
         among = np.flatnonzero(counts >= least)
         codes, counts = codes[among], counts[among]
-    return codes[np.lexsort((codes, -counts))][:places]
+    # Codes stand in order as they are found.
+    return codes[np.argsort(-counts, kind="stable")][:places]
 
 
 @dataclass(frozen=True)
@@ -107,17 +151,14 @@ class Profiles:
         letters = letters_of(text or "")
         if len(letters) < 2 or not len(self.languages):
             return UNKNOWN, 0.0
-        codes, counts = np.unique(ngrams(letters), return_counts=True)
-        mine = ranked(codes, counts, self.places)
+        numbers, counts, present = counted_ngrams(letters)
+        mine = codes_of(ranked(numbers, counts, self.places), present)
         at = np.searchsorted(self.codes, mine)
         at[at == len(self.codes)] = 0
         known = self.codes[at] == mine
         place = np.arange(len(mine))
-        out_of_place = np.abs(self.ranks[:, at[known]] - place[known])
-        missing = (self.places - place[~known]).sum()
-        absent = self.ranks[:, at[known]] == self.places
-        out_of_place[absent] = np.broadcast_to(self.places - place[known], absent.shape)[absent]
-        distances = out_of_place.sum(axis=1) + missing
+        # What a language lacks has the rank behind its last.
+        distances = np.abs(np.where(known, self.ranks[:, at], self.places) - place).sum(axis=1)
         best = int(np.argmin(distances))
         worst = (self.places - place).sum()
         return self.languages[best], float(1 - distances[best] / worst) if worst else 0.0
@@ -146,8 +187,9 @@ def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
         held: dict[str, list[np.ndarray]] = {}
 
         def add() -> None:
-            for lang, grams in held.items():
-                codes, counts = np.unique(np.concatenate(grams), return_counts=True)
+            for lang, texts in held.items():
+                numbers, counts, present = counted_ngrams(np.concatenate(texts))
+                codes = codes_of(numbers, present)
                 if lang in sums:
                     known, n = sums[lang]
                     codes, at = np.unique(np.concatenate([known, codes]), return_inverse=True)
@@ -165,10 +207,10 @@ def fit_profiles(labelled: DataFrame, text_col: str = "text", lang_col: str = "l
         size = 0
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
-                grams = ngrams(letters_of(text.as_py()))
-                held.setdefault(lang, []).append(grams)
-                size += len(grams)
-                if size > GRAMS:
+                mine = letters_of(text.as_py())
+                held.setdefault(lang, []).append(mine)
+                size += len(mine)
+                if 3 * size > GRAMS:
                     add()
                     size = 0
                     if sum(len(codes) for codes, _ in sums.values()) > HELD:

@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import copy
 import re
+import sys
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +61,10 @@ CALIBRATION = 4
 #: Thresholds are found among log-odds in steps of one in so many.
 GRID = 256
 WORDS = re.compile(r"[^\W\d_]+")
-#: Characters of texts that are scored at a time, or one text.
-CHUNK = 2_000_000
-#: Words that a task keeps the numbers of.
-KNOWN = 200_000
+#: Characters of texts that are prepared and scored at a time, or one text: so few that they stay in a core's cache.
+CHUNK = 400_000
+#: Letters up to which a word's rows are found together with the other words'; longer ones are taken one at a time.
+LONG = 64
 #: Words in a row that tell nothing, of which more make no difference: for every width POOL windows hold nothing else.
 BLANK = POOL + max(WIDTHS) - 1
 
@@ -75,15 +77,68 @@ def _bucket(key: str) -> int:
     return zlib.crc32(key.encode("utf-8", "surrogatepass")) % (BUCKETS - 1) + 1
 
 
-@lru_cache(KNOWN)
-def _stems(start: str) -> tuple[int, ...]:
-    """Rows of a word's stems, which depend on no more than one letter behind the longest."""
-    return tuple(_bucket(start[:n] + "-" if len(start) > n else start + "-") for n in PREFIXES)
-
-
 def buckets_of(word: str) -> list[int]:
     """Rows of the embedding table that make up a word: the word, and its stems; row 0 is padding."""
-    return [_bucket(word), *_stems(word[: max(PREFIXES) + 1])]
+    return [_bucket(word), *(_bucket(word[:n] + "-") for n in PREFIXES)]
+
+
+@cache
+def _letters() -> np.ndarray:
+    """For each code point whether WORDS takes it."""
+    table = np.zeros(sys.maxunicode + 1, dtype=bool)
+    for run in WORDS.finditer("".join(map(chr, range(sys.maxunicode + 1)))):
+        table[run.start() : run.end()] = True
+    return table
+
+
+@cache
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, table >> 1 ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+def _crc_of(crc: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """zlib.crc32, before its last complement, of what had ``crc`` and one code point more, as UTF-8."""
+    table = _crc_table()
+    out = table[(crc ^ codes) & 0xFF] ^ crc >> 8
+    wide = np.flatnonzero(codes > 0x7F)
+    for first, shift, least, most in ((0xC0, 6, 0x80, 0x7FF), (0xE0, 12, 0x800, 0xFFFF), (0xF0, 18, 0x10000, sys.maxunicode)) if len(wide) else ():
+        at = wide[(codes[wide] >= least) & (codes[wide] <= most)]
+        code, mine = codes[at], crc[at]
+        mine = table[(mine ^ (first | code >> shift)) & 0xFF] ^ mine >> 8
+        for left in range(shift - 6, -1, -6):
+            mine = table[(mine ^ (0x80 | code >> left & 0x3F)) & 0xFF] ^ mine >> 8
+        out[at] = mine
+    return out
+
+
+def word_rows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """``buckets_of`` all words of the texts in order, one word a row, and where each text's begin, with the end of the last."""
+    lowered = ["", *((t or "").lower() for t in texts), ""]
+    codes = np.frombuffer("\n".join(lowered).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    inside = _letters()[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    bounds = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in lowered[:-1]]))
+    # Longest first, so that words with a letter at a place stand in front.
+    size = np.minimum(lengths, LONG)
+    order = np.argsort((LONG - size).astype(np.uint8), kind="stable")
+    at, longer = starts[order], len(starts) - np.cumsum(np.bincount(size, minlength=LONG))
+    crc, stems = np.full(len(starts), 0xFFFFFFFF, dtype=np.uint32), {}
+    dash = np.array([ord("-")], dtype=np.uint32)
+    for place in range(LONG + 1):
+        if place in PREFIXES:
+            stems[place] = _crc_of(crc, dash.repeat(len(crc)))
+        if place < LONG and (n := longer[place]):
+            crc[:n] = _crc_of(crc[:n], codes[at[:n] + place])
+    rows = np.empty((len(starts), 1 + len(PREFIXES)), dtype=np.int32)
+    rows[order] = np.stack([~crc, *(~stems[n] for n in PREFIXES)], axis=1) % (BUCKETS - 1) + 1
+    for i in np.flatnonzero(lengths > LONG):
+        word = codes[starts[i] : starts[i] + lengths[i]].tobytes().decode("utf-32-le", "surrogatepass")
+        rows[i, 0] = _bucket(word)
+    return rows, bounds
 
 
 class Words(dict):
@@ -91,12 +146,12 @@ class Words(dict):
 
     def __init__(self, telling: np.ndarray | None = None) -> None:
         super().__init__()
-        self.telling = None if telling is None else telling.tobytes()
+        self.telling = telling
         self.rows = [[0] * (len(PREFIXES) + 1)]
 
     def __missing__(self, word: str) -> int:
         rows = buckets_of(word)
-        if self.telling is not None and not any(map(self.telling.__getitem__, rows)):
+        if self.telling is not None and not self.telling[rows].any():
             number = 0
         else:
             self.rows.append(rows)
@@ -104,12 +159,6 @@ class Words(dict):
         self[word] = number
         return number
 
-    def forget(self) -> None:
-        """Start anew where more than KNOWN words are kept."""
-        if len(self) > KNOWN:
-            self.clear()
-            del self.rows[1:]
-
     def numbers(self, text: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, text), dtype=np.int64, count=len(text))
 
@@ -123,6 +172,28 @@ def shortened(numbers: np.ndarray) -> np.ndarray:
     return out
 
 
+def shortened_texts(texts: list[str | None], telling: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Texts cut down to the words that tell, as numbers, and the embedding rows of each number."""
+    rows, bounds = word_rows(texts)
+    told = telling[rows].any(axis=1)
+    numbers = np.where(told, np.cumsum(told), 0)
+    table = np.concatenate([np.zeros((1, rows.shape[1]), dtype=np.int32), rows[told]])
+    return [shortened(numbers[a:b]) for a, b in pairwise(bounds)], table
+
+
+def chunks(batch: pa.RecordBatch, text_col: str = "text") -> Iterator[tuple[int, list[str | None]]]:
+    """Texts of a batch, CHUNK characters at a time, and where in the batch they begin."""
+    texts, held = [], 0
+    for i, value in enumerate(batch.column(text_col)):
+        texts.append(value.as_py())
+        held += len(texts[-1] or "")
+        if held > CHUNK:
+            yield i + 1 - len(texts), texts
+            texts, held = [], 0
+    if texts:
+        yield batch.num_rows - len(texts), texts
+
+
 @dataclass
 class Layout:
     """Texts in a row: embedding rows of their distinct words, the word at each place (0: padding), each text's begin.
@@ -142,30 +213,34 @@ class Layout:
         numbers = np.zeros(starts[-1], dtype=np.int64)
         for text, start in zip(texts, starts):
             numbers[start : start + len(text)] = text
-        distinct, places = np.unique(np.append(numbers, 0), return_inverse=True)
-        return cls(rows[distinct], places[:-1], starts)
-
-
-def _pool(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Places (text, POOL, filter) of each filter's largest values in each text, largest first; -1: no such place."""
-    out = np.empty((len(starts) - 1, POOL, values.shape[1]), dtype=np.int64)
-    columns, text = np.arange(values.shape[1]), np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    places = np.arange(len(values))[:, None]
-    values = np.where(places[:, 0] < starts[text + 1] - max(WIDTHS) + 1, values.T, -np.inf).T
-    for k in range(POOL):
-        best = np.maximum.reduceat(values, starts[:-1])
-        at = np.minimum.reduceat(np.where(values == best[text], places, len(values)), starts[:-1])
-        out[:, k] = np.where(best > -np.inf, at, -1)
-        values[at, columns] = -np.inf
-    return out
+        there = np.zeros(len(rows), dtype=np.int64)
+        there[0] = there[numbers] = 1
+        return cls(rows[np.flatnonzero(there)], (np.cumsum(there) - 1)[numbers], starts)
 
 
-def _sums(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct indices, and the sums of the rows of each."""
-    order = np.argsort(index, kind="stable")
-    index = index[order]
-    starts = np.flatnonzero(np.diff(index, prepend=-1))
-    return index[starts], np.add.reduceat(values[order], starts) if len(starts) else values[:0]
+def _pool(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (text, POOL, filter) of each filter's largest values in each text, largest first, -1: no such place; and the values, 0 there.
+
+    ``values`` has a row for each filter; it is used up.
+    """
+    at = np.full((len(starts) - 1, POOL, len(values)), -1, dtype=np.int64)
+    kept = np.zeros(at.shape, dtype=values.dtype)
+    filters, ends = np.arange(len(values)), starts[1:] - max(WIDTHS) + 1
+    for i, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
+        mine = values[:, start:end]
+        for k in range(min(POOL, end - start)):
+            best = mine.argmax(axis=1)
+            kept[i, k] = mine[filters, best]
+            at[i, k] = best + start
+            mine[filters, best] = -np.inf
+    return at, kept
+
+
+def _sums(index: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
+    """For each of ``count`` indices the sum of its rows."""
+    width = values.shape[1]
+    flat = (index[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(flat, values.ravel(), count * width).reshape(count, width)
 
 
 @dataclass
@@ -191,72 +266,65 @@ class Network:
         weights = rng.normal(0, 0.1, (len(WIDTHS), POOL, FILTERS)).astype(np.float32)
         return cls(embedding, filters, biases, weights, np.zeros(1, dtype=np.float32), {}, 0.0)
 
-    def convolve(self, vectors: np.ndarray, places: np.ndarray, width: int) -> np.ndarray:
-        """Filter values at every place: distinct words are projected first, then their rows are added."""
-        out = np.tile(self.biases[width], (len(places), 1))
-        for k in range(width):
-            out[: len(places) - k] += (vectors @ self.filters[width][k])[places[k:]]
+    def convolve(self, vectors: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Values of all filters, width by width, one row each, at every place: distinct words are projected first, then these are added."""
+        out = np.empty((len(WIDTHS) * FILTERS, len(places)), dtype=np.float32)
+        for i, width in enumerate(WIDTHS):
+            mine = out[i * FILTERS : (i + 1) * FILTERS]
+            mine[:] = self.biases[width][:, None]
+            for k in range(width):
+                mine[:, : len(places) - k] += np.take(self.filters[width][k].T @ vectors.T, places[k:], axis=1)
         return np.maximum(out, 0, out=out)
 
+    def forward(self, layout: Layout) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Log-odds of the texts; the words' vectors, and what pooling kept: places and values (text, width, POOL, FILTERS)."""
+        vectors = self.embedding[layout.rows].sum(axis=1)
+        pooled = _pool(self.convolve(vectors, layout.places), layout.starts)
+        top, kept = (x.reshape(-1, POOL, len(WIDTHS), FILTERS).swapaxes(1, 2) for x in pooled)
+        z = self.intercept[0] + (kept * self.weights).sum(axis=(1, 2, 3), dtype=np.float64)
+        return z, vectors, top, kept
+
     def logits(self, texts: list[np.ndarray], table: np.ndarray) -> np.ndarray:
-        layout = Layout.of(texts, table)
-        rows, places, starts = layout.rows, layout.places, layout.starts
-        vectors = self.embedding[rows].sum(axis=1)
-        total = np.full(len(texts), self.intercept[0], dtype=np.float64)
-        for i, width in enumerate(WIDTHS):
-            values = self.convolve(vectors, places, width)
-            top = _pool(values, starts)
-            kept = np.where(top >= 0, values[top, np.arange(FILTERS)], 0)
-            total += (kept * self.weights[i]).sum(axis=(1, 2))
-        return total
+        return self.forward(Layout.of(texts, table))[0]
 
     def params(self) -> dict[str, np.ndarray]:
         """The embedding first, then all that isn't by rows."""
         own = {"embedding": self.embedding, "weights": self.weights, "intercept": self.intercept}
         return own | {f"filter{w}": self.filters[w] for w in WIDTHS} | {f"bias{w}": self.biases[w] for w in WIDTHS}
 
-    def scores(self, numbers: list[np.ndarray], languages: list[str], words: Words) -> np.ndarray:
-        """Scores of texts given by numbers of ``words``; ``languages`` are those that the profiles see in them."""
+    def scores(self, numbers: list[np.ndarray], table: np.ndarray, languages: list[str]) -> np.ndarray:
+        """Scores of texts given by numbers, whose embedding rows ``table`` has; ``languages`` are those that the profiles see in them."""
         shift = np.array([self.shifts.get(lang, self.default) for lang in languages])
-        z = np.clip(self.logits(numbers, np.array(words.rows)) - shift + np.log(DECISION / (1 - DECISION)), -40, 40)
+        z = np.clip(self.logits(numbers, table) - shift + np.log(DECISION / (1 - DECISION)), -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
 def _gradients(net: Network, texts: list[np.ndarray], table: np.ndarray, labels: np.ndarray) -> dict:
     """Gradients of the mean log loss; only the places that pooling kept carry any."""
     layout = Layout.of(texts, table)
-    rows, places, starts = layout.rows, layout.places, layout.starts
-    vectors = net.embedding[rows].sum(axis=1)
-    pooled, z = [], np.full(len(texts), net.intercept[0], dtype=np.float64)
-    for i, width in enumerate(WIDTHS):
-        values = net.convolve(vectors, places, width)
-        top = _pool(values, starts)
-        kept = np.where(top >= 0, values[top, np.arange(FILTERS)], 0)
-        pooled.append((top, kept))
-        z += (kept * net.weights[i]).sum(axis=(1, 2))
-    touched: list[np.ndarray] = []
-    pulls: list[np.ndarray] = []
+    z, vectors, top, kept = net.forward(layout)
     error = ((1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(texts)).astype(np.float32)
-    grads = {"rows": np.zeros(0, dtype=np.int64), "weights": np.zeros_like(net.weights), "intercept": np.array([error.sum()], dtype=np.float32)}
+    grads = {"weights": np.einsum("b,bwkf->wkf", error, kept), "intercept": np.array([error.sum()], dtype=np.float32)}
+    up = error[:, None, None, None] * net.weights * (kept > 0)
+    words, pulls = [], []
     for i, width in enumerate(WIDTHS):
-        top, kept = pooled[i]
-        grads["weights"][i] = np.einsum("b,bkf->kf", error, kept)
-        up = error[:, None, None] * net.weights[i] * (kept > 0)
-        grads[f"bias{width}"] = up.sum(axis=(0, 1))
+        grads[f"bias{width}"] = up[:, i].sum(axis=(0, 1))
         grads[f"filter{width}"] = np.zeros_like(net.filters[width])
-        b, k, f = np.nonzero(up)
-        g, at = up[b, k, f], top[b, k, f]
-        for offset in range(width):
-            inside = at + offset < len(places)
-            word = places[at[inside] + offset]
-            grad = g[inside]
-            which, total = _sums(f[inside], vectors[word] * grad[:, None])
-            grads[f"filter{width}"][offset][:, which] += total.T
-            mine = rows[word]
-            at_word, column = np.nonzero(mine)  # row 0 stays as it is
-            touched.append(mine[at_word, column])
-            pulls.append((grad[:, None] * net.filters[width][offset].T[f[inside]])[at_word])
-    grads["rows"], grads["embedding"] = _sums(np.concatenate(touched), np.concatenate(pulls))
+        b, k, f = np.nonzero(up[:, i])
+        grad, at = up[b, i, k, f], top[b, i, k, f]
+        by_filter = np.where(f == np.arange(FILTERS)[:, None], grad, np.float32(0))
+        for offset in range(width):  # padding follows each text
+            word = layout.places[at + offset]
+            grads[f"filter{width}"][offset] = (by_filter @ vectors[word]).T
+            words.append(word)
+            pulls.append(grad[:, None] * net.filters[width][offset].T[f])
+    words = np.concatenate(words)
+    by_word = _sums(words, np.concatenate(pulls), len(vectors))
+    met = np.flatnonzero(np.bincount(words, minlength=len(vectors)))
+    mine, column = np.nonzero(layout.rows[met])  # row 0 stays as it is
+    rows = layout.rows[met[mine], column]
+    grads["rows"], place = np.unique(rows, return_inverse=True)
+    grads["embedding"] = _sums(place, by_word[met[mine]], len(grads["rows"])).astype(np.float32)
     return grads
 
 
@@ -277,10 +345,11 @@ def descend(net: Network, texts: list[np.ndarray], table: np.ndarray, labels: np
             for name, param in params.items():
                 # Of the embedding, only rows that the step touched move.
                 at_rows = rows if name == "embedding" else slice(None)
-                grad = grads[name]
-                first[name][at_rows] += 0.1 * (grad - first[name][at_rows])
-                second[name][at_rows] += 0.001 * (grad**2 - second[name][at_rows])
-                step = RATE * first[name][at_rows] / (1 - 0.9**steps) / (np.sqrt(second[name][at_rows] / (1 - 0.999**steps)) + 1e-7)
+                grad, mean, square = grads[name], first[name][at_rows], second[name][at_rows]
+                mean = mean + 0.1 * (grad - mean)
+                square = square + 0.001 * (grad**2 - square)
+                first[name][at_rows], second[name][at_rows] = mean, square
+                step = RATE * mean / (1 - 0.9**steps) / (np.sqrt(square / (1 - 0.999**steps)) + 1e-7)
                 param[at_rows] -= step.astype(param.dtype)
 
 
@@ -291,18 +360,13 @@ def telling_rows(texts: DataFrame, clean: int, toxic: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words, table = np.zeros((2, BUCKETS), dtype=np.int64), Words(), np.zeros((KNOWN, len(PREFIXES) + 1), dtype=np.int32)
-        filled = 1
+        seen = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            for text, label in zip(batch.column("text"), batch.column("label").to_pylist()):
-                numbers = np.unique(words.numbers(words_of(text.as_py())))
-                if len(words.rows) > len(table):
-                    table = np.concatenate([table, np.zeros((len(words.rows), len(PREFIXES) + 1), dtype=np.int32)])
-                if len(words.rows) > filled:
-                    table[filled : len(words.rows)] = words.rows[filled:]
-                seen[label, np.unique(table[numbers])] += 1
-                words.forget()
-                filled = len(words.rows)
+            labels = batch.column("label").to_pylist()
+            for begin, some in chunks(batch):
+                found, bounds = word_rows(some)
+                for i, (a, b) in enumerate(pairwise(bounds), begin):
+                    seen[labels[i], found[a:b].ravel()] += 1  # a row that is there more than once counts once
         rows = np.flatnonzero(seen.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(seen[0, rows]), pa.array(seen[1, rows])], names=["row", "clean", "toxic"])
 
@@ -319,15 +383,13 @@ def shorten_texts(marked: DataFrame, told: np.ndarray, profiles: Profiles) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = np.zeros(BUCKETS, dtype=np.int32)
         index[told] = np.arange(1, len(told) + 1)
-        words = Words(index > 0)
         for batch in batches:
-            places, languages = [], []
-            for value, held in zip(batch.column("text"), batch.column("held").to_pylist()):
-                text = value.as_py()
-                numbers = shortened(words.numbers(words_of(text)))
-                places.append(index[[words.rows[i] for i in numbers]].tobytes() if len(numbers) else b"")
-                languages.append(profiles.predict(text)[0] if held else UNKNOWN)
-                words.forget()
+            places, languages, helds = [], [], batch.column("held").to_pylist()
+            for begin, some in chunks(batch):
+                numbers, table = shortened_texts(some, index > 0)
+                table = index[table]
+                places += [table[mine].tobytes() for mine in numbers]
+                languages += [profiles.predict(text)[0] if held else UNKNOWN for text, held in zip(some, helds[begin:])]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("key", "held", "label")), pa.array(languages, pa.string()), pa.array(places, pa.binary())], names=["key", "held", "label", "language", "places"])
 
     return marked.select("text", "key", "held", "label").mapInArrow(run, "key long, held boolean, label int, language string, places binary")
@@ -336,9 +398,26 @@ def shorten_texts(marked: DataFrame, told: np.ndarray, profiles: Profiles) -> Da
 def _numbered(places: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Texts as numbers of distinct words, and the embedding rows of each number."""
     width = len(PREFIXES) + 1
-    rows = [np.frombuffer(p, dtype=np.int32).reshape(-1, width) for p in places]
-    table, numbers = np.unique(np.concatenate([np.zeros((1, width), dtype=np.int32), *rows]), axis=0, return_inverse=True)
-    return np.split(numbers.reshape(-1)[1:], np.cumsum([len(r) for r in rows])[:-1]), table
+    rows = np.frombuffer(bytes(width * 4) + b"".join(places), dtype=np.int32).reshape(-1, width).astype(np.int64)
+    # Rows are below BUCKETS, so three of them make one number.
+    first, numbers = np.unique(rows @ (BUCKETS ** np.arange(width)[::-1]), return_index=True, return_inverse=True)[1:]
+    return np.split(numbers[1:], np.cumsum([len(p) // (4 * width) for p in places])[:-1]), rows[first]
+
+
+def packed(texts: DataFrame, parts: int) -> DataFrame:
+    """``texts`` in groups, one row each: what ``descend`` needs, as bytes. Each round reads it without dealing texts out anew."""
+
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
+        # Texts without words are clean; a few among the others say so.
+        empty = 4 + group.num_rows // 50
+        numbers, table = _numbered(group.column("places").to_pylist() + [b""] * empty)
+        labels = np.append(group.column("label").to_numpy(), np.zeros(empty))
+        kinds = {"sizes": [len(text) for text in numbers], "numbers": np.concatenate(numbers), "embedded": table.ravel(), "labels": labels}
+        return pa.table({"n": [group.num_rows]} | {name: pa.array([np.asarray(x, dtype=np.int32).tobytes()], pa.binary()) for name, x in kinds.items()})
+
+    groups = texts.withColumn("part", F.pmod("key", F.lit(parts))).select("part", "key", "label", "places").groupBy("part")
+    return materialize(groups.applyInArrow(pack, "n long, sizes binary, numbers binary, embedded binary, labels binary"))
 
 
 def train(texts: DataFrame, rows: int, told: int, seed: int = 7) -> Network:
@@ -347,24 +426,22 @@ def train(texts: DataFrame, rows: int, told: int, seed: int = 7) -> Network:
     parts = -(-rows // GROUP)
     # Small tables get more passes: the network needs some hundred steps.
     epochs = min(max(EPOCHS, 300 * BATCH * parts // rows), 60) // ROUNDS
-    groups = texts.withColumn("part", F.pmod("key", F.lit(parts))).select("part", "key", "label", "places").groupBy("part")
-
-    def learn(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("key", "ascending"), ("label", "ascending"), ("places", "ascending")])
-        # Texts without words are clean; a few among the others say so.
-        empty = 4 + group.num_rows // 50
-        mine, (numbers, table) = copy.deepcopy(net), _numbered(group.column("places").to_pylist() + [b""] * empty)
-        labels = np.append(group.column("label").to_numpy(), np.zeros(empty)).astype(np.float32)
-        descend(mine, numbers, table, labels, epochs, seed + turn)
-        having = np.zeros(told + 1)
-        for text in numbers:
-            having[np.unique(table[text])] += 1
-        embedding, *others = mine.params().values()
-        vector = [(embedding * having[:, None]).ravel(), *(p.ravel() * float(group.num_rows) for p in others), having]
-        return pa.Table.from_batches([cut(np.concatenate(vector), group.num_rows)])
+    groups = packed(texts, parts)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, *kinds in (row for batch in batches for row in zip(*(batch.column(c) for c in ("n", "sizes", "numbers", "embedded", "labels")))):
+            n, (sizes, places, table, labels) = n.as_py(), (np.frombuffer(x.as_py(), dtype=np.int32).astype(np.int64) for x in kinds)
+            mine, table, numbers = copy.deepcopy(net), table.reshape(-1, len(PREFIXES) + 1), np.split(places, np.cumsum(sizes)[:-1])
+            descend(mine, numbers, table, labels.astype(np.float32), epochs, seed + turn)
+            having = np.zeros(told + 1)
+            for text in numbers:
+                having[table[text].ravel()] += 1  # a row that is there more than once counts once
+            embedding, *others = mine.params().values()
+            vector = [(embedding * having[:, None]).ravel(), *(p.ravel() * float(n) for p in others), having]
+            yield cut(np.concatenate(vector), n)
 
     for turn in range(ROUNDS):
-        total, n = summed(groups.applyInArrow(learn, KIND))
+        total, n = summed(groups.mapInArrow(learn, KIND))
         having, at = total[-told - 1 :], 0
         for name, param in net.params().items():
             mean = total[at : at + param.size].reshape(param.shape) / (np.maximum(having, 1)[:, None] if name == "embedding" else n)
@@ -453,29 +530,11 @@ def score_toxicity(docs: DataFrame, net: Network, profiles: Profiles, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, speech = handle.value
-        words = Words(mine.embedding.any(axis=1)) if mine.trained else None
+        telling = mine.embedding.any(axis=1) if mine.trained else None
         for batch in batches:
             scores: list[np.ndarray] = []
-            numbers: list[np.ndarray] = []
-            languages: list[str] = []
-            held = 0
-
-            def flush() -> None:
-                scores.append(mine.scores(numbers, languages, words))
-                numbers.clear()
-                languages.clear()
-                words.forget()
-
-            for value in batch.column(text_col) if mine.trained else ():
-                text = value.as_py()
-                numbers.append(shortened(words.numbers(words_of(text))))
-                languages.append(speech.predict(text)[0])
-                held += len(text or "")
-                if held > CHUNK:
-                    flush()
-                    held = 0
-            if numbers:
-                flush()
+            for _, some in chunks(batch, text_col) if mine.trained else ():
+                scores.append(mine.scores(*shortened_texts(some, telling), [speech.predict(text)[0] for text in some]))
             if not mine.trained:
                 scores.append(np.zeros(batch.num_rows))
             score = np.concatenate(scores) if scores else np.zeros(0)

@@ -106,3 +106,23 @@ def test_every_labelled_row_teaches(spark, monkeypatch):
     assert net.embedding[tox.buckets_of("seldom")[0]].any() and not net.embedding[tox.buckets_of("plain")[0]].any()
     probes = spark.createDataFrame([("a scum1 here", 1), ("plain word3 here well", 0), ("plain seldom here", 1), ("", 0)], "text string, want int")
     assert all(r.predicted == r.want for r in score_toxicity(probes, net, NOBODY).collect())
+
+
+def test_rows_of_words_found_together():
+    """Rows of all words at once are those that each word has by itself."""
+    long = "a" * 63 + " " + "b" * 64 + " " + "c" * 65 + " " + "é" * 200
+    texts = ["one, two; THREE fourteen", "", None, "ÄÖÜ_x1y ß ﬀ", "İstanbul ΟΔΟΣ", "日本語 テキスト 𝔘𝔫𝔦 x²½", long, "end"]
+    rows, bounds = tox.word_rows(texts)
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        assert rows[a:b].tolist() == [tox.buckets_of(w) for w in words_of(text)], text
+    assert len(rows) == bounds[-1] and tox.word_rows([])[0].shape == (0, 3)
+
+
+def test_texts_are_dealt_out_once(spark, monkeypatch):
+    """Rounds read groups that are laid out once: training rounds shuffle no texts."""
+    plans = []
+    monkeypatch.setattr(tox, "summed", lambda parts, f=tox.summed: plans.append(parts._jdf.queryExecution().executedPlan().toString()) or f(parts))
+    rows = [(i, f"word{i % 17} that is {'scum' if i % 4 == 0 else 'fine'} here", int(i % 4 == 0)) for i in range(160)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    fit_toxicity(docs, labels, NOBODY)
+    assert len(plans) == tox.ROUNDS and not any("Exchange" in p for p in plans)
