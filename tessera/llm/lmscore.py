@@ -285,21 +285,22 @@ def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.nda
     group, member = np.divmod(token, model.side)
     to_class = _error(state, model.classes, model.class_bias, group)
     grads = {"classes": (to_class @ state).T / n, "class_bias": to_class.sum(axis=1) / n, "members": np.zeros_like(model.members), "member_bias": np.zeros_like(model.member_bias)}
-    back = (model.classes @ to_class).T
+    back = to_class.T @ model.classes.T  # one row a place, side by side in memory
     for c, part in _by_group(group, model.side):
         to_member = _error(state[part], model.members[c], model.member_bias[c], member[part])
         grads["members"][c] = (to_member @ state[part]).T / n
         grads["member_bias"][c] = to_member.sum(axis=1) / n
-        back[part] += (model.members[c] @ to_member).T
-    back = (back * (1 - state * state) / n).astype(np.float32)
+        back[part] += to_member.T @ model.members[c].T
+    state *= state
+    back *= np.subtract(1, state, out=state)
+    back /= n
     grads["hidden"] = back.sum(axis=0)
-    grads["context"] = np.zeros_like(model.context)
+    grads["context"] = np.empty_like(model.context)
+    tokens, width = model.context.shape[1:]
+    flat, columns = back.astype(np.float64).ravel(), np.arange(width)
     for k, offset in enumerate(OFFSETS):
         near = row[at + offset]
-        order = _order(near, model.context.shape[1])
-        near = near[order]
-        starts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
-        grads["context"][k][near[starts]] = np.add.reduceat(back[order], starts)
+        grads["context"][k] = np.bincount((near[:, None] * width + columns).ravel(), flat, tokens * width).reshape(tokens, width)
     grads["context"][:, 0] = 0
     return grads
 

@@ -118,3 +118,14 @@ def test_counts_by_join_and_in_tasks_agree(spark, sf_dir, monkeypatch):
     assert 0 < len(model.own) <= 1000 and model.least > 1
     joined = {r.doc_id: r.log_likelihood for r in score_documents(docs, model, keep=["doc_id"]).collect()}
     assert all(abs(inside[i] - joined[i]) < 1e-6 * max(1, abs(inside[i])) for i in inside) and inside.keys() == joined.keys()
+
+
+def test_context_gradients_of_repeated_neighbours():
+    """Each token's row gets the sum over all places that it stands beside, however often."""
+    rng = np.random.default_rng(4)
+    model = lm.fresh([str(i) for i in range(960)], rng.integers(1, 99, 1024).astype(float), np.zeros(1024))
+    row = lm._row_of([np.array([3, 3, 3, 900, 3, 1023]), np.zeros(0, dtype=np.int64), np.array([3])])
+    at = np.flatnonzero(row)
+    whole = lm.gradients(model, row, at)["context"]
+    parts = sum(lm.gradients(model, row, at[i : i + 1])["context"] for i in range(len(at))) / len(at)
+    assert whole.dtype == np.float32 and np.allclose(whole, parts, atol=1e-6) and not whole[:, 0].any()
