@@ -86,3 +86,16 @@ def test_every_known_row_counts(spark, monkeypatch):
     assert found == {lang: [code(g) for g in places] for lang, places in lists.items()}
     scores = sorted(profiles.predict(t)[1] for _, t, _ in rows if sum(c.isalpha() for c in t) >= 20)
     assert abs(lowest_score(frame, profiles) - scores[-(-len(scores) // 1000) - 1] / 2) < 1e-4
+
+
+def test_ngrams_counted_in_a_table():
+    """A table of n-grams holds those of each text, by itself or in a row with others."""
+    import numpy as np
+
+    from tessera.llm.langid import codes_of, counted_ngrams, letters_of, ngrams
+
+    for texts in (["the cat, the hat. " * 40], ["ab cd " * 300, "", "x", "ÄÖ " * 90], ["日本語 テキスト"], ["a"], ["", ""]):
+        letters = [letters_of(t) for t in texts]
+        numbers, counts, present = counted_ngrams(np.concatenate(letters))
+        codes, want = np.unique(np.concatenate([ngrams(x) for x in letters]), return_counts=True)
+        assert codes_of(numbers, present).tolist() == codes.tolist() and counts.tolist() == want.tolist(), texts
