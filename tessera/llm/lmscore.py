@@ -14,8 +14,9 @@ Weights are trained in numpy with Adam: first on the driver on at most TRAIN_ROW
 start from one place, then in tasks on every token of every document; the weights of the tasks are averaged by their
 tokens, in slots that are summed in executors, so that the driver gets one model whatever the number of tasks.
 
-Scoring is one pass over whole texts, in pieces of CHUNK tokens. Words in buckets have their own counts: those of the COMMON
-most frequent ones are with all tasks, all rarer words meet theirs in a join by word.
+Scoring is one pass over whole texts, PIECE places at a time, sorted by class and worked off in parts of PART. Words in
+buckets have their own counts: those of the COMMON most frequent ones are with all tasks, all rarer words meet theirs in
+a join by word.
 
 Defined cases: null and empty texts have no tokens and a sum of 0; an empty corpus gives scores of 0; repeated rows give
 repeated results; other columns stay, and result columns take the place of columns of the same name.
@@ -27,12 +28,12 @@ import copy
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,10 @@ ALL_BATCH, ALL_RATE = 8192, 0.003  # of the pass over all documents
 PIECE = 1 << 18  # tokens that a task holds at a time
 #: Words whose own counts go to all tasks, at most; rarer ones meet theirs in a join.
 COMMON = 100_000
-CHUNK = 1 << 13
+PART = 1 << 11  # places whose probabilities are worked out at once, so that they stay in a core's cache
+CHARS = 1 << 21  # characters of texts that are parted into words at once
+COUNT_CHARS = 1 << 23  # and counted
+LONG = 32  # bytes of a word up to which its hash is looked up byte by byte
 #: What str.split() takes for white space beside the six characters that part words here.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -67,20 +71,59 @@ def tokens_of(text: str | None) -> list[str]:
     return SPLIT.findall(text) if OTHER_SPACE.search(text) else text.split()
 
 
-class Numbers(dict):
-    """Word -> token; words that are not in the vocabulary get their bucket, and KNOWN of them are kept."""
-
-    KNOWN = 200_000
-
-    def __init__(self, words: dict[str, int], first: int):
-        super().__init__(words)
-        self.first = first
-
-    def __missing__(self, word: str) -> int:
-        number = self.first + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHER
-        if len(self) < self.KNOWN + self.first:
-            self[word] = number
-        return number
+def lowered(batches: Iterator[pa.RecordBatch], text_col: str, chars: int) -> Iterator[list[str]]:
+    """Lower-case texts (null: empty) in order, about ``chars`` characters at a time."""
+    held, size = [], 0
+    for batch in batches:
+        for text in batch.column(text_col):
+            held.append((text.as_py() or "").lower())
+            size += len(held[-1])
+            if size >= chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def words_in(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, which are in lower case, in one array, and how many each text has: those of ``tokens_of``."""
+    split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    words, sizes = split.flatten(), pc.list_value_length(split).to_numpy().astype(np.int64)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)  # beside white space at the ends of a text
+    if empty.any():
+        words = words.filter(pa.array(~empty))
+        sizes -= np.bincount(np.repeat(np.arange(len(texts)), sizes)[empty], minlength=len(texts))
+    return words, sizes
+
+
+def _places_in(words: pa.Array, among: pa.Array, missing: int) -> np.ndarray:
+    return pc.fill_null(pc.index_in(words, value_set=among), missing).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+# A CRC is linear: that of a word is that of as many zero bytes, with each byte's share by its distance from the end.
+_ZEROS = np.array([zlib.crc32(bytes(n)) for n in range(LONG + 1)], dtype=np.uint32)
+_SHARES = np.array([[zlib.crc32(bytes([b]) + bytes(d)) ^ zlib.crc32(bytes(d + 1)) for b in range(256)] for d in range(LONG)], dtype=np.uint32)
+
+
+def crc32s(words: pa.Array) -> np.ndarray:
+    """zlib.crc32 of each word of a large_string array without nulls."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint32)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+    sizes = np.diff(ends)
+    short = np.minimum(sizes, LONG)
+    order = np.argsort(short.astype(np.uint8), kind="stable")[::-1]
+    longer = len(words) - np.cumsum(np.bincount(short, minlength=LONG + 1))  # words of more than so many bytes stand first
+    last, found = ends[1:][order] - 1, _ZEROS[short[order]]
+    for d in range(LONG):
+        found[: longer[d]] ^= _SHARES[d][data[last[: longer[d]] - d]]
+    out = np.empty_like(found)
+    out[order] = found
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = zlib.crc32(words[i].as_buffer())
+    return out
 
 
 @dataclass
@@ -98,7 +141,7 @@ class Model:
     rest: DataFrame | None = None  # (word, n) of all words in buckets
     own: dict[str, float] | None = None  # logarithm of count + 1 of the COMMON most frequent words in buckets
     least: int = 1  # their smallest count
-    known: Numbers | None = None
+    names: pa.Array | None = None  # the words of ``number``
 
     @property
     def side(self) -> int:
@@ -108,21 +151,35 @@ class Model:
     def vocabulary(self) -> int:
         return self.side**2 - OTHER
 
-    def numbers(self, words: list[str]) -> np.ndarray:
-        if self.known is None:
-            self.known = Numbers(self.number, self.vocabulary)
-        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+    def numbers(self, words: list[str] | pa.Array) -> np.ndarray:
+        if self.names is None:
+            self.names = pa.array(list(self.number), pa.large_string())
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.large_string())
+        found = _places_in(words, self.names, -1)
+        found[found < 0] = self.vocabulary + crc32s(words.filter(pa.array(found < 0))) % OTHER
+        return found
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": None}
+        return self.__dict__ | {"names": None}
 
-    def state(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Hidden state at the places ``at`` of a padded text (rows, 0: none), from the tokens around each."""
-        z = np.take(self.context[0], padded[at + OFFSETS[0]], axis=0)
+    def state(self, around: list[np.ndarray]) -> np.ndarray:
+        """Hidden state from the rows (0: none) of the tokens around each place, and a 1 for the bias."""
+        z = np.take(self.context[0], around[0], axis=0)
         z += self.hidden
         for k in range(1, len(OFFSETS)):
-            z += np.take(self.context[k], padded[at + OFFSETS[k]], axis=0)
-        return np.tanh(z, out=z)
+            z += np.take(self.context[k], around[k], axis=0)
+        out = np.empty((len(z), WIDTH + 1), dtype=z.dtype)
+        np.tanh(z, out=out[:, :WIDTH])
+        out[:, WIDTH] = 1
+        return out
+
+    def heads(self) -> tuple[np.ndarray, bool]:
+        """For each class the weights of all classes and of its members, biases last; whether logits can be too large for exp."""
+        side = self.side
+        heads = np.empty((side, 2 * side, WIDTH + 1), dtype=np.float32)
+        heads[:, :side, :WIDTH], heads[:, :side, WIDTH] = self.classes.T, self.class_bias
+        heads[:, side:, :WIDTH], heads[:, side:, WIDTH] = self.members.transpose(0, 2, 1), self.member_bias
+        return heads, not np.abs(heads).sum(axis=2).max() < 80  # states lie within -1 and 1
 
     def log_probabilities(self, numbers: np.ndarray) -> np.ndarray:
         """Log-probability of each token given those around it."""
@@ -133,16 +190,21 @@ class Model:
     def at_places(self, row: np.ndarray, places: np.ndarray) -> np.ndarray:
         """The same at places of a row of padded texts."""
         out = np.empty(len(places), dtype=np.float64)
-        for start in range(0, len(places), CHUNK):
-            at = places[start : start + CHUNK]
-            order = _order((row[at] - 1) // self.side, self.side)
-            at = at[order]
-            state = self.state(row, at)
-            group, member = np.divmod(row[at] - 1, self.side)
-            found = _log_softmax(state, self.classes, self.class_bias, group)
-            for c, part in _by_group(group, self.side):
-                found[part] += _log_softmax(state[part], self.members[c], self.member_bias[c], member[part])
-            out[start + order] = found
+        side, (heads, far) = self.side, self.heads()
+        space, steps = np.empty(2 * side * PART, dtype=np.float32), np.arange(PART)
+        for first in range(0, len(places), PIECE):
+            piece = places[first : first + PIECE]
+            order, group, member = _by_class(row[piece] - 1, side)
+            for start in range(0, len(piece), PART):
+                chosen = order[start : start + PART]
+                state, mine = self.state(_around(row, piece[chosen])), member[start : start + PART]
+                found = np.empty(len(chosen), dtype=np.float32)
+                for c, part in _parts(group[start : start + PART], side):
+                    z = _logits(state[part], heads[c], far, space)
+                    picked = z[c] + z.reshape(-1)[(mine[part] + side) * z.shape[1] + steps[: z.shape[1]]]
+                    np.exp(z, out=z)
+                    found[part] = picked - np.log(z.reshape(2, side, -1).sum(axis=1)).sum(axis=0)
+                out[first + chosen] = found
         return out + self.inside[row[places] - 1]
 
 
@@ -151,39 +213,36 @@ def _order(values: np.ndarray, count: int) -> np.ndarray:
     return np.argsort(values.astype(np.uint16) if count <= 1 << 16 else values, kind="stable")
 
 
-def _by_group(group: np.ndarray, side: int) -> Iterator[tuple[int, slice]]:
-    """Groups that are there, with where each stands in the sorted ``group``."""
-    bounds = np.searchsorted(group, np.arange(side + 1))
-    for c in np.flatnonzero(np.diff(bounds)):
-        yield c, slice(bounds[c], bounds[c + 1])
+def _by_class(tokens: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stable order of tokens by class, and in it each one's class and place within the class."""
+    group = tokens // side
+    order = _order(group, side)
+    group = group[order]
+    return order, group, tokens[order] - group * side
 
 
-def _row_of(texts: list[np.ndarray]) -> np.ndarray:
-    """Texts with REACH places between them and around."""
-    gap = np.zeros(REACH, dtype=np.int64)
-    return np.concatenate([gap, *(part for t in texts for part in (t + 1, gap))]) if texts else gap
+def _around(row: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [row[at + offset] for offset in OFFSETS]
 
 
-def _exponents(state: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Logits, one row for each outcome; states lie within -1 and 1, so they stay small enough for exp as they are."""
-    z = weights.T @ state.T
-    z += bias[:, None]
-    return np.clip(z, -80, 80, out=z)
+def _parts(group: np.ndarray, side: int) -> Iterator[tuple[int, slice]]:
+    """Classes that are there, with where each stands in the sorted ``group``, PART places at a time."""
+    bounds = np.searchsorted(group, np.arange(side + 1)).tolist()
+    for c, (first, end) in enumerate(zip(bounds, bounds[1:])):
+        for start in range(first, end, PART):
+            yield c, slice(start, min(start + PART, end))
 
 
-def _log_softmax(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    z = _exponents(state, weights, bias)
-    picked = z[chosen, np.arange(len(chosen))]
-    return picked - np.log(np.exp(z, out=z).sum(axis=0))
+def _row_of(texts: list[np.ndarray]) -> np.ndarray:
+    """Texts with REACH places between them and around."""
+    gap = np.zeros(REACH, dtype=np.int64)
+    return np.concatenate([gap, *(part for t in texts for part in (t + 1, gap))]) if texts else gap
 
 
-def _error(state: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Probabilities less 1 at what was there, one row for each outcome."""
-    z = _exponents(state, weights, bias)
-    np.exp(z, out=z)
-    z /= z.sum(axis=0)
-    z[chosen, np.arange(len(chosen))] -= 1
-    return z
+def _logits(state: np.ndarray, head: np.ndarray, far: bool, space: np.ndarray) -> np.ndarray:
+    """One row for each class, then for each member, in ``space``; small enough for exp as they are."""
+    z = np.matmul(head, state.T, out=space[: len(head) * len(state)].reshape(len(head), len(state)))
+    return np.clip(z, -80, 80, out=z) if far else z
 
 
 def fresh(words: list[str], counts: np.ndarray, inside: np.ndarray, seed: int = 5) -> Model:
@@ -202,6 +261,9 @@ def fresh(words: list[str], counts: np.ndarray, inside: np.ndarray, seed: int =
 PARAMS = ("context", "hidden", "classes", "class_bias", "members", "member_bias")
 
 
+BLOCK = 1 << 14  # numbers that Adam changes at a time
+
+
 class Adam:
     def __init__(self, model: Model, rate: float = RATE):
         self.model, self.rate, self.steps = model, rate, 0
@@ -211,17 +273,22 @@ class Adam:
         grads = gradients(self.model, row, at)
         self.steps += 1
         for name in PARAMS:
-            first, second, param = self.first[name], self.second[name], getattr(self.model, name)
-            grad = grads[name]
-            first *= 0.9
-            first += 0.1 * grad
-            second *= 0.999
-            second += 0.001 * grad * grad
-            step = np.sqrt(second / (1 - 0.999**self.steps))
-            step += 1e-7
-            np.divide(first, step, out=step)
-            step *= self.rate / (1 - 0.9**self.steps)
-            param -= step
+            whole = [x.reshape(-1) for x in (getattr(self.model, name), grads[name], self.first[name], self.second[name])]
+            for start in range(0, len(whole[0]), BLOCK):
+                param, grad, first, second = (x[start : start + BLOCK] for x in whole)
+                first *= 0.9
+                step = grad * 0.1
+                first += step
+                second *= 0.999
+                np.multiply(grad, grad, out=step)
+                step *= 0.001
+                second += step
+                np.divide(second, 1 - 0.999**self.steps, out=step)
+                np.sqrt(step, out=step)
+                step += 1e-7
+                np.divide(first, step, out=step)
+                step *= self.rate / (1 - 0.9**self.steps)
+                param -= step
 
 
 def train(model: Model, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> None:
@@ -251,10 +318,11 @@ def train_on_all(model: Model, texts: DataFrame) -> int:
                 adam.step(row, at)
             held.clear()
 
-        for batch in batches:
-            for text in batch.column("text"):
-                held.append(mine.numbers(tokens_of(text.as_py())))
-                size += len(held[-1])
+        for texts in lowered(batches, "text", CHARS):
+            words, sizes = words_in(texts)
+            for numbers in np.split(mine.numbers(words), np.cumsum(sizes)[:-1]):
+                held.append(numbers)
+                size += len(numbers)
                 if size >= PIECE:
                     descend()
                     seen, size = seen + size, 0
@@ -278,29 +346,37 @@ def train_on_all(model: Model, texts: DataFrame) -> int:
 
 def gradients(model: Model, row: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean negative log-probability at places of a row of padded texts."""
-    n = len(at)
-    at = at[_order((row[at] - 1) // model.side, model.side)]
-    state = model.state(row, at)
-    token = row[at] - 1
-    group, member = np.divmod(token, model.side)
-    to_class = _error(state, model.classes, model.class_bias, group)
-    grads = {"classes": (to_class @ state).T / n, "class_bias": to_class.sum(axis=1) / n, "members": np.zeros_like(model.members), "member_bias": np.zeros_like(model.member_bias)}
-    back = to_class.T @ model.classes.T  # one row a place, side by side in memory
-    for c, part in _by_group(group, model.side):
-        to_member = _error(state[part], model.members[c], model.member_bias[c], member[part])
-        grads["members"][c] = (to_member @ state[part]).T / n
-        grads["member_bias"][c] = to_member.sum(axis=1) / n
-        back[part] += to_member.T @ model.members[c].T
+    n, side = len(at), model.side
+    order, group, member = _by_class(row[at] - 1, side)
+    around = _around(row, at[order])
+    state = model.state(around)
+    heads, far = model.heads()
+    by_head = np.zeros_like(heads)
+    back = np.empty((n, WIDTH), dtype=np.float32)
+    space, steps = np.empty(2 * side * PART, dtype=np.float32), np.arange(PART)
+    for c, part in _parts(group, side):
+        z = _logits(state[part], heads[c], far, space)
+        np.exp(z, out=z)
+        both = z.reshape(2, side, -1)  # among the classes, and within the one
+        share = both.sum(axis=1, keepdims=True)
+        both *= np.divide(1 / n, share, out=share)
+        z[c] -= 1 / n
+        z.reshape(-1)[(member[part] + side) * z.shape[1] + steps[: z.shape[1]]] -= 1 / n
+        by_head[c] += z @ state[part]
+        np.matmul(z.T, heads[c, :, :WIDTH], out=back[part])
+    to_class, to_member = by_head[:, :side].sum(axis=0), by_head[:, side:]
+    grads = {"classes": to_class[:, :WIDTH].T, "class_bias": to_class[:, WIDTH], "members": to_member[:, :, :WIDTH].transpose(0, 2, 1), "member_bias": to_member[:, :, WIDTH]}
     state *= state
-    back *= np.subtract(1, state, out=state)
-    back /= n
+    back *= np.subtract(1, state, out=state)[:, :WIDTH]
     grads["hidden"] = back.sum(axis=0)
     grads["context"] = np.empty_like(model.context)
-    tokens, width = model.context.shape[1:]
-    flat, columns = back.astype(np.float64).ravel(), np.arange(width)
-    for k, offset in enumerate(OFFSETS):
-        near = row[at + offset]
-        grads["context"][k] = np.bincount((near[:, None] * width + columns).ravel(), flat, tokens * width).reshape(tokens, width)
+    # Two neighbouring numbers of a row are one complex number, so that one addition serves both.
+    pairs = np.ascontiguousarray(back.view(np.complex64).T)
+    for k, near in enumerate(around):
+        sums = np.zeros((WIDTH // 2, model.context.shape[1]), dtype=np.complex64)
+        for total, numbers in zip(sums, pairs):
+            np.add.at(total, near, numbers)
+        grads["context"][k] = np.ascontiguousarray(sums.T).view(np.float32)
     grads["context"][:, 0] = 0
     return grads
 
@@ -310,19 +386,9 @@ def fit_model(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", r
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-            counts.clear()
-            return batch
-
-        for batch in batches:
-            for text in batch.column("text"):
-                counts.update(tokens_of(text.as_py()))
-                if len(counts) > 200_000:
-                    yield flush()
-        yield flush()
+        for some in lowered(batches, "text", COUNT_CHARS):
+            counts = words_in(some)[0].value_counts()
+            yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.string()), counts.field("counts")], names=["word", "n"])
 
     counted = texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = materialize(counted)
@@ -379,39 +445,31 @@ def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, row_id = handle.value, TaskContext.get().partitionId() << 40
+        own = pa.array(list(mine.own), pa.large_string()) if extra else None
+        logs = np.array([*mine.own.values(), 0.0]) if extra else None
         for batch in batches:
-            sizes, sums, rest, held, owned = [], [], [], [], []
-
-            def score() -> None:
-                row = _row_of(held)
-                logs = mine.at_places(row, np.flatnonzero(row))
-                ends = np.cumsum([len(t) for t in held])
-                sums.extend(float(logs[e - len(t) : e].sum()) + x for e, t, x in zip(ends, held, owned or [0.0] * len(held)))
-                held.clear()
-                owned.clear()
-
-            waiting = 0
-            for text in batch.column(text_col):
-                words = tokens_of(text.as_py())
-                sizes.append(len(words))
+            sizes, sums, rest = [np.zeros(0, dtype=np.int64)], [np.zeros(0)], [pa.array([], pa.list_(pa.string()))]
+            for texts in lowered(iter([batch]), text_col, CHARS):
+                words, each = words_in(texts)
+                sizes.append(each)
                 if not mine:
-                    sums.append(0.0)
+                    sums.append(np.zeros(len(texts)))
                     continue
-                held.append(mine.numbers(words))
+                numbers, of = mine.numbers(words), np.repeat(np.arange(len(texts)), each)
+                row = _row_of(np.split(numbers, np.cumsum(each)[:-1]))
+                sums.append(np.bincount(of, mine.at_places(row, np.flatnonzero(row)), len(texts)))
                 if extra:
-                    rare = [words[i] for i in np.flatnonzero(held[-1] >= mine.vocabulary)]
-                    own = list(map(mine.own.get, rare))
-                    owned.append(sum(x for x in own if x is not None))
-                    rest.append([w for w, x in zip(rare, own) if x is None])
-                waiting += len(words)
-                if waiting >= PIECE:
-                    score()
-                    waiting = 0
-            if held:
-                score()
+                    rare = numbers >= mine.vocabulary
+                    words, of = words.filter(pa.array(rare)), of[rare]
+                    found = _places_in(words, own, len(own))
+                    sums[-1] += np.bincount(of, logs[found], len(texts))
+                    left = found == len(own)
+                    ends = np.cumsum(np.bincount(of[left], minlength=len(texts)))
+                    rest.append(pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), words.filter(pa.array(left)).cast(pa.string())))
+            sizes, sums = np.concatenate(sizes), np.concatenate(sums)
             columns = [batch.column(n) for n in kept] + [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
             if extra:
-                columns += [pa.array(range(row_id, row_id + len(sizes)), pa.int64()), pa.array(rest, pa.list_(pa.string()))]
+                columns += [pa.array(range(row_id, row_id + len(sizes)), pa.int64()), pa.concat_arrays(rest)]
                 row_id += len(sizes)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 

@@ -1,6 +1,9 @@
 import math
+import sys
+import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import lmscore as lm
 from tessera.llm.lmscore import fit_model, score_documents, tokens_of
@@ -129,3 +132,43 @@ def test_context_gradients_of_repeated_neighbours():
     whole = lm.gradients(model, row, at)["context"]
     parts = sum(lm.gradients(model, row, at[i : i + 1])["context"] for i in range(len(at))) / len(at)
     assert whole.dtype == np.float32 and np.allclose(whole, parts, atol=1e-6) and not whole[:, 0].any()
+
+
+def test_words_of_many_texts_at_once():
+    odd = [" a  b\t\n", "", " ", "x\x1cy\x85z\xa0\u2003w", "\x0b\x0cA\rB\x00", "İSTANBUL ΣΑΣ", "one", "\u3000", "e\u0301 " * 3 + "z" * 500]
+    batches = [pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["t"]) for some in ([None, *odd], [], odd)]
+    for chars in (1, 10, 1 << 20):
+        texts = [t for some in lm.lowered(iter(batches), "t", chars) for t in some]
+        words, sizes = lm.words_in(texts)
+        ends = np.cumsum(sizes)
+        assert [words[int(e - n) : int(e)].to_pylist() for e, n in zip(ends, sizes)] == [tokens_of(t) for t in [None, *odd, *odd]]
+
+
+def test_rare_words_find_their_buckets_without_a_call_for_each():
+    words = [f"{'w' * (i % 40)}é{i}" for i in range(20_000)] + ["", "\x00", "a", "z" * 31, "z" * 32, "z" * 33, "日本語" * 30]
+    model = lm.fresh(["a", "b"], np.ones(lm.SIDE**2), np.zeros(lm.SIDE**2))
+    calls = []
+    sys.setprofile(lambda frame, event, arg: calls.append(event) if event == "call" else None)
+    try:
+        got = model.numbers(words)
+    finally:
+        sys.setprofile(None)
+    assert got.tolist() == [0 if w == "a" else model.vocabulary + zlib.crc32(w.encode()) % lm.OTHER for w in words]
+    assert len(calls) < 1000
+    some = pa.array(["skipped", *words], pa.large_string())[1:]
+    assert lm.crc32s(some).tolist() == [zlib.crc32(w.encode()) for w in words] and lm.crc32s(some[:0]).tolist() == []
+
+
+def test_parts_and_pieces_change_nothing(monkeypatch):
+    rng = np.random.default_rng(8)
+    model = lm.fresh([str(i) for i in range(960)], rng.integers(1, 99, 1024).astype(float), rng.normal(size=1024))
+    row = lm._row_of([rng.integers(0, 1024, n) for n in (300, 0, 1, 400)] + [np.full(200, 1000)])
+    at = rng.permutation(np.flatnonzero(row))
+    scores, grads = model.at_places(row, at), lm.gradients(model, row, at)
+    monkeypatch.setattr(lm, "PART", 7)
+    monkeypatch.setattr(lm, "PIECE", 50)
+    assert np.allclose(model.at_places(row, at), scores, atol=1e-5)
+    again = lm.gradients(model, row, at)
+    assert all(np.allclose(again[n], grads[n], atol=1e-6) and again[n].shape == getattr(model, n).shape for n in lm.PARAMS)
+    model.members *= 1e4  # logits too large for exp
+    assert np.isfinite(model.at_places(row, at)).all() and all(np.isfinite(g).all() for g in lm.gradients(model, row, at).values())
