@@ -36,7 +36,7 @@ _add("tofile_fromfile_bool", _through("l_quantity > 25", "|b1"), f"SELECT pos, l
 _complex = _through("named_struct('re', l_quantity, 'im', -l_discount)", "<c16")
 _add("tofile_fromfile_complex", lambda s, t: _complex(s, t).select("pos", "value.*"), f"SELECT pos, l_quantity AS re, -l_discount AS im FROM {_PLACED}")
 _add("fromfile_count", _through("l_orderkey", "<i8", count=1000), f"SELECT pos, l_orderkey AS value FROM {_PLACED} WHERE pos < 1000")
-_add("tobytes", lambda s, t: t("embeddings").select("vec_id", F.lower(F.hex(raw.tobytes(F.transform("embedding", lambda x: F.floor(x * 100).cast("long")), "<i2"))).alias("y")),
+_add("tobytes", lambda s, t: t("embeddings").select("vec_id", F.lower(F.hex(raw.tobytes(F.transform("embedding", lambda x: F.floor(x * F.lit(100).cast("float")).cast("long")), "<i2"))).alias("y")),
      "SELECT vec_id, array_to_string([format('{:04x}', ((v % 256) * 256 + v // 256)) FOR v IN [((floor(x * 100)::BIGINT % 65536) + 65536) % 65536 FOR x IN embedding]], '') AS y FROM embeddings")
 _add("frombuffer", lambda s, t: t("part").select("p_partkey", raw.frombuffer(F.unhex(F.md5("p_name")), "<u2", offset=4, count=5).alias("v")).select("p_partkey", F.posexplode("v").alias("k", "y")),
      "SELECT p_partkey, k::INTEGER AS k, ('0x' || substr(h, 4 * k + 11, 2) || substr(h, 4 * k + 9, 2))::BIGINT AS y FROM (SELECT p_partkey, md5(p_name) AS h FROM part), range(5) r(k)")

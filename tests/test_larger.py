@@ -2,7 +2,7 @@
 
 import duckdb
 
-from tessera.plans import elementwise
+from tessera.plans import elementwise, raw
 
 
 def test_fmod_of_quotients_less_a_decimal(spark, tmp_path):
@@ -12,3 +12,17 @@ def test_fmod_of_quotients_less_a_decimal(spark, tmp_path):
     part = duckdb.from_parquet(f"{tmp_path}/part.parquet/*.parquet")  # noqa: F841
     assert [tuple(r) for r in got] == duckdb.sql(elementwise.ORACLES["ufunc_fmod"] + " ORDER BY p_partkey").fetchall()
     assert [r.y for r in got] == [-0.15, -0.55, -0.05, -1.15]
+
+
+def test_tobytes_multiplies_floats_as_floats(spark, tmp_path):
+    values = [0.29, 0.57, 1.13, -0.07, 0.18]  # the first four are below these numbers as floats, and a hundred times them round up to whole ones
+    spark.createDataFrame([(1, values)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    embeddings = duckdb.from_parquet(f"{tmp_path}/embeddings.parquet/*.parquet")  # noqa: F841
+    wanted = duckdb.sql(raw.ORACLES["tobytes"]).fetchall()
+    kept = spark.conf.get("spark.sql.ansi.enabled")
+    try:
+        for ansi in ("true", "false"):  # under ANSI rules a float times an integer is a double
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+            assert [tuple(r) for r in raw.QUERIES["tobytes"](spark, str(tmp_path)).collect()] == wanted
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", kept)
