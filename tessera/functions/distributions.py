@@ -20,6 +20,11 @@ TRIES = 32
 CELLS = float(1 << 52)
 
 
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, with the value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
 class Draws:
     """Distributions of one key column; every uniform of an expression has a stream number of its own."""
 
@@ -93,9 +98,9 @@ class Draws:
         x = F.lit(mean) + mean / (2 * scale) * (y - F.sqrt(4 * scale * y + y * y))
         return F.when(self.random(2) <= mean / (mean + x), x).otherwise(mean * mean / x)
 
-    def _first(self, propose: Callable[[Column], Column]) -> Column:
-        """The first proposal that isn't NULL, of TRIES."""
-        return F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), propose), lambda x: x.isNotNull()), F.lit(0))
+    def _first(self, propose: Callable[[Column], Column], kind: str = "double") -> Column:
+        """The first proposal that isn't NULL, of TRIES; those after it are not worked out."""
+        return F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast(kind), lambda found, k: F.coalesce(found, propose(k)))
 
     def standard_gamma(self, shape: float, stream: int = 0) -> Column:
         """Cubes of shifted normals, accepted by a uniform; shapes below 1 are lifted by 1 and scaled back."""
@@ -105,9 +110,8 @@ class Draws:
 
         def propose(k: Column) -> Column:
             at = F.lit(1000 + 100 * stream) + 3 * k
-            z = self.normal(stream=at)
-            v = F.pow(1 + c * z, F.lit(3.0))
-            return F.when((v > 0) & (F.log(self.random(at + 2)) < z * z / 2 + d - d * v + d * F.log(v)), d * v)
+            of = lambda z, v: F.when((v > 0) & (F.log(self.random(at + 2)) < z * z / 2 + d - d * v + d * F.log(v)), d * v)
+            return _once(self.normal(stream=at), lambda z: _once(F.pow(1 + c * z, F.lit(3.0)), lambda v: of(z, v)))
 
         drawn = self._first(propose)
         return drawn if shape >= 1 else drawn * F.pow(self.random(900 + stream), F.lit(1 / shape))
@@ -119,8 +123,7 @@ class Draws:
         return self.standard_gamma(df / 2, stream) * 2
 
     def beta(self, a: float, b: float) -> Column:
-        x, y = self.standard_gamma(a), self.standard_gamma(b, 1)
-        return x / (x + y)
+        return _once(self.standard_gamma(a), lambda x: x / (x + self.standard_gamma(b, 1)))
 
     def f(self, dfnum: float, dfden: float) -> Column:
         return (self.chisquare(dfnum) / dfnum) / (self.chisquare(dfden, 1) / dfden)
@@ -204,7 +207,7 @@ class Draws:
             t = F.pow(1 + 1 / x, F.lit(a - 1))
             return F.when(self.random(at + 1) * x * (t - 1) / (b - 1) <= t / b, x)
 
-        return self._first(propose)
+        return self._first(propose, "bigint")
 
     def multinomial(self, n: int, probabilities: Sequence[float]) -> Column:
         """How many of n draws fall in each cell."""

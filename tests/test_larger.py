@@ -3,8 +3,9 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from tessera.functions.distributions import Draws
 from tessera.operators import tensor
-from tessera.plans import elementwise, frames, raw
+from tessera.plans import elementwise, frames, random, raw
 
 
 def test_fmod_of_quotients_less_a_decimal(spark, tmp_path):
@@ -51,3 +52,16 @@ def test_exact_products_stay_bigint_where_the_result_fits(spark):
     assert cells(tensor.einsum("ij->", (large.limit(0), ["i", "j"], "x"), exact=True)) == [(None,)]
     halves = other.withColumn("x", F.col("x") / 2)
     assert dict(tensor.einsum("ij,jk->ik", (halves, ["i", "j"], "x"), (other, ["i", "j"], "x"), exact=True).dtypes)["x"] == "double"
+
+
+def test_draws_stop_at_the_first_proposal(spark):
+    late = Draws(F.col("id"))._first(lambda k: F.when(k == 2, k * 1.5).when(k > 2, F.raise_error("worked out").cast("double")))
+    assert [r.y for r in spark.range(3).select(late.alias("y")).collect()] == [3.0] * 3
+
+
+def _digests(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("md5(")
+
+
+def test_beta_draws_each_gamma_once(spark, sf_dir):
+    assert _digests(random.QUERIES["random_beta"](spark, sf_dir)) == 6  # two gammas of three uniforms
