@@ -65,3 +65,7 @@ def _digests(frame):
 
 def test_beta_draws_each_gamma_once(spark, sf_dir):
     assert _digests(random.QUERIES["random_beta"](spark, sf_dir)) == 6  # two gammas of three uniforms
+
+
+def test_dirichlet_draws_each_gamma_once(spark, sf_dir):
+    assert _digests(random.QUERIES["random_dirichlet"](spark, sf_dir)) == 9  # three gammas of three uniforms
