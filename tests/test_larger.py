@@ -69,3 +69,7 @@ def test_beta_draws_each_gamma_once(spark, sf_dir):
 
 def test_dirichlet_draws_each_gamma_once(spark, sf_dir):
     assert _digests(random.QUERIES["random_dirichlet"](spark, sf_dir)) == 9  # three gammas of three uniforms
+
+
+def test_f_draws_each_gamma_once(spark, sf_dir):
+    assert _digests(random.QUERIES["random_f"](spark, sf_dir)) == 6  # two gammas of three uniforms
