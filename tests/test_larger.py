@@ -73,3 +73,7 @@ def test_dirichlet_draws_each_gamma_once(spark, sf_dir):
 
 def test_f_draws_each_gamma_once(spark, sf_dir):
     assert _digests(random.QUERIES["random_f"](spark, sf_dir)) == 6  # two gammas of three uniforms
+
+
+def test_noncentral_f_draws_each_gamma_once(spark, sf_dir):
+    assert _digests(random.QUERIES["random_noncentral_f"](spark, sf_dir)) == 8  # two gammas of three uniforms and a normal of two
