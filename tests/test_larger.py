@@ -2,10 +2,11 @@
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.distributions import Draws
-from tessera.operators import blocks, tensor
+from tessera.operators import axes, blocks, tensor
 from tessera.plans import blocks as block_plans
 from tessera.plans import elementwise, frames, random, raw
 
@@ -105,3 +106,15 @@ def test_near_rounds_as_round(spark):
     values = [0.00005, -0.00005, 0.12344999, 1.5, -2.25, 0.0, -0.0, 1e305, float("inf"), float("nan"), None]
     got = block_plans._near(spark.createDataFrame([(0, k, x) for k, x in enumerate(values)], "i int, j int, x double"), 4).orderBy("j").collect()
     assert [str(r.x) for r in got] == ["0.0001", "-0.0001", "0.1234", "1.5", "-2.25", "0.0", "0.0", "1e+305", "inf", "nan", "None"]
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_triangle_indices_pack_small(spark, tmp_path, lower):
+    for n, k in ((0, 0), (1, 0), (1, 1), (300, 1), (257, -3), (40, 50), (40, -50), (256, 256)):
+        got = axes.triangle_indices(spark, n, k, lower)
+        want = np.tril_indices(n, k) if lower else np.triu_indices(n, k)
+        assert got.dtypes == [("i", "bigint"), ("j", "bigint")] and sorted(map(tuple, got.collect())) == list(zip(*(x.tolist() for x in want)))
+    made = axes.triangle_indices(spark, 3000, 1, lower)
+    made.write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 3000 * 2999 // 2 + lower * (3000 + 2999)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.3 * 3000 * 3000 / 2
